@@ -64,7 +64,7 @@ def device_label(device_id: Column) -> Column:
 
 def minute_label(moment: Column) -> Column:
     """A time to the minute."""
-    return F.coalesce(F.date_format(moment, "yyyy-MM-dd HH:mm"), F.lit(MISSING))
+    return clip(F.replace(moment.cast("string"), F.lit("T"), F.lit(" ")), 16)
 
 
 def day_label(day: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,7 +80,10 @@ def platform_fallback(platform: Column, project: Column) -> Column:
 
 
 def utc_time(text: Column) -> Column:
-    """ISO-8601 text as UTC wall-clock time; text without a zone is UTC already."""
+    """ISO-8601 text as UTC wall-clock time; text without a zone is UTC already.
+
+    The clock is counted from the epoch, not read off the session's time zone.
+    """
     def part(group: int, default: str) -> Column:
         found = F.regexp_extract(text, ISO_TIME, group)
         return F.when(found == "", default).otherwise(found)
@@ -87,9 +92,11 @@ def utc_time(text: Column) -> Column:
         part(1, ""), F.lit("T"), part(2, "00:00"), part(3, ":00"), F.upper(part(4, "Z"))
     )
     full = F.when(text.rlike(FULL_TIME), text).when(text.rlike(ISO_TIME), spelled_out)
-    instant = full.try_cast("timestamp")
-    return F.convert_timezone(
-        F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz")
+    micros = F.unix_micros(full.try_cast("timestamp")).cast("decimal(18,0)")
+    seconds = (micros * F.lit(Decimal("0.000001"))).cast("decimal(18,6)")
+    none = F.lit(0)
+    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(
+        none, none, none, seconds
     )
 
 

@@ -13,9 +13,11 @@ from runlens.schema import PASSED
 
 Classifier = Callable[[str], str | None]
 
-# Questions asked by so many failures that their replies are broadcast; no
-# other question can be asked by more than 1/HOT_PROMPTS of the failures.
+# Replies to the questions most failures ask are broadcast, as many as this and
+# no longer than this. Of the other replies of that length, none is for more
+# than 1/HOT_PROMPTS of the failures.
 HOT_PROMPTS = 1000
+HOT_CHARS = 1000
 LANES = 4096
 
 
@@ -81,7 +83,8 @@ def with_classifier(
         .select("prompt_key", "asked", parse_reply(F.col("reply")).alias("answer"))
     )
     hot = (
-        answered.orderBy(F.col("asked").desc(), "prompt_key")
+        answered.where(F.length("answer.classification_reason") <= HOT_CHARS)
+        .orderBy(F.col("asked").desc(), "prompt_key")
         .limit(HOT_PROMPTS)
         .select("prompt_key", F.col("answer").alias("hot"))
     )

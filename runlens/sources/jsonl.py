@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runlens.functions.scalars import action_type, utc_time
-from runlens.schema import MANDATORY, RAW_RUN, RUNS
+from runlens.schema import MANDATORY, RAW_RUN
 
 CORRUPT = "_corrupt"
 # Where a record stands in its input: file, split of the file, row of the split.
@@ -95,7 +95,8 @@ def to_table_rows(records: DataFrame) -> DataFrame:
 
 def to_records(runs: DataFrame) -> DataFrame:
     """Table rows as raw records again."""
-    text = F.date_format("run_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    clock = F.replace(F.col("run_at").cast("string"), F.lit(" "), F.lit("T"))
+    text = F.concat(clock, F.lit("Z"))
     if "run_at_text" in runs.columns:
         text = F.coalesce("run_at_text", text)
     return runs.withColumn("run_at", text).select(*RAW_RUN.fieldNames())
@@ -106,6 +107,3 @@ def append_runs_json(records: DataFrame, path: str) -> None:
     records.select(*RAW_RUN.fieldNames()).write.mode("append").option(
         "ignoreNullFields", "false"
     ).json(path)
-
-
-TABLE_COLUMNS = RUNS.fieldNames()

@@ -77,7 +77,7 @@ TIME_TEXT = """case id % 6 when 0 then strftime(run_at, '%Y-%m-%dT%H:%M:%S.%fZ')
   when 2 then strftime(run_at, '%Y-%m-%dT%H:%M:%S') || '-05:00'
   when 3 then strftime(run_at, '%Y-%m-%d') when 4 then 'junk'
   else strftime(run_at, '%Y-%m-%d %H:%M') end"""
-ISO = "strftime(run_at, '%Y-%m-%dT%H:%M:%S.%fZ')"
+ISO = "replace(cast(run_at as varchar), ' ', 'T') || 'Z'"
 
 TITLE = """case id % 5 when 0 then test_name when 1 then replace(test_name, ' - ', ' ')
   when 2 then ' - ' || test_name when 3 then 'works as told' else upper(test_name) end"""

@@ -41,8 +41,8 @@ def _flat(records: DataFrame) -> DataFrame:
     return records.withColumn("last_actions", F.array_join("last_actions", "|"))
 
 
-def _iso(column: str = "run_at"):
-    return F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+def _iso():
+    return F.concat(F.replace(F.col("run_at").cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
 
 
 # Sources, sinks and table maintenance
@@ -522,23 +522,27 @@ QUERIES["stream_ingest"] = QUERIES.pop("stream_ingest_runs")
 # Pluggable classifier
 
 
-def digest_classifier(prompt: str) -> str | None:
+def digest_classifier() -> classify_batch.Classifier:
     """A stand-in for a model: a reply, a malformed one or an error, by digest."""
-    first = hashlib.md5(prompt.encode()).hexdigest()[0]
-    if first in "0123":
-        return f"REAL_BUG|digest {first}"
-    if first in "4567":
-        return f" timeout_flake | digest {first} "
-    if first in "89ab":
-        return f"no idea {first}"
-    raise ValueError("unavailable")
+
+    def classify(prompt: str) -> str | None:
+        first = hashlib.md5(prompt.encode()).hexdigest()[0]
+        if first in "0123":
+            return f"REAL_BUG|digest {first}"
+        if first in "4567":
+            return f" timeout_flake | digest {first} "
+        if first in "89ab":
+            return f"no idea {first}"
+        raise ValueError("unavailable")
+
+    return classify
 
 
 @query
 def classify_batch_runs(spark, sf_dir):
     folder = new_folder(spark, "replies")
     runs = inputs.runs(spark, sf_dir)
-    found = classify_batch.with_classifier(runs, digest_classifier, folder, parallelism=8)
+    found = classify_batch.with_classifier(runs, digest_classifier(), folder, parallelism=8)
     incoming = F.struct("classification", "classification_reason")
     final = failures.merge_class(F.col("result"), F.col("found"), incoming)
     return found.select("id", final.alias("final")).select("id", "final.*")

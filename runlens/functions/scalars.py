@@ -53,8 +53,7 @@ def first_present(array: Column) -> Column:
     return F.get(F.filter(array, lambda x: x.isNotNull()), F.lit(0))
 
 
-def _action_kind(action: Column) -> Column:
-    text = F.lower(action)
+def _action_kind(text: Column) -> Column:
     kind = F.lit(None).cast("string")
     for name, words in reversed(ACTION_KEYWORDS):
         kind = F.when(any_of(text, words), name).otherwise(kind)
@@ -63,9 +62,8 @@ def _action_kind(action: Column) -> Column:
 
 def action_type(actions: Column) -> Column:
     """Kind of the latest action that has a known kind, else ``other``."""
-    return F.coalesce(
-        first_present(F.transform(F.reverse(actions), _action_kind)), F.lit("other")
-    )
+    latest_first = F.transform(F.reverse(actions), F.lower)
+    return F.coalesce(first_present(F.transform(latest_first, _action_kind)), F.lit("other"))
 
 
 def annotation_value(annotations: Column, kind: str) -> Column:

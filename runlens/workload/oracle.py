@@ -140,10 +140,10 @@ def _common(keys: str, source: str = "runs") -> str:
 
 
 SESSIONS = f"""sessions_all as (select session_id,
-    arg_max(platform, newest) as platform, arg_max(device_id, newest) as device_id,
+    max(platform) filter (where newest = 1) as platform, max(device_id) filter (where newest = 1) as device_id,
     count(*) as total_runs, cast(sum(ok) as bigint) as passed, cast(sum(bad) as bigint) as failed,
     {SECONDS} as avg_duration_s, min(run_at) as first_run, max(run_at) as last_run
-  from (select *, -row_number() over (partition by session_id
+  from (select *, row_number() over (partition by session_id
       order by run_at desc, platform desc nulls last, device_id desc nulls last) as newest
     from runs where session_id is not null and session_id <> '') o group by session_id),
 newest_session as (select * from sessions_all order by last_run desc, session_id limit 1)"""
@@ -161,17 +161,17 @@ REPORTS = {
     "heatmap": f"""select run_date as day, screen_name as screen, {RATE} as rate from runs
         where screen_name is not null and screen_name <> '' group by run_date, screen_name having count(*) >= 2""",
     "top_flakes": f"""select t.test_name, platform, screen_name, total, fail_count, common_classification from (
-        select test_name, platform, arg_max(screen_name, newest) as screen_name, count(*) as total,
+        select test_name, platform, max(screen_name) filter (where newest = 1) as screen_name, count(*) as total,
           cast(sum(bad) as bigint) as fail_count
-        from (select *, -row_number() over (partition by test_name, platform
+        from (select *, row_number() over (partition by test_name, platform
             order by run_at desc, screen_name desc nulls last) as newest from runs) o
         group by test_name, platform having count(*) >= 2) t
         left join ({_common("test_name")}) c on c.test_name = t.test_name
         order by fail_count::double / total desc, total desc, t.test_name, platform nulls last limit 20""",
     "devices": f"""select t.device_id, platform, total, fail_count, common_classification from (
-        select device_id, arg_max(platform, newest) as platform, count(*) as total,
+        select device_id, max(platform) filter (where newest = 1) as platform, count(*) as total,
           cast(sum(bad) as bigint) as fail_count
-        from (select *, -row_number() over (partition by device_id
+        from (select *, row_number() over (partition by device_id
             order by run_at desc, platform desc nulls last) as newest from runs) o
         group by device_id having count(*) >= 2) t
         left join ({_common("device_id")}) c on c.device_id = t.device_id""",

@@ -40,9 +40,8 @@ def not_stored(incoming: DataFrame, stored: DataFrame, keys: list[str]) -> DataF
     """
     row_hash = F.xxhash64(*[F.col(c) for c in incoming.columns])
     lane = F.when(_has_key(keys), 0).otherwise(1 + F.pmod(row_hash, F.lit(SPREAD)))
-    known = stored.where(_has_key(keys)).select(
-        *keys, F.lit(0).cast("bigint").alias("_lane")
-    )
+    known = stored.where(_has_key(keys)).select(*keys).distinct()
+    known = known.withColumn("_lane", F.lit(0).cast("bigint"))
     return (
         incoming.withColumn("_lane", lane.cast("bigint"))
         .join(known, [*keys, "_lane"], "left_anti")
@@ -65,16 +64,19 @@ def count_new(
         *dict.fromkeys([*keys, *order]), F.when(classified, 1).otherwise(0).alias("classified")
     )
     batch = first_wins(flagged, keys, order)
-    none = F.lit(0).cast("bigint")
-    seen = batch.select("copies", none.alias("added"), F.lit(0).alias("classified"))
+    one, none = F.lit(1), F.lit(0)
+    seen = incoming.select(
+        one.alias("processed"), none.alias("added"), none.alias("classified")
+    )
     added = not_stored(batch, stored, keys).select(
-        none.alias("copies"), F.lit(1).cast("bigint").alias("added"), "classified"
+        none.alias("processed"), one.alias("added"), "classified"
     )
     totals = seen.unionAll(added).agg(
-        *[F.coalesce(F.sum(c), none).alias(c) for c in ("copies", "added", "classified")]
+        *[
+            F.coalesce(F.sum(c), F.lit(0).cast("bigint")).alias(c)
+            for c in ("processed", "added", "classified")
+        ]
     )
     return totals.select(
-        F.col("copies").alias("processed"),
-        "classified",
-        (F.col("copies") - F.col("added")).alias("skipped"),
+        "processed", "classified", (F.col("processed") - F.col("added")).alias("skipped")
     )

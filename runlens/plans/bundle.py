@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from runlens.operators.measures import DAILY, SESSION, rollup
 from runlens.plans.reports import REPORTS, latest_session_tests
 from runlens.session import new_folder
+from runlens.sources.table import replace_days
 
 BY_SESSION = ["sessions", "latest_session"]
 JSON_OPTIONS = {
@@ -23,16 +25,28 @@ def report_json(report: DataFrame) -> DataFrame:
     return report.select(F.to_json(F.struct("*"), JSON_OPTIONS).alias("payload"))
 
 
-def reports(runs: DataFrame, folder: str | None = None) -> dict[str, DataFrame]:
-    """Every report over two rollups of the runs, which are written once.
+def refresh_rollups(
+    runs: DataFrame, folder: str, first: date | None = None, last: date | None = None
+) -> None:
+    """Write the rollups the reports read, or only their days ``first`` to ``last``.
 
-    The runs are scanned twice, however many reports are read, and a third time
-    for the partitions the newest session touches.
+    A load adds runs to the days it names, so refreshing these after each load
+    keeps the rollups whole without reading the rest of the table.
+    """
+    day = F.col("run_date")
+    if first is not None:
+        runs = runs.where(day.between(F.lit(first), F.lit(last)) | day.isNull())
+    replace_days(rollup(runs, DAILY), f"{folder}/daily", ["test_name"])
+    replace_days(rollup(runs, ["run_date", *SESSION]), f"{folder}/session", ["session_id"])
+
+
+def reports(runs: DataFrame, folder: str) -> dict[str, DataFrame]:
+    """Every report, read off the rollups in the folder.
+
+    The runs themselves are read for the newest session only, and of these only
+    the days it spans.
     """
     spark = runs.sparkSession
-    folder = folder or new_folder(spark, "reports")
-    rollup(runs, DAILY).write.parquet(f"{folder}/daily")
-    rollup(runs, SESSION).write.parquet(f"{folder}/session")
     daily = spark.read.parquet(f"{folder}/daily")
     session = spark.read.parquet(f"{folder}/session")
     made = {
@@ -44,7 +58,10 @@ def reports(runs: DataFrame, folder: str | None = None) -> dict[str, DataFrame]:
 
 
 def report_bundle(runs: DataFrame, folder: str | None = None) -> DataFrame:
-    """All reports as rows of (report, payload)."""
+    """All reports as rows of (report, payload), off fresh rollups or those given."""
+    if folder is None:
+        folder = new_folder(runs.sparkSession, "rollups")
+        refresh_rollups(runs, folder)
     rows = [
         report_json(df).select(F.lit(name).alias("report"), "payload")
         for name, df in reports(runs, folder).items()

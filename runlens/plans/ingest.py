@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,11 +20,13 @@ KEYS = ["test_name", "run_at_text"]
 
 @dataclass(frozen=True)
 class LoadCounts:
-    """Records a load has read, newly categorised, and skipped as known."""
+    """Records a load has read, newly categorised, and skipped as known; its days."""
 
     processed: int
     classified: int
     skipped: int
+    first_day: date | None = field(default=None, compare=False)
+    last_day: date | None = field(default=None, compare=False)
 
 
 def merged(runs: DataFrame) -> DataFrame:
@@ -78,6 +81,8 @@ def load_records(
             processed=seen["copies"] or 0,
             classified=added["classified"],
             skipped=(seen["copies"] or 0) - added["rows"],
+            first_day=seen["first"],
+            last_day=seen["last"],
         )
 
 

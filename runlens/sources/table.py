@@ -24,16 +24,27 @@ def between(runs: DataFrame, first: date, last: date) -> DataFrame:
     return runs.where(F.col("run_date").between(F.lit(first), F.lit(last)))
 
 
-def append_table(runs: DataFrame, path: str) -> None:
-    """Append rows, each day's in few files sorted by screen.
+def write_by_day(df: DataFrame, path: str, order: list[str], **options: str) -> None:
+    """Write a frame by day, each day in few files sorted by ``order``.
 
     The rebalance splits a day too large for one task and joins small ones at
-    run time; sorting keeps each file's range of screens narrow.
+    run time.
     """
-    spread = runs.select(*RUNS.fieldNames()).hint("rebalance", F.col("run_date"))
+    spread = df.hint("rebalance", F.col("run_date"))
     (
-        spread.sortWithinPartitions("run_date", "screen_name", "test_name")
-        .write.mode("append")
+        spread.sortWithinPartitions("run_date", *order)
+        .write.options(**options)
+        .mode("overwrite" if options else "append")
         .partitionBy("run_date")
         .parquet(path)
     )
+
+
+def append_table(runs: DataFrame, path: str) -> None:
+    """Append rows; sorting keeps each file's range of screens narrow."""
+    write_by_day(runs.select(*RUNS.fieldNames()), path, ["screen_name", "test_name"])
+
+
+def replace_days(df: DataFrame, path: str, order: list[str]) -> None:
+    """Write the days the frame has in place of what is there; leave other days."""
+    write_by_day(df, path, order, partitionOverwriteMode="dynamic")

@@ -38,21 +38,19 @@ def _on_events(keep: int, patience_ms: int):
         if state.hasTimedOut:
             state.remove()
             return
-        kept = pd.DataFrame(
-            dict(zip(["at", "seq", "title"], state.get))
-            if state.exists
-            else {"at": [], "seq": [], "title": []}
-        )
+        kept = list(zip(*state.get)) if state.exists else []
         ended_at = None
         for batch in batches:
-            steps = batch[~batch["is_end"]][["at", "seq", "title"]]
-            kept = pd.concat([kept, steps]) if len(kept) else steps
-            kept = kept.sort_values(ORDER, kind="stable").tail(keep)
-            for end in batch[batch["is_end"]]["at"]:
-                ended_at = int(end) if ended_at is None else max(ended_at, int(end))
+            rows = zip(batch["at"], batch["seq"], batch["title"], batch["is_end"])
+            for at, seq, title, is_end in rows:
+                if is_end:
+                    ended_at = int(at) if ended_at is None else max(ended_at, int(at))
+                else:
+                    kept.append((int(at), int(seq), title))
+            kept = sorted(kept, key=lambda step: step[:2])[-keep:]
         if ended_at is None:
-            state.update(tuple(kept[c].tolist() for c in ["at", "seq", "title"]))
-            newest_ms = int(kept["at"].max()) // 1000
+            state.update(tuple(list(column) for column in zip(*kept)))
+            newest_ms = kept[-1][0] // 1000
             state.setTimeoutTimestamp(
                 max(newest_ms, state.getCurrentWatermarkMs()) + patience_ms
             )
@@ -63,7 +61,7 @@ def _on_events(keep: int, patience_ms: int):
             {
                 "test_id": [key[0]],
                 "retry": [key[1]],
-                "last_actions": [kept["title"].tolist()],
+                "last_actions": [[title for _, _, title in kept]],
                 "ended_at": [ended_at],
             }
         )

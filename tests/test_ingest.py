@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from runlens.operators.dedupe import first_wins, merge_new_runs, not_stored
 from runlens.plans import classify_batch
 from runlens.plans.ingest import LoadCounts, load_records, load_runs
+from runlens.schema import RUNS
 from runlens.sources import frameworks
 from runlens.sources.jsonl import append_runs_json, read_runs, read_runs_lenient, to_records
 from runlens.sources.table import between, create_table, read_table
@@ -250,3 +251,28 @@ def test_stream_loads_new_files_only(spark, tmp_path):
     assert load() == 2
     assert load() == 2
     assert load(str(tmp_path / "lost-checkpoint")) == 2
+
+
+def test_a_large_day_is_spread_over_tasks(spark, tmp_path):
+    """One day holds most rows; its partition is split and small ones are joined."""
+    from runlens.sources.table import append_table
+
+    rows = spark.range(200_000, numPartitions=8).select(
+        "id",
+        *[F.sha2(F.concat(F.lit(c), "id"), 256).alias(c) for c in ("test_name", "error_message")],
+        F.date_add(F.lit(date(2026, 1, 1)), F.when(F.col("id") < 1000, F.col("id") % 5).otherwise(9).cast("int")).alias("run_date"),
+    )
+    columns = {f.name: F.lit(None).cast(f.dataType) for f in RUNS.fields if f.name not in rows.columns}
+    conf = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "4MB"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    try:
+        append_table(rows.withColumns(columns), str(tmp_path / "runs"))
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    files = {p.name: len(list(p.glob("*.parquet"))) for p in (tmp_path / "runs").glob("run_date=*")}
+    assert files["run_date=2026-01-10"] > 3
+    assert [n for day, n in files.items() if day != "run_date=2026-01-10"] == [1] * 5
+    assert read_table(spark, str(tmp_path / "runs")).count() == 200_000

@@ -180,9 +180,22 @@ def test_group_totals_add_up(varied):
     assert got[0] == total and got[1] + got[2] <= total
 
 
-def test_bundle_holds_every_report(varied, tmp_path):
-    got = bundle.report_bundle(varied, str(tmp_path / "bundle"))
+def test_bundle_holds_every_report(varied):
+    got = bundle.report_bundle(varied)
     names = {r.report for r in got.select("report").distinct().collect()}
     assert names == {*reports.REPORTS, "latest_session_tests"}
     stats = got.where("report = 'stats'").first().payload
     assert stats.startswith('{"total_runs":400,')
+
+
+def test_refreshed_days_keep_the_rollups_whole(make, tmp_path):
+    undated = (99, "u", "ios", "d", "home", "tap", "s9", None, "failed", 1, None, None)
+    early = [run(i, day=1 + i % 4) for i in range(20)] + [undated]
+    late = [run(50 + i, day=3 + i % 4, result="failed", session=f"s{i % 2}") for i in range(20)]
+    folder = str(tmp_path / "rollups")
+    bundle.refresh_rollups(make(early), folder)
+    whole = make(early + late)
+    bundle.refresh_rollups(whole, folder, date(2026, 1, 3), date(2026, 1, 6))
+    for name, report in bundle.reports(whole, folder).items():
+        expected = reports.REPORTS.get(name, reports.latest_session_tests)(whole)
+        assert rows(report) == rows(expected), name

@@ -1,105 +1,101 @@
-"""The last application steps of each test attempt, as attempts end."""
+"""The last application steps of each test attempt, as attempts end.
 
-from __future__ import annotations
+The state of the stream is a table of open attempts, one version per
+micro-batch, in the query's folder. A micro-batch joins its steps to the open
+attempts, keeps the newest of each and writes the next version: all of it
+built-in operators, with a hot attempt thinned before it is shuffled.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
 from runlens.functions.scalars import is_api_step
 from runlens.operators.steps import KEEP
+from runlens.session import delete
+
+ATTEMPT = """test_id bigint, retry int, steps array<struct<ts:timestamp,seq:bigint,title:string>>,
+ended_at timestamp, newest timestamp, ended boolean"""
+KEY = ["test_id", "retry"]
+
 
-# Times are integers (microseconds) on the Python side, so no time zone enters.
-THINNED = "test_id bigint, retry int, title string, ts timestamp, at bigint, seq bigint, is_end boolean"
-ENDED = "test_id bigint, retry int, last_actions array<string>, ended_at bigint"
-STATE = "at array<bigint>, seq array<bigint>, title array<string>"
-ORDER = ["at", "seq"]
-
-
-def _thin(keep: int):
-    """Per Arrow batch, drop steps that cannot be among an attempt's last ones."""
-
-    def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            steps = batch[~batch["is_end"]].sort_values(ORDER, kind="stable")
-            last = steps.groupby(["test_id", "retry"], sort=False, dropna=False).tail(keep)
-            yield pd.concat([last, batch[batch["is_end"]]])
-
-    return thin
-
-
-def _on_events(keep: int, patience_ms: int):
-    """Keep an attempt's newest steps; give and forget them when it ends."""
-
-    def on_events(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        kept = list(zip(*state.get)) if state.exists else []
-        ended_at = None
-        for batch in batches:
-            rows = zip(batch["at"], batch["seq"], batch["title"], batch["is_end"])
-            for at, seq, title, is_end in rows:
-                if is_end:
-                    ended_at = int(at) if ended_at is None else max(ended_at, int(at))
-                else:
-                    kept.append((int(at), int(seq), title))
-            kept = sorted(kept, key=lambda step: step[:2])[-keep:]
-        if ended_at is None:
-            state.update(tuple(list(column) for column in zip(*kept)))
-            newest_ms = kept[-1][0] // 1000
-            state.setTimeoutTimestamp(
-                max(newest_ms, state.getCurrentWatermarkMs()) + patience_ms
-            )
-            return
-        if state.exists:
-            state.remove()
-        yield pd.DataFrame(
-            {
-                "test_id": [key[0]],
-                "retry": [key[1]],
-                "last_actions": [[title for _, _, title in kept]],
-                "ended_at": [ended_at],
-            }
+def _attempts(events: DataFrame, keep: int) -> DataFrame:
+    """Attempts with their last ``keep`` steps in order, and when they ended."""
+    newest_first = Window.partitionBy(*KEY, "is_end").orderBy(
+        F.col("ts").desc(), F.col("seq").desc()
+    )
+    kept = events.withColumn("rank", F.row_number().over(newest_first)).where(
+        F.col("rank") <= keep
+    )
+    step = F.when(~F.col("is_end"), F.struct("ts", "seq", "title"))
+    return (
+        kept.groupBy(*KEY)
+        .agg(
+            F.array_sort(F.collect_list(step)).alias("steps"),
+            F.max(F.when(F.col("is_end"), F.col("ts"))).alias("ended_at"),
+            F.max("ts").alias("newest"),
         )
+        .withColumn("ended", F.col("ended_at").isNotNull())
+    )
+
 
-    return on_events
+def _version(folder: str, batch_id: int) -> str:
+    return f"{folder}/batch={batch_id}"
+
+
+def _open_attempts(spark: SparkSession, folder: str, batch_id: int, patience: str) -> DataFrame:
+    """Steps of the attempts open after a batch, but those silent for too long."""
+    known = spark.read.schema(ATTEMPT).parquet(_version(folder, batch_id))
+    latest = known.agg(F.max("newest").cast("timestamp").alias("at")).first()["at"]
+    awake = F.col("newest") >= F.lit(latest) - F.expr(f"interval {patience}")
+    return known.where(~F.col("ended") & awake).select(
+        *KEY, F.inline("steps"), F.lit(False).alias("is_end")
+    )
 
 
 def stream_last_actions(
-    steps: DataFrame, keep: int = KEEP, lateness: str = "1 hour", patience_ms: int = 3_600_000
-) -> DataFrame:
-    """Last ``keep`` steps of each attempt that ends, from a stream of STEP_EVENT.
-
-    An attempt ends once, and the micro-batch of its end counts as a whole, so
-    steps may be thinned to ``keep`` per attempt before they are shuffled: a
-    hot attempt reaches its task as a few rows per input batch. State is at
-    most ``keep`` steps per open attempt. An attempt whose end is lost is
-    forgotten ``patience_ms`` after its newest step.
+    steps: DataFrame,
+    folder: str,
+    checkpoint: str,
+    keep: int = KEEP,
+    patience: str = "1 hour",
+    **trigger,
+) -> StreamingQuery:
+    """Follow a stream of STEP_EVENT; ``ended_attempts`` has what it gives.
+
+    An attempt (test_id, retry) ends once, and the micro-batch of its end counts
+    as a whole. An attempt whose end is lost is forgotten when it is ``patience``
+    behind the newest event. A replayed micro-batch starts from the version
+    before it and writes its own again.
     """
     ends = F.coalesce("is_end", F.lit(False))
     useful = steps.where(ends | is_api_step(F.col("category"))).select(
-        "test_id",
-        "retry",
-        "title",
-        "ts",
-        F.unix_micros("ts").alias("at"),
-        "seq",
-        ends.alias("is_end"),
+        *KEY, "ts", "seq", "title", ends.alias("is_end")
     )
-    ended = (
-        useful.mapInPandas(_thin(keep), THINNED)
-        .withWatermark("ts", lateness)
-        .groupBy("test_id", "retry")
-        .applyInPandasWithState(
-            _on_events(keep, patience_ms),
-            ENDED,
-            STATE,
-            "append",
-            GroupStateTimeout.EventTimeTimeout,
+
+    def advance(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if batch_id > 0:
+            batch = batch.unionByName(_open_attempts(spark, folder, batch_id - 1, patience))
+        _attempts(batch, keep).write.mode("overwrite").partitionBy("ended").parquet(
+            _version(folder, batch_id)
         )
+        if batch_id > 1:
+            delete(spark, _version(folder, batch_id - 2) + "/ended=false")
+
+    return (
+        useful.writeStream.foreachBatch(advance)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
+def ended_attempts(spark: SparkSession, folder: str) -> DataFrame:
+    """The attempts that have ended, with their last steps."""
+    known = spark.read.schema(f"{ATTEMPT}, batch bigint").parquet(folder)
+    return known.where("ended").select(
+        *KEY, F.transform("steps", lambda s: s["title"]).alias("last_actions"), "ended_at"
     )
-    return ended.withColumn("ended_at", F.timestamp_micros("ended_at"))

@@ -16,7 +16,7 @@ from runlens.schema import STEP_EVENT
 from runlens.session import new_folder
 from runlens.sources import frameworks, jsonl, table
 from runlens.streaming.ingest import stream_ingest
-from runlens.streaming.last_actions import stream_last_actions
+from runlens.streaming.last_actions import ended_attempts, stream_last_actions
 from runlens.workload import inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -487,15 +487,8 @@ def stream_last(spark, sf_dir):
     folder = new_folder(spark, "steps")
     inputs.steps_with_ends(spark, sf_dir).write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(STEP_EVENT).parquet(f"{folder}/in")
-    ended = (
-        stream_last_actions(stream)
-        .writeStream.format("parquet")
-        .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
-        .start(f"{folder}/out")
-    )
-    ended.awaitTermination()
-    found = spark.read.parquet(f"{folder}/out")
+    stream_last_actions(stream, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    found = ended_attempts(spark, f"{folder}/out")
     return _flat(found.select("test_id", "retry", "last_actions"))
 
 

@@ -7,7 +7,7 @@ import pytest
 
 from runlens.operators.steps import last_actions
 from runlens.schema import STEP_EVENT
-from runlens.streaming.last_actions import stream_last_actions
+from runlens.streaming.last_actions import ended_attempts, stream_last_actions
 
 START = datetime(2026, 1, 1, tzinfo=timezone.utc)
 
@@ -44,15 +44,8 @@ def stream(spark, folder, batches, **options):
     for rows in batches:
         frame(spark, rows).coalesce(1).write.mode("append").parquet(f"{folder}/in")
         source = spark.readStream.schema(STEP_EVENT).parquet(f"{folder}/in")
-        (
-            stream_last_actions(source, **options)
-            .writeStream.format("parquet")
-            .option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True)
-            .start(out)
-            .awaitTermination()
-        )
-    return spark.read.parquet(out).collect()
+        stream_last_actions(source, out, checkpoint, **options).awaitTermination()
+    return ended_attempts(spark, out).collect()
 
 
 @pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
@@ -88,7 +81,26 @@ def test_state_is_cleared_at_the_end_and_after_a_lost_end(spark, tmp_path):
     ]
 
 
-def test_a_hot_attempt_is_thinned_before_the_shuffle(spark, tmp_path):
+def test_open_attempts_have_two_versions_at_most(spark, tmp_path):
+    batches = [[step(1, i), step(2 + i, i), step(2 + i, i, end=True)] for i in range(4)]
+    stream(spark, str(tmp_path), batches)
+    kept = sorted(p.parent.name for p in (tmp_path / "out").glob("batch=*/ended=false"))
+    assert kept == ["batch=2", "batch=3"]
+
+
+def test_a_replayed_batch_gives_the_same(spark, tmp_path):
+    batches = [[step(1, i) for i in range(8)], [step(1, i) for i in range(8, 12)] + [step(1, 12, end=True)]]
+    first = stream(spark, str(tmp_path), batches)
+    for folder in ("commits", "offsets"):
+        for name in ("1", ".1.crc"):
+            (tmp_path / "checkpoint" / folder / name).unlink(missing_ok=True)
+    source = spark.readStream.schema(STEP_EVENT).parquet(f"{tmp_path}/in")
+    stream_last_actions(source, f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
+    assert ended_attempts(spark, f"{tmp_path}/out").collect() == first
+    assert by_key(first) == {(1, 0): [f"s{i}" for i in range(2, 12)]}
+
+
+def test_a_hot_attempt(spark, tmp_path):
     rows = [step(1, i, minutes=i / 1000) for i in range(5000)] + [step(1, 5000, end=True)]
     got = stream(spark, str(tmp_path), [rows])
     assert by_key(got) == {(1, 0): [f"s{i}" for i in range(4990, 5000)]}

@@ -33,10 +33,19 @@ MEASURES = {
     "first_run": F.min,
     "last_run": F.max,
 }
-# A session's rows differ in nearly every test, so sessions have a rollup of
-# their own and the daily one stays small.
-DAILY = [d for d in DIMENSIONS if d != "session_id"] + ["duration_band"]
-SESSION = ["session_id", "platform", "device_id"]
+# Narrow rollups, each as fine as its reports need: tests and devices vary too
+# much together for one rollup of both to be smaller than the runs.
+COUNTS = ["n_runs", "n_passed", "n_failed", "last_run"]
+ROLLUPS = {
+    "daily": (
+        ["screen_name", "action_type", "platform", "classification", "result", "duration_band"],
+        list(MEASURES),
+    ),
+    "test": (["test_name", "platform", "screen_name", "classification"], COUNTS),
+    "device": (["device_id", "platform", "classification"], COUNTS),
+    "session": (["session_id", "platform", "device_id"], list(MEASURES)),
+}
+SESSION = ROLLUPS["session"][0]
 
 
 def as_measures(runs: DataFrame) -> DataFrame:
@@ -58,7 +67,9 @@ def as_measures(runs: DataFrame) -> DataFrame:
     )
 
 
-def rollup(runs: DataFrame, dimensions: list[str], measures: list[str] | None = None):
+def rollup(
+    runs: DataFrame, dimensions: list[str], measures: list[str] | None = None
+) -> DataFrame:
     """Runs or a rollup, grouped by the dimensions."""
     merged = [MEASURES[m](m).alias(m) for m in measures or MEASURES]
     return as_measures(runs).groupBy(*dimensions).agg(*merged)

@@ -8,12 +8,18 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.operators.measures import DAILY, SESSION, rollup
+from runlens.operators.measures import ROLLUPS, rollup
 from runlens.plans.reports import REPORTS, latest_session_tests
 from runlens.session import new_folder
 from runlens.sources.table import replace_days
 
-BY_SESSION = ["sessions", "latest_session"]
+# The rollup a report is read off, where not the daily one.
+ROLLUP_OF = {
+    "top_flakes": "test",
+    "devices": "device",
+    "sessions": "session",
+    "latest_session": "session",
+}
 JSON_OPTIONS = {
     "ignoreNullFields": "false",
     "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
@@ -36,8 +42,9 @@ def refresh_rollups(
     day = F.col("run_date")
     if first is not None:
         runs = runs.where(day.between(F.lit(first), F.lit(last)) | day.isNull())
-    replace_days(rollup(runs, DAILY), f"{folder}/daily", ["test_name"])
-    replace_days(rollup(runs, ["run_date", *SESSION]), f"{folder}/session", ["session_id"])
+    for name, (dims, measures) in ROLLUPS.items():
+        cells = rollup(runs, ["run_date", *dims], measures)
+        replace_days(cells, f"{folder}/{name}", dims[:1])
 
 
 def reports(runs: DataFrame, folder: str) -> dict[str, DataFrame]:
@@ -47,13 +54,11 @@ def reports(runs: DataFrame, folder: str) -> dict[str, DataFrame]:
     the days it spans.
     """
     spark = runs.sparkSession
-    daily = spark.read.parquet(f"{folder}/daily")
-    session = spark.read.parquet(f"{folder}/session")
+    rolled = {name: spark.read.parquet(f"{folder}/{name}") for name in ROLLUPS}
     made = {
-        name: report(session if name in BY_SESSION else daily)
-        for name, report in REPORTS.items()
+        name: report(rolled[ROLLUP_OF.get(name, "daily")]) for name, report in REPORTS.items()
     }
-    made["latest_session_tests"] = latest_session_tests(runs, session)
+    made["latest_session_tests"] = latest_session_tests(runs, rolled["session"])
     return made
 
 

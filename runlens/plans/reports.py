@@ -247,6 +247,15 @@ def latest_session(runs: DataFrame) -> DataFrame:
     )
 
 
+def _in_order(found: DataFrame) -> DataFrame:
+    """Runs picked from the table, by time.
+
+    They are shuffled before the sort, which would otherwise scan the table
+    twice: once to learn the ranges and once to fill them.
+    """
+    return found.repartition("id").orderBy("run_at", "id")
+
+
 def latest_session_tests(runs: DataFrame, rolled: DataFrame | None = None) -> DataFrame:
     """The runs of the newest session in order, one row each.
 
@@ -274,12 +283,12 @@ def latest_session_tests(runs: DataFrame, rolled: DataFrame | None = None) -> Da
         F.broadcast(top.select("session_id")), ["session_id"], "left_semi"
     )
     found = dated.select(rows.columns).unionAll(undated.select(rows.columns))
-    return found.drop("run_date").orderBy("run_at", "id")
+    return _in_order(found.drop("run_date"))
 
 
 def session_runs(runs: DataFrame, session_id: str) -> DataFrame:
     """The runs of one session in order."""
-    return runs.where(F.col("session_id") == F.lit(session_id)).orderBy("run_at", "id")
+    return _in_order(runs.where(F.col("session_id") == F.lit(session_id)))
 
 
 def batch_summary(runs: DataFrame) -> DataFrame:

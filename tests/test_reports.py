@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from runlens.operators.grid import run_grid
 from runlens.operators.groups import common_value_by, latest_by
 from runlens.operators.lookup import with_expected_rate
-from runlens.operators.measures import DAILY, SESSION, rollup
+from runlens.operators.measures import ROLLUPS, rollup
 from runlens.operators.reshape import class_matrix, heat_matrix, heat_rows, recent_days, rolling_rate
 from runlens.plans import bundle, reports
 
@@ -167,8 +167,9 @@ def varied(make):
 
 @pytest.mark.parametrize("name", list(reports.REPORTS))
 def test_rollup_gives_the_same_report(varied, name):
-    rolled = rollup(varied, SESSION if name in bundle.BY_SESSION else DAILY)
-    again = rollup(rolled, SESSION if name in bundle.BY_SESSION else DAILY)
+    dims, measures = ROLLUPS[bundle.ROLLUP_OF.get(name, "daily")]
+    rolled = rollup(varied, ["run_date", *dims], measures)
+    again = rollup(rolled, ["run_date", *dims], measures)
     expected = rows(reports.REPORTS[name](varied))
     assert rows(reports.REPORTS[name](rolled)) == expected
     assert rows(reports.REPORTS[name](again)) == expected

@@ -47,6 +47,13 @@ def refresh_rollups(
         replace_days(cells, f"{folder}/{name}", dims[:1])
 
 
+def write_rollups(runs: DataFrame, folder: str) -> None:
+    """Write rollups for one use: by day only where a report is."""
+    for name, (dims, measures) in ROLLUPS.items():
+        keys = ["run_date", *dims] if name == "daily" else dims
+        rollup(runs, keys, measures).write.parquet(f"{folder}/{name}")
+
+
 def reports(runs: DataFrame, folder: str) -> dict[str, DataFrame]:
     """Every report, read off the rollups in the folder.
 
@@ -63,10 +70,10 @@ def reports(runs: DataFrame, folder: str) -> dict[str, DataFrame]:
 
 
 def report_bundle(runs: DataFrame, folder: str | None = None) -> DataFrame:
-    """All reports as rows of (report, payload), off fresh rollups or those given."""
+    """All reports as rows of (report, payload), off rollups in a folder or new ones."""
     if folder is None:
         folder = new_folder(runs.sparkSession, "rollups")
-        refresh_rollups(runs, folder)
+        write_rollups(runs, folder)
     rows = [
         report_json(df).select(F.lit(name).alias("report"), "payload")
         for name, df in reports(runs, folder).items()

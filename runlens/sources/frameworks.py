@@ -26,6 +26,10 @@ def _no_actions() -> Column:
     return F.array().cast("array<string>")
 
 
+def _or_else(value: Column | None, default: str) -> Column:
+    return F.lit(default) if value is None else F.coalesce(value, F.lit(default))
+
+
 def _records(native: DataFrame, **columns: Column) -> DataFrame:
     absent = F.lit(None).cast("string")
     columns = {"classification": absent, "classification_reason": absent} | columns
@@ -48,7 +52,7 @@ def conform_detox(
         test_file=F.col("testFilePath"),
         test_name=F.col("testTitle"),
         platform=platform,
-        device_id=F.coalesce(device_id, F.lit("unknown")) if device_id is not None else F.lit("unknown"),
+        device_id=_or_else(device_id, "unknown"),
         duration_ms=F.col("duration"),
         result=F.col("status"),
         error_message=F.array_join(messages, "\n", ""),
@@ -95,7 +99,7 @@ def conform_pytest(
         test_file=F.col("fspath"),
         test_name=F.col("name"),
         platform=F.lit("selenium"),
-        device_id=F.coalesce(device_id, F.lit("chrome")) if device_id is not None else F.lit("chrome"),
+        device_id=_or_else(device_id, "chrome"),
         duration_ms=(F.col("duration") * F.lit(1000)).cast("bigint"),
         result=F.when(F.col("exc").isNull(), "passed").otherwise("failed"),
         error_message=F.coalesce("exc", F.lit("")),

@@ -54,6 +54,14 @@ def read_runs(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return _filled(_checked(_numbered(_positioned(lines))))
 
 
+def _set_apart(numbered: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Readable records, and the text of the others."""
+    bad = F.col(CORRUPT).isNotNull() | _any_missing()
+    text = F.coalesce(F.col(CORRUPT), F.to_json(F.struct(*RAW_RUN.fieldNames())))
+    rejected = numbered.where(bad).select(*POSITION, text.alias("record"))
+    return _filled(numbered.where(~bad).drop(CORRUPT)), rejected
+
+
 def read_runs_lenient(
     spark: SparkSession, path: str | list[str]
 ) -> tuple[DataFrame, DataFrame]:
@@ -63,24 +71,29 @@ def read_runs_lenient(
         .option("columnNameOfCorruptRecord", CORRUPT)
         .json(path)
     )
-    numbered = _numbered(_positioned(lines))
-    bad = F.col(CORRUPT).isNotNull() | _any_missing()
-    text = F.coalesce(F.col(CORRUPT), F.to_json(F.struct(*RAW_RUN.fieldNames())))
-    rejected = numbered.where(bad).select(*POSITION, text.alias("record"))
-    return _filled(numbered.where(~bad).drop(CORRUPT)), rejected
+    return _set_apart(_numbered(_positioned(lines)))
 
 
-def stream_runs(spark: SparkSession, path: str, **options: str) -> DataFrame:
+def stream_runs(spark: SparkSession, path: str, strict: bool = True, **options: str) -> DataFrame:
     """New run files of a folder as a stream; rows are numbered per micro-batch."""
-    reader = spark.readStream.schema(RAW_RUN).option("mode", "FAILFAST")
-    return _positioned(reader.options(**options).json(path))
+    reader = spark.readStream.options(**options)
+    if strict:
+        reader = reader.schema(RAW_RUN).option("mode", "FAILFAST")
+    else:
+        reader = reader.schema(WITH_CORRUPT).option("columnNameOfCorruptRecord", CORRUPT)
+    return _positioned(reader.json(path))
 
 
 def from_stream(batch: DataFrame) -> DataFrame:
-    """A micro-batch of ``stream_runs`` as ``read_runs`` would give it."""
+    """A micro-batch of a strict stream as ``read_runs`` would give it."""
     return _filled(_checked(_numbered(batch)))
 
 
+def from_stream_lenient(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A micro-batch of a lenient stream as ``read_runs_lenient`` would give it."""
+    return _set_apart(_numbered(batch))
+
+
 def to_table_rows(records: DataFrame) -> DataFrame:
     """Records with the derived columns of the runs table, not yet classified."""
     moment = utc_time(F.col("run_at"))

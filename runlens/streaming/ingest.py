@@ -7,7 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from runlens.plans.classify_batch import Classifier
 from runlens.plans.ingest import load_records
-from runlens.sources.jsonl import from_stream, stream_runs
+from runlens.sources.jsonl import from_stream, from_stream_lenient, stream_runs
 
 
 def stream_ingest(
@@ -16,18 +16,26 @@ def stream_ingest(
     table: str,
     checkpoint: str,
     classifier: Classifier | None = None,
+    quarantine: str | None = None,
     **options: str,
 ) -> StreamingQuery:
     """Load the new files of a folder into the runs table and stop.
 
     A micro-batch that is replayed finds its rows stored and adds none.
+    Unreadable records stop the stream, or go to ``quarantine``, where each
+    micro-batch has a folder of its own.
     """
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        load_records(from_stream(batch), table, classifier)
+        if quarantine is None:
+            records = from_stream(batch)
+        else:
+            records, rejected = from_stream_lenient(batch)
+            rejected.write.mode("overwrite").json(f"{quarantine}/batch={batch_id}")
+        load_records(records, table, classifier)
 
     return (
-        stream_runs(spark, path, **options)
+        stream_runs(spark, path, strict=quarantine is None, **options)
         .writeStream.foreachBatch(load)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

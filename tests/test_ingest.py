@@ -253,6 +253,15 @@ def test_stream_loads_new_files_only(spark, tmp_path):
     assert load(str(tmp_path / "lost-checkpoint")) == 2
 
 
+def test_stream_sets_bad_lines_aside(spark, tmp_path):
+    write_lines(tmp_path / "in" / "a.jsonl", [record(), "{not json", {"test_name": "t"}])
+    where = [str(tmp_path / name) for name in ("in", "runs", "checkpoint")]
+    stream_ingest(spark, *where, quarantine=str(tmp_path / "bad")).awaitTermination()
+    assert read_table(spark, where[1]).count() == 1
+    texts = {r.record for r in spark.read.json(str(tmp_path / "bad")).collect()}
+    assert texts == {"{not json", '{"test_name":"t"}'}
+
+
 def test_a_large_day_is_spread_over_tasks(spark, tmp_path):
     """One day holds most rows; its partition is split and small ones are joined."""
     from runlens.sources.table import append_table

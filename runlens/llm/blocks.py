@@ -5,12 +5,14 @@ A *block* is a run of documents of bounded size that one task handles at a time.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +44,13 @@ def kept(df: DataFrame, purpose: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def bucketed(df: DataFrame, name: str, n: int) -> DataFrame:
+    """Rows of blocks as a table in the shared folder, bucketed by block: joins by block leave them where they are."""
+    spark, name = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(n, "block").option("path", new_folder(spark, name)).format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def shares(df: DataFrame, size, per_share: int, least: int = 1) -> int:
     """How many shares of about ``per_share`` a table has, by the sum of ``size``."""
     total = df.agg(F.sum(size).alias("n")).first().n or 0
@@ -140,6 +149,31 @@ def windows(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(h)
 
 
+def pack(numbers: np.ndarray) -> bytes:
+    """The numbers compressed, their bytes of equal weight together."""
+    planes = numbers.view(np.uint8).reshape(len(numbers), numbers.dtype.itemsize).T
+    return zstandard.compress(planes.tobytes(), 1)
+
+
+def unpack(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
+def pack_sorted(numbers: np.ndarray) -> bytes:
+    """Ascending 64-bit integers, as differences."""
+    return pack(np.diff(numbers, prepend=np.uint64(0)))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data, np.uint64), dtype=np.uint64)
+
+
+def share_of(hashes: np.ndarray, n_shares: int) -> np.ndarray:
+    """Which of ``n_shares`` ranges of hashes each one is in; ascends with the hash."""
+    return ((hashes >> np.uint64(40)) * np.uint64(n_shares) >> np.uint64(24)).astype(np.int64)
+
+
 def row_of(offsets: np.ndarray) -> np.ndarray:
     """For every item the row it belongs to, from the rows' offsets."""
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))

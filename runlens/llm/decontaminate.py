@@ -21,7 +21,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,17 +34,6 @@ BROADCAST_TERMS = 4_000_000
 INDEX = "kind int, block long, bucket int, ids array<long>, has_id array<boolean>, n_words array<long>, data binary"
 
 
-def _pack(numbers: np.ndarray) -> bytes:
-    """Compressed, the bytes of equal weight together."""
-    return zstandard.compress(numbers.view(np.uint8).reshape(len(numbers), -1).T.tobytes(), 1)
-
-
-def _unpack(data: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8)
-    return np.ascontiguousarray(planes.reshape(size, -1).T).view(kind).reshape(-1)
-
-
 def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, starts = B.text_bytes(column)
     data = B.LOWER[data]
@@ -74,7 +62,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
             if a < b:
                 stop = first[b] if b < len(first) else len(terms)
-                parts = _pack(distinct[a:b]), _pack(counts[a:b]), _pack(places[first[a] : stop])
+                parts = B.pack(distinct[a:b]), B.pack(counts[a:b]), B.pack(places[first[a] : stop])
                 head = np.array([len(x) for x in parts[:2]], np.uint32).tobytes()
                 rows["bucket"].append(bucket)
                 rows["data"].append(head + b"".join(parts))
@@ -137,22 +125,22 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in batch.to_pylist():
             data, wanted = row["data"], np.unique(np.array(row["terms"], np.int64).view(np.uint64))
             a, b = np.frombuffer(data[:8], np.uint32).astype(int) + 0
-            terms = _unpack(data[8 : 8 + a], np.uint64)
+            terms = B.unpack(data[8 : 8 + a], np.uint64)
             at = np.searchsorted(terms, wanted)
             there = at < len(terms)
             there[there] = terms[at[there]] == wanted[there]
             at = at[there]
             if not len(at):
                 continue
-            counts = _unpack(data[8 + a : 8 + a + b], np.uint32).astype(np.int64)
-            places = _unpack(data[8 + a + b :], np.uint32)
+            counts = B.unpack(data[8 + a : 8 + a + b], np.uint32).astype(np.int64)
+            places = B.unpack(data[8 + a + b :], np.uint32)
             ends = np.cumsum(counts)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([row["block"]] * len(at), pa.int64()),
                     pa.array(terms[at].view(np.int64)),
                     pa.array(counts[at]),
-                    pa.array([_pack(places[ends[i] - counts[i] : ends[i]]) for i in at], pa.binary()),
+                    pa.array([B.pack(places[ends[i] - counts[i] : ends[i]]) for i in at], pa.binary()),
                 ],
                 ["block", "term", "n", "places"],
             )
@@ -196,7 +184,7 @@ def _search(slop: int):
         starts = offsets[:-1] + np.arange(len(n_words))
         document = np.repeat(np.arange(len(n_words)), n_words + 1)
         lists = rows[rows["kind"] == 1]
-        places = {t: _unpack(p, np.uint32).astype(np.int64) for t, p in zip(lists["term"], lists["places"])}
+        places = {t: B.unpack(p, np.uint32).astype(np.int64) for t, p in zip(lists["term"], lists["places"])}
         cover = np.zeros(len(document) + 1, np.int64)
         items: dict[int, set] = {}
         asked = rows[rows["kind"] == 2]

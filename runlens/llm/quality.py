@@ -36,7 +36,7 @@ LANGUAGE_SHARE = 1 / 1000
 CLASS_GUARD, CLASS_LIMIT, CLASS_WIDEN = 200, 0.16, 3.0
 WORD_GUARD, WORD_LIMIT, WORD_WIDEN = 50, 0.20, 2.0
 #: Text for which the words are counted in one task.
-SHARE_BYTES = 64 << 20
+SHARE_BYTES = 16 << 20
 
 CLASSES = ("lower", "upper", "other letter", "digit", "space", "line end", "comma or stop", "symbol", "other punctuation", "control")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import dartminhash, decontaminate, quality
+from runlens.llm import dartminhash, decontaminate, lm_score, quality, repeats
 from runlens.llm.blocks import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,19 @@ def query(name: str, sql: str | None = None):
     return note
 
 
+@query("op1_lm_score")
+def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents scored by word frequencies and by the suffix tree, both learnt from six sevenths."""
+    return lm_score.scores(table(spark, sf_dir, "documents"))
+
+
+@query("op3_repeated_strings")
+def repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of the documents without strings of 50 bytes that an earlier one has."""
+    found = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op6_decontamination", r"""
 with words as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

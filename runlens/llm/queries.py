@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import dartminhash, decontaminate, lm_score, quality, repeats
+from runlens.llm import dartminhash, decontaminate, lm_score, quality, repeats, token_files
 from runlens.llm.blocks import table
 
+TOKENIZER = "word_bpe_49k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -79,3 +82,10 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of near copies that each document belongs to."""
     return dartminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op9_token_files")
+def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' token ids, written to grammar-compressed files and read back."""
+    files = token_files.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return token_files.read_tokens(files)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import dartminhash, decontaminate, lm_score, quality, repeats, token_files
+from runlens.llm import chat, dartminhash, decontaminate, lm_score, mixing, pii, quality, repeats, token_files, warc
 from runlens.llm.blocks import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -33,6 +33,22 @@ def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.scores(table(spark, sf_dir, "documents"))
 
 
+@query("op2_warc", """
+with p as (
+  select page_id, encode(coalesce(html, '')) as payload from pages),
+d as (select page_id, octet_length(payload) as payload_bytes, sha1(payload) as payload_digest from p),
+k as (select payload_digest, max(page_id) as keep from d where payload_bytes >= 1000 group by payload_digest)
+select page_id, payload_bytes, payload_digest,
+  case when keep is not null and page_id is distinct from keep then 'revisit' else 'response' end as record_type,
+  case when keep is not null and page_id is distinct from keep then keep end as refers_to
+from d left join (select * from k) using (payload_digest)""")
+def warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages, written to archives and read back."""
+    files = warc.write_archives(table(spark, sf_dir, "pages"))
+    found = warc.read_archives(files, payload=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op3_repeated_strings")
 def repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of the documents without strings of 50 bytes that an earlier one has."""
@@ -40,6 +56,25 @@ def repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("op4_mixing")
+def mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mix takes each document."""
+    found = mixing.mix(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
+
+
+@query("op5_personal_data")
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in the documents."""
+    found = pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.col("spans")
+    counts = [
+        F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.BASE
+    ]
+    base = F.filter(spans, lambda s: s["kind"].isin(*pii.BASE))
+    return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(spans).alias("spans"))
+
+
 @query("op6_decontamination", r"""
 with words as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -89,3 +124,40 @@ def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents' token ids, written to grammar-compressed files and read back."""
     files = token_files.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
     return token_files.read_tokens(files)
+
+
+@query("op10_chat", r"""
+with rows as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+marked as (
+  select *, regexp_replace(text, '([<\[])(\\*)(/?s>|/?<SYS>>|/SYS>>|</SYS>>|/?INST\]|/?ROLE\]|TURN\]|END\])', '\1\\\2\3', 'g') as escaped,
+    regexp_replace(role, '([<\[])(\\*)(/?s>|/?<SYS>>|/SYS>>|</SYS>>|/?INST\]|/?ROLE\]|TURN\]|END\])', '\1\\\2\3', 'g') as name,
+    row_number() over (partition by conv_id order by turn nulls first, role, text) as n,
+    lag(role) over (partition by conv_id order by turn nulls first, role, text) as before
+  from rows)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by n)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by n) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(length(escaped) + case when before = role then 6 else
+    case role when 'system' then 15 when 'user' then 13 when 'assistant' then 7 else 18 + length(name) end end)::bigint as formatted_chars
+from marked group by conv_id""")
+def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as marked texts, and what can be read back from these."""
+    text = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame(
+        [(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string"
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    found = chat.format_conversations(rows).withColumn("turns", chat.read_turns(F.col("formatted")))
+    found = found.withColumn("learnt", chat.learnt_text(F.col("formatted"), F.col("loss")))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return found.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(turns, 256).alias("turns_sha256"),
+        F.length("learnt").cast("long").alias("loss_chars"),
+        F.sha2(F.col("learnt"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )

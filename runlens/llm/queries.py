@@ -68,11 +68,12 @@ def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in the documents."""
     found = pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = F.col("spans")
-    counts = [
-        F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.BASE
-    ]
+
+    def count(kind: str):
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     base = F.filter(spans, lambda s: s["kind"].isin(*pii.BASE))
-    return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(spans).alias("spans"))
+    return found.select("doc_id", *map(count, pii.BASE), F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(spans).alias("spans"))
 
 
 @query("op6_decontamination", r"""

@@ -1,14 +1,20 @@
-"""From raw documents to token files: five stages, each over all the one before has kept."""
+"""From raw documents to token files: five stages, each over all the one before has kept.
+
+Every stage takes the documents its predecessor returned, read again from Parquet. Rows
+that share a doc_id are one document from the second stage on.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import dartminhash, decontaminate, quality
+from runlens.llm import dartminhash, decontaminate, mixing, quality, token_files
 from runlens.llm.blocks import kept, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+TOKENIZER = "word_bpe_49k.json"
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,11 +32,31 @@ def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    bad = found.where("contaminated").select(F.col("doc_id").alias("bad_id"))
+    bad = found.where("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
 
 
-STAGES = [("quality", good), ("near_duplicates", unique), ("decontamination", clean)]
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, a row a copy; not at all where that is never."""
+    taken = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("mixed_id"), "copies")
+    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["mixed_id"]))
+    copies = F.explode(F.sequence(F.lit(1), F.col("copies")))
+    return rows.withColumn("copy", copies).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' token ids, written to files and read back."""
+    return token_files.read_tokens(token_files.write_tokens(docs, public_tokenizers.path(TOKENIZER)))
+
+
+STAGES = [
+    ("quality rules", good),
+    ("near duplicates", unique),
+    ("decontamination", clean),
+    ("mixing", mixed),
+    ("token files", tokens),
+]
+#: Shingle links and token ids are beyond SQL; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
@@ -38,5 +64,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table; each one's result is written and read again."""
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
     for name, stage in STAGES[:-1]:
-        docs = kept(stage(spark, docs, sf_dir), name)
+        docs = kept(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -15,11 +15,12 @@ from runlens.llm.blocks import kept, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 TOKENIZER = "word_bpe_49k.json"
+VERDICT = "quality rules' verdict"
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality.quality(docs, tuple(docs.columns)).where("kept").select(*docs.columns)
+    return quality.judged(docs, VERDICT).where(F.col(VERDICT)["kept"]).select(*docs.columns)
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +41,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, a row a copy; not at all where that is never."""
     taken = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("mixed_id"), "copies")
     rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["mixed_id"]))
-    copies = F.explode(F.sequence(F.lit(1), F.col("copies")))
-    return rows.withColumn("copy", copies).select(*docs.columns)
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    return rows.select(row, F.explode(F.sequence(F.lit(1), taken["copies"]))).select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

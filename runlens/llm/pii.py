@@ -115,11 +115,12 @@ def _found(text: Column, kind: Kind) -> Column:
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """The documents with ``spans``: array of (kind, start, end, score), by kind and then by place."""
+    """The documents with ``spans``: array of (kind, start, end, score), by kind and then by place.
+
+    A column of that name is replaced.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    parts = [f"_{k.name}" for k in KINDS]
-    found = docs.withColumns({p: _found(text, k) for p, k in zip(parts, KINDS)})
-    return found.withColumn("spans", F.concat(*parts)).drop(*parts)
+    return docs.withColumn("spans", F.concat(*[_found(text, k) for k in KINDS]))
 
 
 def listed(spans: Column) -> Column:

@@ -222,7 +222,7 @@ def _duplicate_lines(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.bincount(row, minlength=n) - np.bincount(row[at], minlength=n)
 
 
-def _judge(refs: dict, schema: list[str]):
+def _judge(refs: dict, carry: list[str], name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in B.blocks(batches):
             data, starts = B.text_bytes(batch.column("text"))
@@ -259,9 +259,8 @@ def _judge(refs: dict, schema: list[str]):
                 "word_distance": far[1],
                 "kept": ~(base | odd),
             }
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in schema] + [pa.array(x) for x in out.values()], [*schema, *out]
-            )
+            verdict = pa.StructArray.from_arrays([pa.array(x) for x in out.values()], list(out))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in carry] + [verdict], [*carry, name])
 
     return run
 
@@ -272,14 +271,20 @@ VERDICT = (
 )
 
 
-def quality(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Each document's counts, its two distances and whether it is kept.
+def judged(docs: DataFrame, name: str = "verdict") -> DataFrame:
+    """The documents with all their columns and one more, ``name``: a struct of counts, distances and ``kept``.
 
-    ``docs`` needs text and lang; the columns in ``carry`` are returned beside the verdict.
+    A column of that name is replaced.
     """
-    docs = docs.withColumn("text", F.col("text").cast("string")).withColumn("lang", F.col("lang").cast("string"))
-    refs = references(docs)
-    need = list(dict.fromkeys([*carry, "text", "lang"]))
+    carry = [c for c in docs.columns if c != name]
     types = dict(docs.dtypes)
-    schema = ", ".join([f"`{c}` {types[c]}" for c in carry] + [VERDICT])
-    return docs.select(*need).mapInArrow(_judge(refs, list(carry)), schema)
+    docs = docs.withColumns({c: F.col(c).cast("string") for c in ("text", "lang")})
+    refs = references(docs)
+    schema = ", ".join([f"`{c}` {'string' if c in ('text', 'lang') else types[c]}" for c in carry])
+    fields = VERDICT.replace(" ", ":").replace(",:", ", ")
+    return docs.select(*carry).mapInArrow(_judge(refs, carry, name), f"{schema}, `{name}` struct<{fields}>")
+
+
+def quality(docs: DataFrame) -> DataFrame:
+    """(doc_id, counts, distances, base_failed, kept) of each document; ``docs`` needs text and lang."""
+    return judged(docs.select("doc_id", "text", "lang")).select("doc_id", "verdict.*")

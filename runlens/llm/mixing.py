@@ -9,9 +9,9 @@ the source's words meet its target; each step is one aggregation over the counts
 sizes, with exact decimal sums, so reruns agree.
 
 Rates become copies within hashed buckets of a source's documents, from the longest
-document to the shortest: each gets the whole number below or above its rate, whichever
-leaves the smaller debt of words, and the debt is handed on. So a bucket ends within
-about its shortest document's words of the target.
+document to the shortest: each gets the whole number of copies nearest to what its rate
+and the debt of words before it ask for, and the new debt is handed on. So a bucket ends
+about as near to its target as its shorter documents allow.
 
 Null texts have no words. Sources are ordered by code point, a null source last. Weights
 repeat along that order. Empty sources get nothing. Rows that share an id are taken each
@@ -123,15 +123,13 @@ def tilts(sized: DataFrame, of: DataFrame, most: int = MOST) -> DataFrame:
     return state.select("source", "source_size", "target", "mean", "v")
 
 
-def _rounded(rows: pa.Table) -> pa.Table:
+def _rounded(rows: pa.Table, most: int) -> pa.Table:
     """One bucket's copies: rates rounded so that the words add up."""
     rows = rows.sort_by([("size", "descending"), ("doc_id", "ascending")])
     debt, copies = 0.0, []
     for size, rate in zip(rows["size"].to_pylist(), rows["rate"].to_pylist()):
-        low = math.floor(rate)
         due = rate * size + debt
-        up = rate > low and due - low * size > 0.5 * size
-        copies.append(low + up)
+        copies.append(min(most, max(0, math.ceil(due / size - 0.5))) if size else 0)
         debt = due - copies[-1] * size
     copies = pa.array(copies, pa.int64())
     taken = pc.multiply(copies, rows["size"])
@@ -152,4 +150,4 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOTA
     columns = ["doc_id", "source", "size", "source_size", "target", "rate"]
     found = B.kept(found.withColumn("bucket", bucket).select(*columns, "bucket"), "rates")
     schema = "doc_id long, source string, size long, source_size long, target double, rate double, copies long, taken long"
-    return found.groupBy("source", "bucket").applyInArrow(_rounded, schema)
+    return found.groupBy("source", "bucket").applyInArrow(lambda rows: _rounded(rows, most), schema)

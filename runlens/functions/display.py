@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from runlens.functions.scalars import pct1_half_up
+
 MISSING = "—"
 
 # Lower bounds (exclusive) of the bands, and the last band.
@@ -77,8 +79,8 @@ def _share(part: Column, whole: Column) -> Column:
 
 
 def rate_text(part: Column, whole: Column) -> Column:
-    """A percentage to one decimal."""
-    return F.round(_share(part, whole), 1)
+    """A percentage to one decimal, by its exact binary value; NULL for an empty whole."""
+    return pct1_half_up(part, whole)
 
 
 def whole_pct(part: Column, whole: Column) -> Column:

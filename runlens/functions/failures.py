@@ -52,13 +52,22 @@ RULES = [
 NO_RULE = ("UNKNOWN", "no rule matches the error")
 
 
+def _head(text: Column, chars: int | None) -> Column:
+    return text if chars is None else F.substring(text, 1, chars)
+
+
 def failure_prompt(
-    test_name: Column, platform: Column, error: Column, actions: Column
+    test_name: Column,
+    platform: Column,
+    error: Column,
+    actions: Column,
+    error_chars: int | None = ERROR_CHARS,
 ) -> Column:
+    """The question about a failure; it quotes ``error_chars`` of the error, None for all."""
     fields = {
         "{test_name}": F.coalesce(test_name, F.lit("")),
         "{platform}": F.coalesce(platform, F.lit("unknown")),
-        "{error_message}": F.substring(F.coalesce(error, F.lit("")), 1, ERROR_CHARS),
+        "{error_message}": _head(F.coalesce(error, F.lit("")), error_chars),
         "{last_actions}": actions_json(actions),
     }
     parts, rest = [], PROMPT
@@ -68,8 +77,11 @@ def failure_prompt(
     return F.concat(*parts, F.lit(rest))
 
 
-def parse_reply(reply: Column) -> Column:
-    """``CATEGORY|reason`` as a struct of both; NULL fields without a reply."""
+def parse_reply(reply: Column, reply_chars: int | None = REPLY_CHARS) -> Column:
+    """``CATEGORY|reason`` as a struct of both; NULL fields without a reply.
+
+    The reason for an unreadable reply quotes ``reply_chars`` of it, None for all.
+    """
     text = strip(reply)
     bar = F.locate("|", text)
     category = F.upper(strip(F.substring(text, F.lit(1), bar - 1)))
@@ -81,7 +93,7 @@ def parse_reply(reply: Column) -> Column:
         F.when(known, strip(F.substring(text, bar + 1, F.length(text))))
         .when(
             text.isNotNull(),
-            F.concat(F.lit(UNREADABLE), F.substring(text, 1, REPLY_CHARS)),
+            F.concat(F.lit(UNREADABLE), _head(text, reply_chars)),
         )
         .alias("classification_reason"),
     )

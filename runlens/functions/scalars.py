@@ -144,26 +144,37 @@ def pct1(part: Column, whole: Column) -> Column:
     )
 
 
-def pct1_half_even(part: Column, whole: Column) -> Column:
-    """Percentage to one decimal, rounded half-even on the exact binary value.
+def _tenths(x: Column, tie_up) -> Column:
+    """A value >= 0 to one decimal, by its exact binary value.
 
-    Ten times the percentage is formed as 8x + 2x, whose rounding error is
-    recovered exactly, so a value that only looks like a tie is told apart
-    from a real one.
+    Ten times the value is formed as 8x + 2x, whose rounding error is recovered
+    exactly, so a value that only looks like a tie is told apart from a real
+    one. ``tie_up`` says of a tie's lower neighbour whether to go above it.
     """
-    x = part.cast("double") / F.when(whole != 0, whole.cast("double")) * F.lit(100.0)
     big, small = x * F.lit(8.0), x * F.lit(2.0)
     total = big + small
     kept = total - big
     error = (big - (total - kept)) + (small - kept)
     below = F.floor(total)
     rest = total - below
-    up = (rest > 0.5) | (
-        (rest == 0.5) & ((error > 0) | ((error == 0) & (below % 2 == 1)))
-    )
+    up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & tie_up(below))))
     return (below + F.when(up, 1).otherwise(0)).cast("double") / F.lit(10.0)
 
 
+def _percent(part: Column, whole: Column) -> Column:
+    return part.cast("double") / F.when(whole != 0, whole.cast("double")) * F.lit(100.0)
+
+
+def pct1_half_even(part: Column, whole: Column) -> Column:
+    """Percentage to one decimal, exact ties to the even neighbour."""
+    return _tenths(_percent(part, whole), lambda below: below % 2 == 1)
+
+
+def pct1_half_up(part: Column, whole: Column) -> Column:
+    """Percentage to one decimal, exact ties upwards: as fixed-point text shows it."""
+    return _tenths(_percent(part, whole), lambda below: F.lit(True))
+
+
 def whole_seconds(total_ms: Column, n: Column) -> Column:
     """Mean of durations given as sum and count, in whole seconds."""
     mean = total_ms.cast("double") / F.when(n != 0, n.cast("double"))
@@ -192,8 +203,16 @@ def actions_json(actions: Column) -> Column:
 
 
 def _json_string(text: Column) -> Column:
+    """A JSON string in ASCII: any other character is written as its UTF-16 units."""
     listed = F.to_json(F.array(text))
-    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+    plain = F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+    def escaped(c: Column) -> Column:
+        units = F.lower(F.hex(F.encode(c, "UTF-16BE")))
+        return F.when(F.ascii(c) < 128, c).otherwise(F.regexp_replace(units, "(....)", r"\\u$1"))
+
+    spelled = F.array_join(F.transform(F.split(plain, ""), escaped), "")
+    return F.when(plain.rlike(r"[^\x00-\x7F]"), spelled).otherwise(plain)
 
 
 def actions_from_json(text: Column) -> Column:

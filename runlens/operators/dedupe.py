@@ -7,8 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPREAD = 4096
-
 
 def _has_key(keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
@@ -35,18 +33,13 @@ def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def not_stored(incoming: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     """Incoming rows whose key is not stored; a NULL in a key matches nothing.
 
-    Rows that cannot match are spread over the shuffle by their content, where
-    their common NULL would send them all to one task.
+    Rows without a key go past the join, which would send them all to one task.
+    The stored side is not made distinct: an anti join needs no distinct keys, and
+    with nothing between shuffle and join adaptive execution can split a hot key.
     """
-    row_hash = F.xxhash64(*[F.col(c) for c in incoming.columns])
-    lane = F.when(_has_key(keys), 0).otherwise(1 + F.pmod(row_hash, F.lit(SPREAD)))
-    known = stored.where(_has_key(keys)).select(*keys).distinct()
-    known = known.withColumn("_lane", F.lit(0).cast("bigint"))
-    return (
-        incoming.withColumn("_lane", lane.cast("bigint"))
-        .join(known, [*keys, "_lane"], "left_anti")
-        .select(*incoming.columns)
-    )
+    known = stored.where(_has_key(keys)).select(*keys)
+    fresh = incoming.where(_has_key(keys)).join(known, keys, "left_anti").select(*incoming.columns)
+    return fresh.unionAll(incoming.where(~_has_key(keys)))
 
 
 def merge_new_runs(

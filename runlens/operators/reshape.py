@@ -12,6 +12,8 @@ from runlens.operators.groups import rate_by
 from runlens.operators.measures import as_measures, rollup
 from runlens.schema import CLASSES
 
+OTHER = "OTHER"
+
 
 def rolling_rate(runs: DataFrame, days: int = 7) -> DataFrame:
     """Failure percentage pooled over each day and the ``days - 1`` before it.
@@ -69,15 +71,26 @@ def dim_values(df: DataFrame, dims: list[str]) -> DataFrame:
     )
 
 
+def _classified_failures(runs: DataFrame) -> DataFrame:
+    return as_measures(runs).where(is_failed(F.col("result")) & F.col("classification").isNotNull())
+
+
+def class_counts(runs: DataFrame) -> DataFrame:
+    """Failures per day and category, as a map of all categories the day has."""
+    cells = _classified_failures(runs).groupBy(F.col("run_date").alias("day"), "classification")
+    pairs = F.sort_array(F.collect_list(F.struct("classification", "n")))
+    counted = cells.agg(F.sum("n_runs").alias("n")).groupBy("day").agg(pairs.alias("pairs"))
+    return counted.select("day", F.map_from_entries("pairs").alias("counts")).orderBy("day")
+
+
 def class_matrix(runs: DataFrame, classes: list[str] = CLASSES) -> DataFrame:
-    """Failures per day, one column per category, 0 where there are none."""
-    failed = as_measures(runs).where(
-        is_failed(F.col("result")) & F.col("classification").isNotNull()
-    )
+    """Failures per day, a column per given category and ``OTHER`` for all the rest."""
+    klass = F.col("classification")
     cells = [
-        F.sum(F.when(F.col("classification") == c, F.col("n_runs")).otherwise(0)).alias(c)
-        for c in classes
+        F.sum(F.when(which, F.col("n_runs")).otherwise(0)).alias(name)
+        for name, which in [*((c, klass == c) for c in classes), (OTHER, ~klass.isin(*classes))]
     ]
+    failed = _classified_failures(runs)
     return failed.groupBy(F.col("run_date").alias("day")).agg(*cells).orderBy("day")
 
 

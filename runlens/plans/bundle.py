@@ -8,10 +8,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.operators.measures import ROLLUPS, rollup
+from runlens.operators.measures import MEASURES, ROLLUPS, as_measures
 from runlens.plans.reports import REPORTS, latest_session_tests
-from runlens.session import new_folder
-from runlens.sources.table import replace_days
+from runlens.session import new_folder, staging
+from runlens.sources.table import on_days, replace_days
 
 # The rollup a report is read off, where not the daily one.
 ROLLUP_OF = {
@@ -31,27 +31,51 @@ def report_json(report: DataFrame) -> DataFrame:
     return report.select(F.to_json(F.struct("*"), JSON_OPTIONS).alias("payload"))
 
 
+def _rollups(runs: DataFrame, by_day: bool) -> DataFrame:
+    """All rollups from one scan, told apart by ``rollup``; other dimensions are NULL."""
+    sets = {
+        name: [*(["run_date"] if by_day or name == "daily" else []), *dims]
+        for name, (dims, _) in ROLLUPS.items()
+    }
+    every = list(dict.fromkeys(d for dims in sets.values() for d in dims))
+    merged = [MEASURES[m](m).alias(m) for m in MEASURES]
+    cells = as_measures(runs).groupingSets([[F.col(d) for d in dims] for dims in sets.values()], *every)
+    cells = cells.agg(F.grouping_id().alias("_set"), *merged)
+    name = F.lit(None).cast("string")
+    for rollup_name, dims in sets.items():
+        bits = sum(0 if d in dims else 1 << k for k, d in enumerate(reversed(every)))
+        name = F.when(F.col("_set") == bits, rollup_name).otherwise(name)
+    return cells.withColumn("rollup", name).drop("_set")
+
+
+def _pick(cells: DataFrame, name: str, by_day: bool) -> DataFrame:
+    dims, measures = ROLLUPS[name]
+    keys = ["run_date", *dims] if by_day or name == "daily" else dims
+    return cells.where(F.col("rollup") == name).select(*keys, *measures)
+
+
 def refresh_rollups(
-    runs: DataFrame, folder: str, first: date | None = None, last: date | None = None
+    runs: DataFrame, folder: str, days: tuple[date | None, ...] | None = None
 ) -> None:
-    """Write the rollups the reports read, or only their days ``first`` to ``last``.
+    """Write the rollups the reports read, or only those of some days.
 
     A load adds runs to the days it names, so refreshing these after each load
-    keeps the rollups whole without reading the rest of the table.
+    keeps the rollups whole without reading the rest of the table. The runs are
+    read once; the cells are staged, since each rollup is written by itself.
     """
-    day = F.col("run_date")
-    if first is not None:
-        runs = runs.where(day.between(F.lit(first), F.lit(last)) | day.isNull())
-    for name, (dims, measures) in ROLLUPS.items():
-        cells = rollup(runs, ["run_date", *dims], measures)
-        replace_days(cells, f"{folder}/{name}", dims[:1])
+    if days is not None:
+        runs = on_days(runs, days)
+    with staging(runs.sparkSession, "cells") as staged:
+        cells = _rollups(runs, by_day=True)
+        cells.write.partitionBy("rollup").parquet(staged)
+        cells = runs.sparkSession.read.schema(cells.schema).parquet(staged)
+        for name, (dims, _) in ROLLUPS.items():
+            replace_days(_pick(cells, name, True), f"{folder}/{name}", dims[:1])
 
 
 def write_rollups(runs: DataFrame, folder: str) -> None:
     """Write rollups for one use: by day only where a report is."""
-    for name, (dims, measures) in ROLLUPS.items():
-        keys = ["run_date", *dims] if name == "daily" else dims
-        rollup(runs, keys, measures).write.parquet(f"{folder}/{name}")
+    _rollups(runs, by_day=False).write.partitionBy("rollup").parquet(folder)
 
 
 def reports(runs: DataFrame, folder: str) -> dict[str, DataFrame]:
@@ -61,7 +85,10 @@ def reports(runs: DataFrame, folder: str) -> dict[str, DataFrame]:
     the days it spans.
     """
     spark = runs.sparkSession
-    rolled = {name: spark.read.parquet(f"{folder}/{name}") for name in ROLLUPS}
+    return _made(runs, {name: spark.read.parquet(f"{folder}/{name}") for name in ROLLUPS})
+
+
+def _made(runs: DataFrame, rolled: dict[str, DataFrame]) -> dict[str, DataFrame]:
     made = {
         name: report(rolled[ROLLUP_OF.get(name, "daily")]) for name, report in REPORTS.items()
     }
@@ -70,12 +97,23 @@ def reports(runs: DataFrame, folder: str) -> dict[str, DataFrame]:
 
 
 def report_bundle(runs: DataFrame, folder: str | None = None) -> DataFrame:
-    """All reports as rows of (report, payload), off rollups in a folder or new ones."""
-    if folder is None:
+    """All reports as rows of (report, position, payload).
+
+    ``position`` ascends in a report's order. The reports are read off the rollups
+    in a folder; without one, rollups for this use are written to a new folder in
+    the shared one, which is the caller's to remove when the result has been read.
+    """
+    if folder is not None:
+        made = reports(runs, folder)
+    else:
         folder = new_folder(runs.sparkSession, "rollups")
         write_rollups(runs, folder)
+        cells = runs.sparkSession.read.schema(_rollups(runs, by_day=False).schema).parquet(folder)
+        made = _made(runs, {name: _pick(cells, name, False) for name in ROLLUPS})
     rows = [
-        report_json(df).select(F.lit(name).alias("report"), "payload")
-        for name, df in reports(runs, folder).items()
+        report_json(df).select(
+            F.lit(name).alias("report"), F.monotonically_increasing_id().alias("position"), "payload"
+        )
+        for name, df in made.items()
     ]
     return reduce(DataFrame.unionAll, rows)

@@ -2,23 +2,73 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.functions.failures import failure_prompt, parse_reply, rule_classify
+from runlens.functions.failures import (
+    ERROR_CHARS,
+    REPLY_CHARS,
+    failure_prompt,
+    parse_reply,
+    rule_classify,
+)
 from runlens.schema import PASSED
 
 Classifier = Callable[[str], str | None]
+BatchClassifier = Callable[[pd.Series], pd.Series]
 
-# Replies to the questions most failures ask are broadcast, as many as this and
-# no longer than this. Of the other replies of that length, none is for more
-# than 1/HOT_PROMPTS of the failures.
+# The questions most failures ask are settled by a broadcast, as many as this, if
+# their replies are no longer than this or missing. A longer reply to one of them is
+# joined by a shuffle like those to rarer questions, but spread over SALT tasks.
 HOT_PROMPTS = 1000
 HOT_CHARS = 1000
+SALT = 64
 LANES = 4096
+REPLIES = "prompt_key string, reply string"
+
+
+@dataclass(frozen=True)
+class Calls:
+    """How a classifier is called.
+
+    ``parallelism`` bounds the questions open at the same time. A call that takes
+    more than ``timeout`` seconds counts as unanswered. ``error_chars`` and
+    ``reply_chars`` are how much of an error is asked and of an unreadable reply
+    quoted, None for all.
+    """
+
+    parallelism: int = 64
+    timeout: float | None = 30.0
+    error_chars: int | None = ERROR_CHARS
+    reply_chars: int | None = REPLY_CHARS
+
+
+def one_by_one(classifier: Classifier, timeout: float | None = None) -> BatchClassifier:
+    """A classifier of single questions as one of many; errors and long calls give None."""
+
+    def reply(prompt: str) -> str | None:
+        got: list[str | None] = [None]
+
+        def call() -> None:
+            try:
+                got[0] = classifier(prompt)
+            except Exception:
+                pass
+
+        if timeout is None:
+            call()
+        else:
+            thread = threading.Thread(target=call, daemon=True)
+            thread.start()
+            thread.join(timeout)
+        return got[0]
+
+    return lambda prompts: prompts.map(reply)
 
 
 def _is_failure():
@@ -33,70 +83,82 @@ def with_rules(runs: DataFrame) -> DataFrame:
     )
 
 
-def with_prompts(runs: DataFrame) -> DataFrame:
+def with_prompts(runs: DataFrame, error_chars: int | None = ERROR_CHARS) -> DataFrame:
     """Runs with ``prompt``, the question about a failure; NULL for a pass."""
     prompt = failure_prompt(
-        F.col("test_name"), F.col("platform"), F.col("error_message"), F.col("last_actions")
+        F.col("test_name"),
+        F.col("platform"),
+        F.col("error_message"),
+        F.col("last_actions"),
+        error_chars,
     )
     return runs.withColumn("prompt", F.when(_is_failure(), prompt))
 
 
-def ask(prompts: DataFrame, classifier: Classifier, parallelism: int) -> DataFrame:
-    """Replies to distinct prompts; NULL where the classifier fails.
-
-    ``parallelism`` bounds how many questions are open at the same time.
-    """
+def ask(prompts: DataFrame, classifier: BatchClassifier, parallelism: int) -> DataFrame:
+    """Replies to (prompt_key, prompt); NULL where the classifier has none or fails."""
 
     def replies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def reply(prompt: str) -> str | None:
+        for batch in batches:
             try:
-                return classifier(prompt)
+                found = [x if isinstance(x, str) else None for x in classifier(batch["prompt"])]
             except Exception:
-                return None
+                found = [None] * len(batch)
+            yield pd.DataFrame({"prompt_key": batch["prompt_key"], "reply": pd.Series(found, batch.index, object)})
 
-        for batch in batches:
-            yield batch.assign(reply=[reply(p) for p in batch["prompt"]]).drop(columns="prompt")
-
-    return prompts.repartition(parallelism).mapInPandas(
-        replies, "prompt_key string, asked bigint, reply string"
-    )
+    return prompts.select("prompt_key", "prompt").repartition(parallelism).mapInPandas(replies, REPLIES)
 
 
 def with_classifier(
-    runs: DataFrame, classifier: Classifier, folder: str, parallelism: int = 64
+    runs: DataFrame,
+    classifier: Classifier | BatchClassifier,
+    folder: str,
+    calls: Calls = Calls(),
+    batch: bool = False,
 ) -> DataFrame:
     """Runs with ``found``, the classifier's category; NULL where it has none.
 
-    Replies are written to ``folder`` once, so neither a lost executor nor a
-    second action asks again.
+    Replies are kept in ``folder`` by the hash of their question. What has a reply
+    there is not asked again, by later loads either; the questions of a job that
+    fails before it commits are. ``batch`` says that the classifier takes a series.
     """
-    keyed = with_prompts(runs).withColumn("prompt_key", F.sha2("prompt", 256))
-    distinct = (
+    spark = runs.sparkSession
+    if not batch:
+        classifier = one_by_one(classifier, calls.timeout)
+    keyed = with_prompts(runs, calls.error_chars).withColumn("prompt_key", F.sha2("prompt", 256))
+    asked = (
         keyed.where(F.col("prompt").isNotNull())
-        .groupBy("prompt_key", "prompt")
-        .agg(F.count(F.lit(1)).alias("asked"))
-    )
-    ask(distinct, classifier, parallelism).write.mode("errorifexists").parquet(folder)
-    answered = (
-        runs.sparkSession.read.parquet(folder)
-        .where(F.col("reply").isNotNull())
-        .select("prompt_key", "asked", parse_reply(F.col("reply")).alias("answer"))
-    )
-    hot = (
-        answered.where(F.length("answer.classification_reason") <= HOT_CHARS)
-        .orderBy(F.col("asked").desc(), "prompt_key")
-        .limit(HOT_PROMPTS)
-        .select("prompt_key", F.col("answer").alias("hot"))
+        .groupBy("prompt_key")
+        .agg(F.min("prompt").alias("prompt"), F.count(F.lit(1)).alias("asked"))
     )
-    cold = answered.select(
-        F.col("prompt_key").alias("cold_key"), F.col("answer").alias("cold")
+    spark.createDataFrame([], REPLIES).write.mode("append").parquet(folder)
+    known = spark.read.schema(REPLIES).parquet(folder).where(F.col("reply").isNotNull())
+    new = asked.join(known.select("prompt_key"), "prompt_key", "left_anti")
+    ask(new, classifier, calls.parallelism).write.mode("append").parquet(folder)
+
+    replies = spark.read.schema(REPLIES).parquet(folder).groupBy("prompt_key").agg(F.max("reply").alias("reply"))
+    answered = asked.select("prompt_key", "asked").join(replies, "prompt_key", "left")
+    answered = answered.withColumn(
+        "answer", F.when(F.col("reply").isNotNull(), parse_reply(F.col("reply"), calls.reply_chars))
+    ).drop("reply")
+    # Every hot question, whether it has a short reply, a long one or none.
+    short = F.coalesce(F.length("answer.classification_reason") <= HOT_CHARS, F.lit(True))
+    hot = answered.orderBy(F.col("asked").desc(), "prompt_key").limit(HOT_PROMPTS)
+    hot = F.broadcast(hot.select("prompt_key", short.alias("settled"), F.when(short, F.col("answer")).alias("hot")))
+    spread = F.when(F.col("settled").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALT - 1)))
+    cold = answered.where(F.col("answer").isNotNull()).join(hot, "prompt_key", "left")
+    cold = cold.where(~F.coalesce("settled", F.lit(False))).select(
+        "prompt_key", F.explode(spread).alias("salt"), F.col("answer").alias("cold")
     )
+    cold = cold.select(F.concat_ws("#", "prompt_key", "salt").alias("cold_key"), "cold")
     # Rows that need no second lookup get a key of their own lane, which
     # matches nothing and spreads them over the shuffle.
-    lane = F.concat(F.lit("lane "), F.pmod(F.xxhash64("id", "test_name", "run_at"), F.lit(LANES)))
-    settled = F.col("prompt_key").isNull() | F.col("hot").isNotNull()
-    looked = keyed.join(F.broadcast(hot), "prompt_key", "left").withColumn(
-        "cold_key", F.when(settled, lane).otherwise(F.col("prompt_key"))
+    row = F.xxhash64("id", "test_name", "run_at")
+    lane = F.concat(F.lit("lane "), F.pmod(row, F.lit(LANES)))
+    salt = F.when(F.col("settled").isNull(), F.lit(0)).otherwise(F.pmod(row, F.lit(SALT)))
+    done = F.col("prompt_key").isNull() | F.coalesce("settled", F.lit(False))
+    looked = keyed.join(hot, "prompt_key", "left").withColumn(
+        "cold_key", F.when(done, lane).otherwise(F.concat_ws("#", "prompt_key", salt))
     )
     return looked.join(cold, "cold_key", "left").select(
         *runs.columns, F.coalesce("hot", "cold").alias("found")
@@ -104,13 +166,15 @@ def with_classifier(
 
 
 def classify_runs(
-    runs: DataFrame, classifier: Classifier | None = None, folder: str | None = None
+    runs: DataFrame,
+    classifier: Classifier | BatchClassifier | None = None,
+    folder: str | None = None,
+    calls: Calls = Calls(),
+    batch: bool = False,
 ) -> DataFrame:
     """Runs with ``found`` by the classifier, or by the error rules without one."""
     if classifier is None:
         return with_rules(runs)
     if folder is None:
         raise ValueError("a classifier needs a folder for its replies")
-    return with_classifier(runs, classifier, folder)
-
-
+    return with_classifier(runs, classifier, folder, calls, batch)

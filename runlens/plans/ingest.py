@@ -2,31 +2,49 @@
 
 from __future__ import annotations
 
+import hashlib
+import time
 from dataclasses import dataclass, field
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.functions.failures import merge_class
 from runlens.operators.dedupe import first_wins, not_stored
-from runlens.plans.classify_batch import Classifier, classify_runs
+from runlens.plans.classify_batch import BatchClassifier, Calls, Classifier, classify_runs
+from runlens.schema import PASSED
 from runlens.session import staging
 from runlens.sources.jsonl import POSITION, read_runs, read_runs_lenient, to_table_rows
-from runlens.sources.table import append_table, create_table, read_table
+from runlens.sources.table import append_table, create_table, on_days, read_table
 
 KEYS = ["test_name", "run_at_text"]
 
 
 @dataclass(frozen=True)
 class LoadCounts:
-    """Records a load has read, newly categorised, and skipped as known; its days."""
+    """Records a load has read, newly categorised and skipped as known.
+
+    ``days`` are those of the records, None among them for records without one.
+    ``unanswered`` are added failures that a given classifier had no reply for.
+    """
 
     processed: int
     classified: int
     skipped: int
-    first_day: date | None = field(default=None, compare=False)
-    last_day: date | None = field(default=None, compare=False)
+    days: tuple[date | None, ...] = field(default=(), compare=False)
+    unanswered: int = field(default=0, compare=False)
+
+
+@dataclass(frozen=True)
+class Asking:
+    """A classifier, where its replies are kept (None: for this load only), and how it is called."""
+
+    classifier: Classifier | BatchClassifier
+    replies: str | None = None
+    calls: Calls = Calls()
+    batch: bool = False
 
 
 def merged(runs: DataFrame) -> DataFrame:
@@ -43,59 +61,79 @@ def merged(runs: DataFrame) -> DataFrame:
 
 
 def load_records(
-    records: DataFrame, table: str, classifier: Classifier | None = None
+    records: DataFrame,
+    table: str,
+    classifier: Classifier | Asking | None = None,
+    load_id: int | None = None,
 ) -> LoadCounts:
     """Add the records the table does not have; loading them again adds none.
 
-    The batch is deduplicated into a staged table, whose days limit how much of
-    the stored table is compared. New rows are staged as well, so counts and
-    table come from the same rows and no classifier is asked twice.
+    A narrow pass finds the records' days, one value per calendar day: only these
+    days of the table can hold a known run and are compared. ``load_id`` must
+    ascend from load to load; it is the time in microseconds if not given.
     """
     spark = records.sparkSession
     create_table(spark, table)
-    with staging(spark, "load") as folder:
-        batch = first_wins(to_table_rows(records), KEYS, POSITION)
-        batch.write.parquet(f"{folder}/batch")
-        batch = spark.read.parquet(f"{folder}/batch")
-        seen = batch.agg(
-            F.sum("copies").alias("copies"),
-            F.min("run_date").alias("first"),
-            F.max("run_date").alias("last"),
-        ).first()
-
-        # Equal texts have equal days, so only these days can hold a known run.
-        day = F.col("run_date")
-        stored = read_table(spark, table).where(
-            day.between(F.lit(seen["first"]), F.lit(seen["last"])) | day.isNull()
-        )
-        fresh = not_stored(batch, stored, KEYS)
-        found = classify_runs(fresh, classifier, f"{folder}/replies")
-        merged(found).write.parquet(f"{folder}/fresh")
-        fresh = spark.read.parquet(f"{folder}/fresh")
-        added = fresh.agg(
-            F.count(F.lit(1)).alias("rows"), F.count_if("newly").alias("classified")
-        ).first()
-        if added["rows"]:
-            append_table(fresh, table)
-        return LoadCounts(
-            processed=seen["copies"] or 0,
-            classified=added["classified"],
-            skipped=(seen["copies"] or 0) - added["rows"],
-            first_day=seen["first"],
-            last_day=seen["last"],
-        )
+    load_id = time.time_ns() // 1000 if load_id is None else load_id
+    rows = to_table_rows(records).withColumn("load_id", F.lit(load_id).cast("bigint"))
+    seen = rows.groupBy("run_date").agg(F.count(F.lit(1)).alias("n")).collect()
+    processed, days = sum(r.n for r in seen), tuple(r.run_date for r in seen)
+    fresh = not_stored(first_wins(rows, KEYS, POSITION), on_days(read_table(spark, table), days), KEYS)
+
+    asking = classifier if isinstance(classifier, Asking) or classifier is None else Asking(classifier)
+    if asking is None:
+        added = _append(classify_runs(fresh), table)
+    else:
+        with staging(spark, "load") as folder:  # the rows are needed twice: to ask, and to answer
+            fresh.write.parquet(f"{folder}/fresh")
+            found = classify_runs(
+                spark.read.parquet(f"{folder}/fresh"),
+                asking.classifier,
+                asking.replies or f"{folder}/replies",
+                asking.calls,
+                asking.batch,
+            )
+            added = _append(found, table)
+    return LoadCounts(
+        processed=processed,
+        classified=added["classified"],
+        skipped=processed - added["rows"],
+        days=days,
+        unanswered=added["unanswered"] if asking else 0,
+    )
+
+
+def _append(found: DataFrame, table: str) -> dict[str, int]:
+    """Add the rows, counted while they are written."""
+    counts = Observation()
+    no_reply = ~F.col("result").eqNullSafe(PASSED) & ~F.col("newly")
+    rows = merged(found).observe(
+        counts,
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if("newly").alias("classified"),
+        F.count_if(no_reply).alias("unanswered"),
+    )
+    append_table(rows, table)
+    try:
+        return counts.get
+    except Py4JJavaError:  # without rows, adaptive execution drops the counting with the plan
+        return {"rows": 0, "classified": 0, "unanswered": 0}
 
 
 def load_runs(
     spark: SparkSession,
     path: str | list[str],
     table: str,
-    classifier: Classifier | None = None,
+    classifier: Classifier | Asking | None = None,
     quarantine: str | None = None,
 ) -> LoadCounts:
-    """Load JSON lines. Unreadable records fail the load, or go to ``quarantine``."""
+    """Load JSON lines. Unreadable records fail the load, or go to ``quarantine``.
+
+    Each input has a folder of its own there, which a repeated load replaces.
+    """
     if quarantine is None:
         return load_records(read_runs(spark, path), table, classifier)
     records, rejected = read_runs_lenient(spark, path)
-    rejected.write.mode("append").json(quarantine)
+    name = hashlib.sha256("\n".join([path] if isinstance(path, str) else path).encode()).hexdigest()
+    rejected.write.mode("overwrite").json(f"{quarantine}/input={name}")
     return load_records(records, table, classifier)

@@ -57,10 +57,10 @@ def stats(runs: DataFrame) -> DataFrame:
     )
 
 
-def flake_rate(runs: DataFrame) -> DataFrame:
-    """Failure percentage of the first days that have runs."""
+def flake_rate(runs: DataFrame, days: int = FIRST_DAYS) -> DataFrame:
+    """Failure percentage of the first ``days`` days that have runs."""
     daily = _day(rate_by(runs, ["run_date"])).select("day", "rate")
-    return daily.orderBy("day").limit(FIRST_DAYS)
+    return daily.orderBy("day").limit(days)
 
 
 def breakdown(runs: DataFrame) -> DataFrame:
@@ -229,9 +229,9 @@ def _newest_sessions(runs: DataFrame, n: int) -> DataFrame:
     return _all_sessions(runs).orderBy(F.col("last_run").desc(), "session_id").limit(n)
 
 
-def sessions(runs: DataFrame) -> DataFrame:
-    """The newest sessions."""
-    return _newest_sessions(runs, TOP_SESSIONS)
+def sessions(runs: DataFrame, k: int = TOP_SESSIONS) -> DataFrame:
+    """The ``k`` newest sessions."""
+    return _newest_sessions(runs, k)
 
 
 def latest_session(runs: DataFrame) -> DataFrame:
@@ -253,7 +253,12 @@ def _in_order(found: DataFrame) -> DataFrame:
     They are shuffled before the sort, which would otherwise scan the table
     twice: once to learn the ranges and once to fill them.
     """
-    return found.repartition("id").orderBy("run_at", "id")
+    return found.repartition("id").orderBy("run_at", *_identity(found))
+
+
+def _identity(runs: DataFrame) -> list[str]:
+    """What tells runs apart, in the order of insertion."""
+    return [c for c in ("load_id", "id") if c in runs.columns]
 
 
 def latest_session_tests(runs: DataFrame, rolled: DataFrame | None = None) -> DataFrame:
@@ -265,9 +270,11 @@ def latest_session_tests(runs: DataFrame, rolled: DataFrame | None = None) -> Da
     """
     top = _newest_sessions(runs if rolled is None else rolled, 1)
     span = F.sequence(F.col("first_run").cast("date"), F.col("last_run").cast("date"))
-    days = top.select("session_id", F.explode(span).alias("run_date"))
+    # an explode of an array with a NULL gives the days, and one row for runs without one
+    every = F.array_append(F.coalesce(span, F.array().cast("array<date>")), F.lit(None).cast("date"))
+    days = top.select(F.col("session_id").alias("_session"), F.explode(every).alias("_day"))
     rows = runs.select(
-        "id",
+        *_identity(runs),
         "session_id",
         "run_date",
         "run_at",
@@ -278,12 +285,8 @@ def latest_session_tests(runs: DataFrame, rolled: DataFrame | None = None) -> Da
         "screen_name",
         "classification",
     )
-    dated = rows.join(F.broadcast(days), ["session_id", "run_date"], "left_semi")
-    undated = rows.where(F.col("run_date").isNull()).join(
-        F.broadcast(top.select("session_id")), ["session_id"], "left_semi"
-    )
-    found = dated.select(rows.columns).unionAll(undated.select(rows.columns))
-    return _in_order(found.drop("run_date"))
+    same = (F.col("session_id") == F.col("_session")) & F.col("run_date").eqNullSafe(F.col("_day"))
+    return _in_order(rows.join(F.broadcast(days), same, "left_semi").drop("run_date"))
 
 
 def session_runs(runs: DataFrame, session_id: str) -> DataFrame:

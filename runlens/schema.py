@@ -12,7 +12,8 @@ CLASSES = ["REAL_BUG", "TIMEOUT_FLAKE", "DEVICE_FLAKE", "LOCATOR_FLAKE", "UNKNOW
 # Category of a step that drives the application under test.
 API_STEP = "pw:api"
 
-# One JSON line per finished test, as every framework adapter writes it.
+# Names and types of the interchange format, one JSON line per
+# finished test, as every framework adapter writes it.
 RAW_RUN = T.StructType(
     [
         T.StructField("test_file", T.StringType()),
@@ -33,11 +34,12 @@ RAW_RUN = T.StructType(
 
 MANDATORY = ["test_name", "result", "run_at"]
 
-# The stored table. ``run_at`` is UTC wall-clock time, so no report depends on
+# The stored table. ``load_id`` ascends with each load and ``id`` with the records of
+# a load: together they identify a run, in the order of insertion. ``run_at`` is UTC wall-clock time, so no report depends on
 # the session time zone; ``run_at_text`` is the text the record came with and,
 # with the test name, identifies the record when it is loaded again.
 RUNS = T.StructType(
-    [T.StructField("id", T.LongType())]
+    [T.StructField("load_id", T.LongType()), T.StructField("id", T.LongType())]
     + [f for f in RAW_RUN.fields if f.name != "run_at"]
     + [
         T.StructField("action_type", T.StringType()),

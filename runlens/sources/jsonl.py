@@ -14,7 +14,11 @@ from runlens.schema import MANDATORY, RAW_RUN
 CORRUPT = "_corrupt"
 # Where a record stands in its input: file, split of the file, row of the split.
 POSITION = ["source_file", "source_block", "id"]
-WITH_CORRUPT = T.StructType([*RAW_RUN.fields, T.StructField(CORRUPT, T.StringType())])
+# Durations may be any JSON number; they are kept in whole milliseconds, halves up.
+AS_READ = T.StructType(
+    [T.StructField(f.name, T.DoubleType() if f.name == "duration_ms" else f.dataType) for f in RAW_RUN.fields]
+)
+WITH_CORRUPT = T.StructType([*AS_READ.fields, T.StructField(CORRUPT, T.StringType())])
 
 
 def _any_missing() -> Column:
@@ -30,14 +34,19 @@ def _positioned(records: DataFrame) -> DataFrame:
 
 
 def _numbered(records: DataFrame) -> DataFrame:
-    """Number rows in input order; the same files give the same numbers again."""
+    """Number the rows of a load in input order; how files fall into tasks sets the numbers."""
     return records.withColumn("id", F.monotonically_increasing_id())
 
 
 def _filled(records: DataFrame) -> DataFrame:
     return records.withColumn(
         "last_actions", F.coalesce("last_actions", F.array().cast("array<string>"))
-    ).withColumn("error_message", F.coalesce("error_message", F.lit("")))
+    ).withColumns(
+        {
+            "error_message": F.coalesce("error_message", F.lit("")),
+            "duration_ms": F.floor(F.col("duration_ms") + 0.5).cast("bigint"),
+        }
+    )
 
 
 def _checked(records: DataFrame) -> DataFrame:
@@ -50,7 +59,7 @@ def _checked(records: DataFrame) -> DataFrame:
 
 def read_runs(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Run records; a malformed line or a missing mandatory key fails the job."""
-    lines = spark.read.schema(RAW_RUN).option("mode", "FAILFAST").json(path)
+    lines = spark.read.schema(AS_READ).option("mode", "FAILFAST").json(path)
     return _filled(_checked(_numbered(_positioned(lines))))
 
 
@@ -78,7 +87,7 @@ def stream_runs(spark: SparkSession, path: str, strict: bool = True, **options:
     """New run files of a folder as a stream; rows are numbered per micro-batch."""
     reader = spark.readStream.options(**options)
     if strict:
-        reader = reader.schema(RAW_RUN).option("mode", "FAILFAST")
+        reader = reader.schema(AS_READ).option("mode", "FAILFAST")
     else:
         reader = reader.schema(WITH_CORRUPT).option("columnNameOfCorruptRecord", CORRUPT)
     return _positioned(reader.json(path))

@@ -24,6 +24,14 @@ def between(runs: DataFrame, first: date, last: date) -> DataFrame:
     return runs.where(F.col("run_date").between(F.lit(first), F.lit(last)))
 
 
+def on_days(runs: DataFrame, days) -> DataFrame:
+    """Runs of the given days, None for those without one; reads these partitions only."""
+    known = [d for d in days if d is not None]
+    day = F.col("run_date")
+    wanted = day.isin(known) if known else F.lit(False)
+    return runs.where(wanted | day.isNull() if None in days else wanted)
+
+
 def write_by_day(df: DataFrame, path: str, order: list[str], **options: str) -> None:
     """Write a frame by day, each day in few files sorted by ``order``.
 

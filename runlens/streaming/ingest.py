@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from runlens.plans.bundle import refresh_rollups
 from runlens.plans.classify_batch import Classifier
-from runlens.plans.ingest import load_records
+from runlens.plans.ingest import Asking, load_records
 from runlens.sources.jsonl import from_stream, from_stream_lenient, stream_runs
+from runlens.sources.table import read_table
 
 
 def stream_ingest(
@@ -15,15 +17,17 @@ def stream_ingest(
     path: str,
     table: str,
     checkpoint: str,
-    classifier: Classifier | None = None,
+    classifier: Classifier | Asking | None = None,
     quarantine: str | None = None,
+    rollups: str | None = None,
     **options: str,
 ) -> StreamingQuery:
     """Load the new files of a folder into the runs table and stop.
 
-    A micro-batch that is replayed finds its rows stored and adds none.
-    Unreadable records stop the stream, or go to ``quarantine``, where each
-    micro-batch has a folder of its own.
+    A micro-batch that is replayed finds its rows stored and adds none. With
+    ``rollups``, the days of each micro-batch are refreshed there. Unreadable
+    records stop the stream, or go to ``quarantine``, where each micro-batch has a
+    folder of its own.
     """
 
     def load(batch: DataFrame, batch_id: int) -> None:
@@ -32,7 +36,9 @@ def stream_ingest(
         else:
             records, rejected = from_stream_lenient(batch)
             rejected.write.mode("overwrite").json(f"{quarantine}/batch={batch_id}")
-        load_records(records, table, classifier)
+        counts = load_records(records, table, classifier)
+        if rollups is not None:
+            refresh_rollups(read_table(spark, table), rollups, counts.days)
 
     return (
         stream_runs(spark, path, strict=quarantine is None, **options)

@@ -1,57 +1,77 @@
 """The last application steps of each test attempt, as attempts end.
 
-The state of the stream is a table of open attempts, one version per
-micro-batch, in the query's folder. A micro-batch joins its steps to the open
-attempts, keeps the newest of each and writes the next version: all of it
-built-in operators, with a hot attempt thinned before it is shuffled.
+The engine keeps the state: at most ``keep`` steps for each open attempt, of which
+a micro-batch touches only those it has steps for.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from runlens.functions.scalars import is_api_step
 from runlens.operators.steps import KEEP
-from runlens.session import delete
 
-ATTEMPT = """test_id bigint, retry int, steps array<struct<ts:timestamp,seq:bigint,title:string>>,
-ended_at timestamp, newest timestamp, ended boolean"""
 KEY = ["test_id", "retry"]
-
-
-def _attempts(events: DataFrame, keep: int) -> DataFrame:
-    """Attempts with their last ``keep`` steps in order, and when they ended."""
-    newest_first = Window.partitionBy(*KEY, "is_end").orderBy(
-        F.col("ts").desc(), F.col("seq").desc()
-    )
-    kept = events.withColumn("rank", F.row_number().over(newest_first)).where(
-        F.col("rank") <= keep
+ATTEMPT = "test_id bigint, retry int, last_actions array<string>, ended_at timestamp, expired boolean"
+STATE = "moments array<bigint>, seqs array<bigint>, titles array<string>"
+
+
+def _advance(keep: int, expires: bool):
+    def advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept = list(zip(*state.get)) if state.exists else []
+
+        def attempt(ended_at, expired: bool) -> pd.DataFrame:
+            state.remove()
+            titles = [title for _, _, title in kept]
+            row = {"test_id": [key[0]], "retry": [key[1]], "last_actions": [titles]}
+            return pd.DataFrame(row | {"ended_at": [ended_at], "expired": [expired]})
+
+        if state.hasTimedOut:
+            yield attempt(pd.NaT, True)
+            return
+        ended = None
+        for batch in batches:
+            ends = batch.loc[batch["is_end"], "moment"]
+            if len(ends):
+                ended = max(ends.max(), ended or ends.max())
+            steps = batch.loc[~batch["is_end"], ["moment", "seq", "title"]]
+            kept = sorted([*kept, *steps.itertuples(index=False, name=None)], key=lambda s: s[:2])[-keep:]
+        if ended is not None:
+            yield attempt(pd.Timestamp(ended, unit="us"), False)
+            return
+        state.update(tuple([int(s[i]) if i < 2 else s[i] for s in kept] for i in range(3)))
+        if expires:
+            newest = max((s[0] for s in kept), default=0) // 1000
+            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + 1)
+
+    return advance
+
+
+def last_actions_stream(
+    steps: DataFrame, keep: int = KEEP, patience: str | None = None
+) -> DataFrame:
+    """Attempts of a stream of STEP_EVENT as they end, with their last ``keep`` steps.
+
+    The micro-batch of an attempt's end counts as a whole. Without ``patience`` an
+    attempt stays open until its end arrives. With it ("1 hour"), one whose newest step
+    is so far behind the newest event is given out with the steps it has, flagged
+    ``expired``, and what arrives later than that is not counted.
+    """
+    if patience is not None:
+        steps = steps.withWatermark("ts", patience)
+    ends = F.coalesce("is_end", F.lit(False))
+    useful = steps.where(ends | is_api_step(F.col("category"))).select(
+        *KEY, "ts", F.unix_micros("ts").alias("moment"), "seq", "title", ends.alias("is_end")
     )
-    step = F.when(~F.col("is_end"), F.struct("ts", "seq", "title"))
-    return (
-        kept.groupBy(*KEY)
-        .agg(
-            F.array_sort(F.collect_list(step)).alias("steps"),
-            F.max(F.when(F.col("is_end"), F.col("ts"))).alias("ended_at"),
-            F.max("ts").alias("newest"),
-        )
-        .withColumn("ended", F.col("ended_at").isNotNull())
-    )
-
-
-def _version(folder: str, batch_id: int) -> str:
-    return f"{folder}/batch={batch_id}"
-
-
-def _open_attempts(spark: SparkSession, folder: str, batch_id: int, patience: str) -> DataFrame:
-    """Steps of the attempts open after a batch, but those silent for too long."""
-    known = spark.read.schema(ATTEMPT).parquet(_version(folder, batch_id))
-    latest = known.agg(F.max("newest").cast("timestamp").alias("at")).first()["at"]
-    awake = F.col("newest") >= F.lit(latest) - F.expr(f"interval {patience}")
-    return known.where(~F.col("ended") & awake).select(
-        *KEY, F.inline("steps"), F.lit(False).alias("is_end")
+    timeout = GroupStateTimeout.NoTimeout if patience is None else GroupStateTimeout.EventTimeTimeout
+    return useful.groupBy(*KEY).applyInPandasWithState(
+        _advance(keep, patience is not None), ATTEMPT, STATE, "append", timeout
     )
 
 
@@ -60,42 +80,20 @@ def stream_last_actions(
     folder: str,
     checkpoint: str,
     keep: int = KEEP,
-    patience: str = "1 hour",
+    patience: str | None = None,
     **trigger,
 ) -> StreamingQuery:
-    """Follow a stream of STEP_EVENT; ``ended_attempts`` has what it gives.
-
-    An attempt (test_id, retry) ends once, and the micro-batch of its end counts
-    as a whole. An attempt whose end is lost is forgotten when it is ``patience``
-    behind the newest event. A replayed micro-batch starts from the version
-    before it and writes its own again.
-    """
-    ends = F.coalesce("is_end", F.lit(False))
-    useful = steps.where(ends | is_api_step(F.col("category"))).select(
-        *KEY, "ts", "seq", "title", ends.alias("is_end")
-    )
-
-    def advance(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if batch_id > 0:
-            batch = batch.unionByName(_open_attempts(spark, folder, batch_id - 1, patience))
-        _attempts(batch, keep).write.mode("overwrite").partitionBy("ended").parquet(
-            _version(folder, batch_id)
-        )
-        if batch_id > 1:
-            delete(spark, _version(folder, batch_id - 2) + "/ended=false")
-
+    """Append the attempts that end to the files in ``folder``; ``ended_attempts`` reads them."""
     return (
-        useful.writeStream.foreachBatch(advance)
+        last_actions_stream(steps, keep, patience)
+        .writeStream.format("parquet")
+        .outputMode("append")
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
-        .start()
+        .start(folder)
     )
 
 
 def ended_attempts(spark: SparkSession, folder: str) -> DataFrame:
-    """The attempts that have ended, with their last steps."""
-    known = spark.read.schema(f"{ATTEMPT}, batch bigint").parquet(folder)
-    return known.where("ended").select(
-        *KEY, F.transform("steps", lambda s: s["title"]).alias("last_actions"), "ended_at"
-    )
+    """The attempts given out so far."""
+    return spark.read.schema(ATTEMPT).parquet(folder)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from runlens.functions.scalars import action_type
 
+# Error texts as runners write them, one for each rule of the classifier.
 RUNS_SQL = """
 select *, 'reported as ' || classification as classification_reason from (
 select id, test_file, test_name, platform, device_id, duration_ms, result,
@@ -73,6 +74,25 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def slices(frame: DataFrame, n: int) -> list[DataFrame]:
+    """The rows in ``n`` spans of time of equal length, the first one first."""
+    ends = frame.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
+    if ends["low"] is None:
+        return [frame]
+    width = (ends["high"] - ends["low"]) / n
+    cuts = [ends["low"] + width * k for k in range(1, n)]
+    ts = F.col("ts")
+    parts = [frame.where(ts < F.lit(cuts[0]))]
+    parts += [frame.where((ts >= F.lit(a)) & (ts < F.lit(b))) for a, b in zip(cuts, cuts[1:])]
+    return [*parts, frame.where(ts >= F.lit(cuts[-1]))]
+
+
+def with_sixth_class(all_runs: DataFrame) -> DataFrame:
+    """The runs, some of whose failures have a category of their own."""
+    odd = F.col("classification").isNotNull() & (F.col("id") % 5 == 0)
+    return all_runs.withColumn("classification", F.when(odd, "ENV_FLAKE").otherwise(F.col("classification")))
+
+
 def steps_with_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The steps, and the end of each attempt right after its last step."""
     all_steps = steps(spark, sf_dir)

@@ -12,7 +12,7 @@ from runlens.operators.grid import DEVICES
 from runlens.operators.lookup import DEFAULT_RATE, EXPECTED_RATES
 from runlens.schema import CLASSES, RAW_RUN
 from runlens.workload.inputs import RUNS_SQL
-from runlens.workload.queries import SESSION_ASKED
+from runlens.workload.queries import HEAT_DAYS, SESSION_ASKED
 
 DUCK_WORDS = {
     "S": "varchar",
@@ -79,12 +79,20 @@ TIME_TEXT = """case id % 6 when 0 then strftime(run_at, '%Y-%m-%dT%H:%M:%S.%fZ')
   else strftime(run_at, '%Y-%m-%d %H:%M') end"""
 ISO = "replace(cast(run_at as varchar), ' ', 'T') || 'Z'"
 
+SIXTH = "case when classification is not null and id % 5 = 0 then 'ENV_FLAKE' else classification end"
+
 TITLE = """case id % 5 when 0 then test_name when 1 then replace(test_name, ' - ', ' ')
   when 2 then ' - ' || test_name when 3 then 'works as told' else upper(test_name) end"""
 
 BUCKET = """case when {d} < 5000 then '0-5s' when {d} < 15000 then '5-15s' when {d} < 30000 then '15-30s'
   when {d} < 60000 then '30-60s' when {d} < 120000 then '60-120s' else '120s+' end"""
 
+# One decimal by the exact binary value, as fixed-point formatting prints it. A double
+# of up to 100 times ten is exact as a decimal of 38 digits for the counts here.
+RATE_EXACT = (
+    "cast(floor(cast(cast(sum(bad) as double) / cast(count(*) as double) * 100.0::double as decimal(38, 30))"
+    " * 10 + 0.5) as double) / 10"
+)
 RATE = "round(sum(bad) * 100.0::double / count(*), 1)"
 RATE_HALF_EVEN = "round_even(sum(bad)::double / count(*)::double * 100.0::double, 1)"
 SECONDS = "cast(floor(round(avg(duration_ms) / 1000)) as bigint)"
@@ -124,11 +132,12 @@ def _prompt() -> str:
     return sql
 
 
-def _rules() -> str:
+def _rules(part: int = 1) -> str:
+    """The category (1) or the reason (2) of an error."""
     arms = " ".join(
-        f"when regexp_matches(lower(error_message), {_quoted(p)}) then '{c}'" for p, c, _ in RULES
+        f"when regexp_matches(lower(error_message), {_quoted(rule[0])}) then {_quoted(rule[part])}" for rule in RULES
     )
-    return f"case {arms} else '{NO_RULE[0]}' end"
+    return f"case {arms} else {_quoted(NO_RULE[part - 1])} end"
 
 
 def _common(keys: str, source: str = "runs") -> str:
@@ -218,10 +227,30 @@ COLUMNS = {
 }
 
 
+ORDERS = {
+    "breakdown": "count desc, classification",
+    "heatmap": "day, screen",
+    "top_flakes": "fail_count::double / total desc, total desc, test_name, platform nulls last",
+    "devices": "fail_count::double / total desc, total desc, device_id nulls last",
+    "by_action": "rate desc, action_type",
+    "by_platform": "fail_rate desc, platform",
+    "flake_rate": "day",
+    "volume": "day",
+    "duration_dist": "list_position(['0-5s', '5-15s', '15-30s', '30-60s', '60-120s', '120s+'], bucket)",
+    "class_trend": "day, classification",
+    "sessions": "last_run desc, session_id",
+    "latest_session_tests": "run_at, id",
+}
+
+
 def _json_report(name: str) -> str:
     written = JSON_COLUMNS.get(name, {})
     fields = ", ".join(f"'{c}': {written.get(c, c)}" for c in COLUMNS[name].split())
-    return f"select '{name}' as report, cast(to_json({{{fields}}}) as varchar) as payload from ({REPORTS[name]}) r_{name}"
+    place = f"cast(row_number() over (order by {ORDERS.get(name, '1')}) as integer)"
+    return (
+        f"select '{name}' as report, {place} as place, cast(to_json({{{fields}}}) as varchar) as payload"
+        f" from ({REPORTS[name]}) r_{name}"
+    )
 
 
 def _record(**columns: str) -> str:
@@ -271,13 +300,15 @@ def _over_runs(sql: str, *more: str) -> str:
 
 
 ORACLE = {
-    "read_runs": _over_runs(f"select {_record()} from runs"),
+    "read_runs": _over_runs(
+        f"select {_record(duration_ms='duration_ms + case when id % 9 = 0 then 1 else 0 end')} from runs"
+    ),
     "append_runs_json": _over_runs(
         "select cast(to_json({"
         + ", ".join(f"'{f.name}': {ISO if f.name == 'run_at' else f.name}" for f in RAW_RUN.fields)
         + "}) as varchar) as line from runs"
     ),
-    "runs_table": _over_runs("select id, run_date, run_at, test_name, action_type, duration_ms from runs"),
+    "runs_table": _over_runs("select id % 2 as load_id, id, run_date, run_at, test_name, action_type, duration_ms from runs"),
     "merge_new_runs": _over_runs(f"select * from firsts i where {NOT_STORED}", HOURLY),
     "report_json": _over_runs(f"select payload from ({_json_report('by_platform')}) j"),
     "run_grid": _over_runs("select * from grid", GRID),
@@ -332,7 +363,8 @@ ORACLE = {
         PARSED,
     ),
     "rule_classify": _over_runs(
-        f"select id, case when result <> 'passed' then {_rules()} end as classification from runs"
+        f"""select id, case when result <> 'passed' then {_rules()} end as classification,
+          case when result <> 'passed' then {_rules(2)} end as classification_reason from runs"""
     ),
     "merge_class": _over_runs(MERGED, f"replies as (select *, {REPLY} as reply from runs)", PARSED),
     "actions_json": _over_runs(
@@ -358,7 +390,7 @@ ORACLE = {
         strftime(run_at, '%Y-%m-%d %H:%M') as minute, strftime(run_date, '%m-%d') as day from runs"""
     ),
     "display_pct": _over_runs(
-        f"""select test_name, {RATE} as fail_pct, least(100, cast(round(sum(bad) * 100.0::double / count(*)) as bigint)) as bar_pct,
+        f"""select test_name, {RATE_EXACT} as fail_pct, least(100, cast(round(sum(bad) * 100.0::double / count(*)) as bigint)) as bar_pct,
         case when count(classification) > 0 then cast(round(count(*) filter (where classification = 'REAL_BUG') * 100.0::double
           / count(classification)) as bigint) end as bug_share,
         cast(round(sum(ok) * 100.0::double / count(*)) as bigint) as pass_pct from runs group by test_name"""
@@ -370,6 +402,13 @@ ORACLE = {
     "conform_detox": _over_runs(f"select {DETOX} from runs"),
     "conform_appium": _over_runs(f"select {APPIUM} from runs"),
     "conform_pytest": _over_runs(f"select {PYTEST} from runs where result <> 'skipped'"),
+    "conform_capture": f"""with {STEPS}, ranked as (select *, row_number() over (
+        partition by test_id, retry, category order by ts desc, seq desc) as n from steps)
+      select 'Login - case ' || cast(test_id as varchar) as test_name, 'web' as platform,
+        'd' || cast(retry as varchar) as device_id, count(*) as duration_ms,
+        case when retry = 0 then 'failed' else 'passed' end as result, '' as error_message, 'login' as screen_name,
+        coalesce(string_agg(title, '|' order by ts, seq) filter (where category = 'pw:api' and n <= 10), '') as last_actions
+      from ranked group by test_id, retry""",
     "failed_only": _over_runs("select id, result from runs where result <> 'passed'"),
     "present_dim": _over_runs(
         """select id, platform, session_id from runs where platform is not null and platform <> ''
@@ -397,10 +436,17 @@ ORACLE = {
     ),
     **{name: _over_runs(sql, SESSIONS) for name, sql in REPORTS.items()},
     "load_counts": _over_runs(
-        f"""select (select count(*) from incoming) as processed,
-        (select count(*) from firsts i where {NOT_STORED} and result <> 'passed') as classified,
-        (select count(*) from incoming) - (select count(*) from firsts i where {NOT_STORED}) as skipped""",
-        HOURLY,
+        """select 0 as load, count(*) as processed,
+          count(*) filter (where first_known and result <> 'passed') as classified,
+          count(*) filter (where not first_known) as skipped, count(distinct run_date) as days
+        from told where platform = 'android'
+        union all select 1, count(*), count(*) filter (where first_new and result <> 'passed'),
+          count(*) filter (where not first_new), count(distinct run_date) from told""",
+        """told as (select *,
+          platform = 'android' and row_number() over (partition by test_name, hour, platform = 'android' order by id) = 1 as first_known,
+          row_number() over (partition by test_name, hour order by id) = 1
+            and count(*) filter (where platform = 'android') over (partition by test_name, hour) = 0 as first_new
+        from (select *, date_trunc('hour', run_at) as hour from runs) h)""",
     ),
     "seed_summary": _over_runs(
         """select count(*) as total, cast(sum(ok) as bigint) as passed, cast(sum(bad) as bigint) as failed,
@@ -427,7 +473,11 @@ ORACLE = {
     "topk_sessions": _over_runs(
         "select session_id, last_run from sessions_all order by last_run desc, session_id limit 20", SESSIONS
     ),
-    "order_by_agg": _over_runs(REPORTS["duration_dist"] + " order by min(duration_ms)"),
+    "order_by_agg": _over_runs(
+        """select test_name, count(*) as n_runs,
+          cast(row_number() over (order by min(duration_ms), test_name) as integer) as place
+        from runs group by test_name"""
+    ),
     "dim_values": _over_runs(
         """select distinct 'screen_name' as dim, screen_name as value from runs where screen_name is not null
         union all select distinct 'run_date', cast(run_date as varchar) from runs where run_date is not null
@@ -441,10 +491,22 @@ ORACLE = {
     ),
     "class_matrix": _over_runs(
         "select run_date as day, "
-        + ", ".join(f"count(*) filter (where classification = '{c}') as {c}" for c in CLASSES)
-        + " from runs where result <> 'passed' and classification is not null group by run_date"
+        + ", ".join(f"count(*) filter (where klass = '{c}') as {c}" for c in CLASSES)
+        + ", count(*) filter (where klass = 'ENV_FLAKE') as OTHER"
+        + f" from (select *, {SIXTH} as klass from runs) r"
+        + " where result <> 'passed' and classification is not null group by run_date"
+    ),
+    "class_counts": _over_runs(
+        f"""select day, string_agg(klass || '=' || cast(n as varchar), '|' order by klass) as counts
+        from (select run_date as day, klass, count(*) as n from (select *, {SIXTH} as klass from runs) r
+          where result <> 'passed' and classification is not null group by run_date, klass) k group by day"""
     ),
     "heat_matrix": _over_runs(
+        "select screen, "
+        + ", ".join(f"max(rate) filter (where place = {k + 1}) as d{k}" for k in range(HEAT_DAYS))
+        + f" from (select *, dense_rank() over (order by day) as place from ({REPORTS['heatmap']}) h) p group by screen"
+    ),
+    "heat_rows": _over_runs(
         f"""select screen, string_agg(cast(day as varchar) || '=' || cast(rate as varchar), '|' order by day) as days,
         cast(round(sum(cast(round(rate * 10) as bigint)) / (count(*) * 10.0::double)) as bigint) as avg_rate
         from ({REPORTS["heatmap"]}) h group by screen"""

@@ -5,13 +5,14 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runlens.functions import display, failures, scalars, screens
 from runlens.operators import dedupe, grid, groups, lookup, measures, reshape
 from runlens.operators import steps as step_ops
 from runlens.plans import bundle, classify_batch, reports
+from runlens.plans.ingest import load_runs
 from runlens.schema import STEP_EVENT
 from runlens.session import new_folder
 from runlens.sources import frameworks, jsonl, table
@@ -24,6 +25,7 @@ QUERIES: dict[str, Query] = {}
 
 SESSION_ASKED = "dev5_2024-01-05"
 HOUR_KEYS = ["test_name", "run_at"]
+HEAT_DAYS = 7
 
 
 def query(make: Query) -> Query:
@@ -50,8 +52,11 @@ def _iso():
 
 @query
 def read_runs(spark, sf_dir):
+    """Some durations have half a millisecond more than the runs."""
     folder = new_folder(spark, "records")
-    jsonl.append_runs_json(jsonl.to_records(inputs.runs(spark, sf_dir)), folder)
+    half = F.when(F.col("id") % 9 == 0, 0.5).otherwise(0.0)
+    runs = inputs.runs(spark, sf_dir).withColumn("duration_ms", F.col("duration_ms") + half)
+    jsonl.append_runs_json(jsonl.to_records(runs), folder)
     return _flat(jsonl.read_runs(spark, folder).drop(*jsonl.POSITION))
 
 
@@ -66,12 +71,15 @@ def append_runs_json(spark, sf_dir):
 
 @query
 def runs_table(spark, sf_dir):
+    """The runs in two loads."""
     folder = new_folder(spark, "table")
     table.create_table(spark, folder)
     runs = inputs.runs(spark, sf_dir).withColumn("run_at_text", _iso())
-    table.append_table(runs, folder)
+    for load in (0, 1):
+        part = runs.where(F.col("id") % 2 == load).withColumn("load_id", F.lit(load).cast("bigint"))
+        table.append_table(part, folder)
     stored = table.read_table(spark, folder)
-    return stored.select("id", "run_date", "run_at", "test_name", "action_type", "duration_ms")
+    return stored.select("load_id", "id", "run_date", "run_at", "test_name", "action_type", "duration_ms")
 
 
 @query
@@ -104,7 +112,10 @@ def grid_cross(runs):
 
 @over_runs
 def report_bundle(runs):
-    return bundle.report_bundle(runs)
+    """The reports' rows with their places."""
+    rows = bundle.report_bundle(runs)
+    place = F.row_number().over(Window.partitionBy("report").orderBy("position"))
+    return rows.select("report", place.alias("place"), "payload")
 
 
 # Projections and scalar expressions
@@ -196,7 +207,7 @@ def parse_reply(runs):
 @over_runs
 def rule_classify(runs):
     found = classify_batch.with_rules(runs)
-    return found.select("id", F.col("found.classification").alias("classification"))
+    return found.select("id", "found.*")
 
 
 @over_runs
@@ -309,6 +320,29 @@ def conform_pytest(runs):
     return _flat(_pytest(runs))
 
 
+@query
+def conform_capture(spark, sf_dir):
+    """Steps and attempts of the step-recording runner, to records."""
+    steps = inputs.steps(spark, sf_dir)
+    attempts = steps.groupBy("test_id", "retry").agg(
+        F.lit("tests/a.spec.ts").alias("test_file"),
+        F.concat(F.lit("Login - case "), F.col("test_id")).alias("test_name"),
+        F.lit("web").alias("project"),
+        F.array(
+            F.struct(F.lit("device.id").alias("type"), F.concat(F.lit("d"), F.col("retry")).alias("description"))
+        ).alias("annotations"),
+        F.count(F.lit(1)).alias("duration_ms"),
+        F.when(F.col("retry") == 0, "failed").otherwise("passed").alias("result"),
+        F.lit(None).cast("string").alias("error_message"),
+        F.lit("s").alias("session_id"),
+        F.lit("2026-01-15T10:30:00Z").alias("run_at"),
+    )
+    found = frameworks.conform_capture(attempts, step_ops.last_actions(steps))
+    return _flat(
+        found.select("test_name", "platform", "device_id", "duration_ms", "result", "error_message", "screen_name", "last_actions")
+    )
+
+
 # Filters
 
 
@@ -393,9 +427,19 @@ QUERIES.update({name: _report(name) for name in reports.REPORTS})
 
 @query
 def load_counts(spark, sf_dir):
-    incoming, stored = inputs.hourly(spark, sf_dir), inputs.hourly_stored(spark, sf_dir)
-    failed = scalars.is_failed(F.col("result"))
-    return dedupe.count_new(incoming, stored, HOUR_KEYS, ["id"], failed)
+    """What two loads report: the runs on android, then all of them."""
+    folder = new_folder(spark, "loads")
+    hourly = inputs.runs(spark, sf_dir).withColumn(
+        "run_at", F.date_trunc("hour", "run_at").cast("timestamp_ntz")
+    )
+    found = []
+    for k, part in enumerate((hourly.where(F.col("platform") == "android"), hourly)):
+        jsonl.append_runs_json(jsonl.to_records(part), f"{folder}/in{k}")
+        counts = load_runs(spark, f"{folder}/in{k}", f"{folder}/runs")
+        found.append((k, counts.processed, counts.classified, counts.skipped, len(counts.days)))
+    return spark.createDataFrame(
+        found, "load int, processed bigint, classified bigint, skipped bigint, days bigint"
+    )
 
 
 @over_runs
@@ -439,7 +483,13 @@ def topk_sessions(runs):
 
 @over_runs
 def order_by_agg(runs):
-    return reports.duration_dist(runs)
+    """Tests in the order of their shortest run, with their places."""
+    cells = measures.rollup(runs, ["test_name"], ["n_runs", "duration_min"])
+    ordered = cells.orderBy("duration_min", "test_name").select(
+        "test_name", "n_runs", F.monotonically_increasing_id().alias("position")
+    )
+    place = F.row_number().over(Window.orderBy("position"))
+    return ordered.select("test_name", "n_runs", place.alias("place"))
 
 
 # Set operations and reshaping
@@ -467,11 +517,28 @@ def union_sources(runs):
 
 @over_runs
 def class_matrix(runs):
-    return reshape.class_matrix(runs)
+    return reshape.class_matrix(inputs.with_sixth_class(runs))
+
+
+@over_runs
+def class_counts(runs):
+    counts = reshape.class_counts(inputs.with_sixth_class(runs))
+    pair = lambda c: F.concat(c["key"], F.lit("="), c["value"].cast("string"))
+    entries = F.transform(F.sort_array(F.map_entries("counts")), pair)
+    return counts.select("day", F.array_join(entries, "|").alias("counts"))
 
 
 @over_runs
 def heat_matrix(runs):
+    """The heatmap of the first days, one column per day."""
+    cells = reports.heatmap(runs)
+    days = [r.day for r in cells.select("day").distinct().orderBy("day").limit(HEAT_DAYS).collect()]
+    matrix = reshape.heat_matrix(cells, days)
+    return matrix.select("screen", *[F.col(d.isoformat()).alias(f"d{k}") for k, d in enumerate(days)])
+
+
+@over_runs
+def heat_rows(runs):
     rows = reshape.heat_rows(reports.heatmap(runs))
     cell = lambda c: F.concat(c["day"].cast("string"), F.lit("="), c["rate"].cast("string"))
     return rows.select(
@@ -484,10 +551,12 @@ def heat_matrix(runs):
 
 @query
 def stream_last(spark, sf_dir):
+    """Steps arrive in four spans of time; attempts reach over several of them."""
     folder = new_folder(spark, "steps")
-    inputs.steps_with_ends(spark, sf_dir).write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema(STEP_EVENT).parquet(f"{folder}/in")
-    stream_last_actions(stream, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    for part in inputs.slices(inputs.steps_with_ends(spark, sf_dir), 4):
+        part.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(STEP_EVENT).parquet(f"{folder}/in")
+        stream_last_actions(stream, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     found = ended_attempts(spark, f"{folder}/out")
     return _flat(found.select("test_id", "retry", "last_actions"))
 
@@ -501,8 +570,13 @@ def stream_ingest_runs(spark, sf_dir):
     hourly = inputs.runs(spark, sf_dir).withColumn(
         "run_at", F.date_trunc("hour", "run_at").cast("timestamp_ntz")
     )
-    jsonl.append_runs_json(jsonl.to_records(hourly.orderBy("id")), f"{folder}/in")
-    stream_ingest(spark, f"{folder}/in", f"{folder}/runs", f"{folder}/checkpoint").awaitTermination()
+    last = hourly.agg(F.max("id").alias("id")).first()["id"] or 0
+    for third in range(3):  # a run of the stream, and so a micro-batch at least, for each
+        part = hourly.where(F.floor(F.col("id") * 3 / (last + 1)) == third).orderBy("id")
+        jsonl.append_runs_json(jsonl.to_records(part), f"{folder}/in")
+        stream_ingest(
+            spark, f"{folder}/in", f"{folder}/runs", f"{folder}/checkpoint", rollups=f"{folder}/rollups"
+        ).awaitTermination()
     stored = table.read_table(spark, f"{folder}/runs")
     return stored.select(
         "test_name", "run_at", "run_date", "platform", "device_id", "result", "action_type", "classification"
@@ -535,7 +609,8 @@ def digest_classifier() -> classify_batch.Classifier:
 def classify_batch_runs(spark, sf_dir):
     folder = new_folder(spark, "replies")
     runs = inputs.runs(spark, sf_dir)
-    found = classify_batch.with_classifier(runs, digest_classifier(), folder, parallelism=8)
+    calls = classify_batch.Calls(parallelism=8)
+    found = classify_batch.with_classifier(runs, digest_classifier(), folder, calls)
     incoming = F.struct("classification", "classification_reason")
     final = failures.merge_class(F.col("result"), F.col("found"), incoming)
     return found.select("id", final.alias("final")).select("id", "final.*")

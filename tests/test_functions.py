@@ -214,6 +214,36 @@ def test_merge_class(spark):
     ]
 
 
+def test_rates_are_shown_by_their_binary_value(spark):
+    """As fixed-point formatting prints them; exact ties go up."""
+    from decimal import ROUND_HALF_UP, Decimal
+
+    pairs = [(167, 2000), (1, 2000), (1, 16), (3, 16), (5, 16), (0, 7), (7, 7), (1, 3)]
+    pairs += [(k, 400) for k in range(0, 401, 7)]
+    want = [float(Decimal(a / b * 100.0).quantize(Decimal("0.1"), ROUND_HALF_UP)) for a, b in pairs]
+    assert evaluate(spark, "a int, b int", pairs, display.rate_text(F.col("a"), F.col("b"))) == want
+    assert want[0] == 8.3
+
+
+def test_actions_json_is_ascii(spark):
+    import json
+
+    lists = [["é—"], ["😀 tap"], ["plain", 'q"\\ é\n']]
+    text = scalars.actions_json(F.col("a"))
+    assert evaluate(spark, "a array<string>", [(x,) for x in lists], text) == [json.dumps(x) for x in lists]
+    back = scalars.actions_from_json(text)
+    assert evaluate(spark, "a array<string>", [(x,) for x in lists], back) == lists
+
+
+def test_prefixes_are_arguments(spark):
+    error = "x" * 3000
+    prompt = lambda **given: failures.failure_prompt(F.lit("t"), F.lit("p"), F.lit(error), F.array().cast("array<string>"), **given)
+    whole, head = evaluate(spark, "a int", [(1,)], prompt(error_chars=None))[0], evaluate(spark, "a int", [(1,)], prompt())[0]
+    assert len(whole) - len(head) == 1000
+    reason = failures.parse_reply(F.lit("y" * 500), reply_chars=None)["classification_reason"]
+    assert evaluate(spark, "a int", [(1,)], reason)[0].endswith("y" * 500)
+
+
 def test_display(spark):
     rows = [(0.0,), (9.9,), (10.0,), (34.9,), (35.0,), (50.0,), (None,)]
     assert evaluate(spark, "v double", rows, display.heat_band(F.col("v"))) == [

@@ -186,13 +186,170 @@ def test_broadcast_replies_change_nothing(spark, tmp_path, monkeypatch, shouting
     )
     monkeypatch.setattr(classify_batch, "HOT_PROMPTS", hot)
     monkeypatch.setattr(classify_batch, "HOT_CHARS", chars)
-    got = classify_batch.with_classifier(runs, shouting, str(tmp_path / "replies"), 4).collect()
+    calls = classify_batch.Calls(parallelism=4)
+    got = classify_batch.with_classifier(runs, shouting, str(tmp_path / "replies"), calls).collect()
     assert len(got) == 300
     for r in got:
         want = None if r.result == "passed" else r.error_message
         assert (r.found and r.found.classification_reason) == want
 
 
+def rows_per_task(df):
+    return sorted(df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect())
+
+
+def hot_failures(spark, n=40_000):
+    """Nine in ten failures ask the same question."""
+    return spark.range(n, numPartitions=8).select(
+        "id", F.lit("t").alias("test_name"), F.lit("ios").alias("platform"),
+        F.when(F.col("id") % 10 > 0, "hot").otherwise(F.concat(F.lit("e"), F.col("id"))).alias("error_message"),
+        F.array().cast("array<string>").alias("last_actions"), F.lit("failed").alias("result"),
+        F.lit(None).cast("timestamp_ntz").alias("run_at"),
+    )
+
+
+@pytest.fixture
+def shuffled_joins(spark):
+    """Joins as on large inputs: sorted, and not joined anew at run time."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.set(key, value)
+
+
+@pytest.mark.parametrize("kind", ["failing", "long"])
+def test_a_hot_question_is_not_one_task(spark, tmp_path, shuffled_joins, kind):
+    """Whether its classifier fails or gives a reply too long to broadcast."""
+
+    def classify(prompt):
+        if "Error: hot" in prompt:
+            if kind == "failing":
+                raise ValueError("down")
+            return "REAL_BUG|" + "x" * 1500
+        return "REAL_BUG|fine"
+
+    runs = hot_failures(spark)
+    found = classify_batch.with_classifier(runs, classify, str(tmp_path / "replies"))
+    counts = rows_per_task(found)
+    assert sum(counts) == 40_000 and counts[-1] < 2.5 * 40_000 / len(counts)
+    hot = found.where("error_message = 'hot'")
+    answered = hot.where("found.classification is not null").count()
+    assert answered == (0 if kind == "failing" else 36_000)
+
+
+def test_replies_last_and_failures_are_counted(spark, tmp_path, shouting):
+    asked = str(tmp_path / "asked")
+
+    def counting(prompt):
+        with open(asked, "a") as f:
+            f.write("x")
+        return shouting(prompt)
+
+    from runlens.plans.ingest import Asking
+
+    asking = Asking(counting, str(tmp_path / "replies"), classify_batch.Calls(parallelism=2))
+    lines = [record(run_at=f"2026-01-15T10:30:{i:02d}Z", result="failed", error_message=e) for i, e in enumerate(["a", "a", "refuse"])]
+    first = load_runs(spark, write_lines(tmp_path / "1.jsonl", lines), str(tmp_path / "runs"), asking)
+    assert (first.classified, first.unanswered, len(open(asked).read())) == (2, 1, 2)
+    again = load_runs(spark, write_lines(tmp_path / "2.jsonl", lines), str(tmp_path / "other"), asking)
+    assert (again.classified, again.unanswered, len(open(asked).read())) == (2, 1, 3)
+
+
+def test_batch_classifier_and_timeout(spark, tmp_path):
+    import time
+
+    runs = hot_failures(spark, 20)
+    found = classify_batch.with_classifier(
+        runs, lambda prompts: "REAL_BUG|" + prompts.str.len().astype(str), str(tmp_path / "a"), batch=True
+    )
+    assert found.where("found.classification = 'REAL_BUG'").count() == 20
+    slow = classify_batch.one_by_one(lambda p: time.sleep(30) if p == "slow" else p, timeout=0.2)
+    import pandas as pd
+
+    assert slow(pd.Series(["slow", "quick"])).tolist() == [None, "quick"]
+
+
+def test_rows_without_a_key_pass_by_the_join(spark, shuffled_joins):
+    incoming = hot_failures(spark).select("id", F.when(F.col("id") % 2 == 0, F.col("error_message")).alias("k"))
+    fresh = not_stored(incoming, incoming.where("k = 'e0'"), ["k"])
+    plan = fresh._jdf.queryExecution().executedPlan().toString()
+    assert "Union" in plan and "Aggregate" not in plan
+    assert plan.index("SortMergeJoin") < plan.index("<=> true") and "Filter NOT" in plan.split("Range")[-2]
+    assert fresh.where("k is null").count() == 20_000
+
+
+def test_a_hot_key_is_split(spark):
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+    }
+    before = {k: spark.conf.get(k) for k in conf}
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    try:
+        incoming = hot_failures(spark, 200_000).select("id", F.col("error_message").alias("k"))
+        stored = spark.range(50_000, numPartitions=8).select(F.concat(F.lit("x"), "id").alias("k"))
+        counts = rows_per_task(not_stored(incoming, stored, ["k"]))
+        assert sum(counts) == 200_000 and counts[-1] < 100_000
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def test_runs_are_told_apart_over_loads_and_streams(spark, tmp_path):
+    table = str(tmp_path / "runs")
+    for day in (15, 16):
+        lines = [record(run_at=f"2026-01-{day}T10:30:{i:02d}Z") for i in range(3)]
+        load_runs(spark, write_lines(tmp_path / f"{day}.jsonl", lines), table)
+    lines = [record(run_at=f"2026-01-17T10:30:{i:02d}Z") for i in range(3)]
+    write_lines(tmp_path / "in" / "a.jsonl", lines)
+    stream_ingest(spark, str(tmp_path / "in"), table, str(tmp_path / "checkpoint")).awaitTermination()
+    got = [(r.load_id, r.id, r.run_at_text) for r in read_table(spark, table).collect()]
+    assert len({g[:2] for g in got}) == 9
+    assert [text for *_, text in sorted(got)] == sorted(text for *_, text in got)
+
+
+def test_durations_may_be_any_number(spark, tmp_path):
+    path = write_lines(tmp_path / "r.jsonl", [record(duration_ms=d) for d in (12.5, 12.4, 7, 1e3, None)])
+    got = read_runs(spark, path).orderBy("id").collect()
+    assert [r.duration_ms for r in got] == [13, 12, 7, 1000, None]
+
+
+def test_one_wrong_clock_reads_its_own_day_only(spark, tmp_path):
+    from runlens.sources.table import on_days
+
+    table = str(tmp_path / "runs")
+    lines = [record(run_at=f"20{year}-01-15T10:30:00Z") for year in range(10, 30)]
+    load_runs(spark, write_lines(tmp_path / "1.jsonl", lines), table)
+    lines = [record(run_at="1970-01-01T00:00:00Z"), record(run_at="2029-01-15T10:30:00Z")]
+    counts = load_runs(spark, write_lines(tmp_path / "2.jsonl", lines), table)
+    assert (counts.processed, counts.skipped, set(counts.days)) == (2, 1, {date(1970, 1, 1), date(2029, 1, 15)})
+    scan = on_days(read_table(spark, table), counts.days)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [run_date" in scan
+
+
+def test_a_repeated_lenient_load_sets_aside_once(spark, tmp_path):
+    path = write_lines(tmp_path / "r.jsonl", [record(), "{not json"])
+    for _ in range(2):
+        load_runs(spark, path, str(tmp_path / "runs"), quarantine=str(tmp_path / "bad"))
+    assert spark.read.json(str(tmp_path / "bad")).count() == 1
+
+
+def test_rollups_follow_the_stream(spark, tmp_path):
+    from runlens.plans.bundle import reports
+
+    where = [str(tmp_path / name) for name in ("in", "runs", "checkpoint")]
+    for k in range(2):
+        write_lines(tmp_path / "in" / f"{k}.jsonl", [record(run_at=f"2026-01-1{k}T10:30:00Z")])
+        stream_ingest(spark, *where, rollups=str(tmp_path / "rollups")).awaitTermination()
+    stats = reports(read_table(spark, where[1]), str(tmp_path / "rollups"))["stats"].first()
+    assert (stats.total_runs, stats.date_range) == (2, "2026-01-10 to 2026-01-11")
+
+
 def test_frameworks(spark):
     at, sid = F.lit("2026-01-15T10:30:00Z"), F.lit("s")
     detox = spark.createDataFrame(

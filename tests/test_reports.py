@@ -9,7 +9,7 @@ from runlens.operators.grid import run_grid
 from runlens.operators.groups import common_value_by, latest_by
 from runlens.operators.lookup import with_expected_rate
 from runlens.operators.measures import ROLLUPS, rollup
-from runlens.operators.reshape import class_matrix, heat_matrix, heat_rows, recent_days, rolling_rate
+from runlens.operators.reshape import class_counts, class_matrix, heat_matrix, heat_rows, recent_days, rolling_rate
 from runlens.plans import bundle, reports
 
 SCHEMA = """id bigint, test_name string, platform string, device_id string, screen_name string,
@@ -125,7 +125,11 @@ def test_matrices(make):
         [run(1, day=1, klass="REAL_BUG", result="failed"), run(2, day=1), run(3, day=2), run(4, day=2),
          run(5, day=2, screen="list"), run(6, day=2, screen="list", result="failed"), run(7, day=3)]
     )
-    assert rows(class_matrix(df)) == [(date(2026, 1, 1), 1, 0, 0, 0, 0)]
+    assert rows(class_matrix(df)) == [(date(2026, 1, 1), 1, 0, 0, 0, 0, 0)]
+    odd = df.withColumn("classification", F.when(F.col("classification") == "REAL_BUG", "ENV_FLAKE"))
+    assert rows(class_matrix(odd)) == [(date(2026, 1, 1), 0, 0, 0, 0, 0, 1)]
+    assert rows(class_matrix(odd, ["ENV_FLAKE"])) == [(date(2026, 1, 1), 1, 0)]
+    assert rows(class_counts(odd)) == [(date(2026, 1, 1), {"ENV_FLAKE": 1})]
     cells = reports.heatmap(df)
     assert rows(cells) == [(date(2026, 1, 1), "home", 50.0), (date(2026, 1, 2), "home", 0.0),
                            (date(2026, 1, 2), "list", 50.0)]
@@ -189,6 +193,29 @@ def test_bundle_holds_every_report(varied):
     assert stats.startswith('{"total_runs":400,')
 
 
+def test_bundle_keeps_the_order_of_its_reports(varied):
+    import json
+
+    got = bundle.report_bundle(varied).orderBy("report", "position").collect()
+    for name in ("top_flakes", "volume", "sessions", "class_trend"):
+        want = [json.loads(r.payload) for r in bundle.report_json(reports.REPORTS[name](varied)).collect()]
+        assert [json.loads(r.payload) for r in got if r.report == name] == want
+
+
+def scans(df):
+    """Reads of the runs in the plan that ran, reused ones not counted."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return plan.count("FileScan parquet") or plan.count("Scan ExistingRDD")
+
+
+def test_rollups_and_the_latest_session_read_the_runs_seldom(spark, varied, tmp_path):
+    varied.write.parquet(str(tmp_path / "runs"))
+    runs = spark.read.parquet(str(tmp_path / "runs"))
+    assert scans(bundle._rollups(runs, by_day=False)) == 1
+    assert scans(reports.latest_session_tests(runs)) <= 2
+
+
 def test_refreshed_days_keep_the_rollups_whole(make, tmp_path):
     undated = (99, "u", "ios", "d", "home", "tap", "s9", None, "failed", 1, None, None)
     early = [run(i, day=1 + i % 4) for i in range(20)] + [undated]
@@ -196,7 +223,8 @@ def test_refreshed_days_keep_the_rollups_whole(make, tmp_path):
     folder = str(tmp_path / "rollups")
     bundle.refresh_rollups(make(early), folder)
     whole = make(early + late)
-    bundle.refresh_rollups(whole, folder, date(2026, 1, 3), date(2026, 1, 6))
+    days = (*[date(2026, 1, d) for d in range(3, 7)], None)
+    bundle.refresh_rollups(whole, folder, days)
     for name, report in bundle.reports(whole, folder).items():
         expected = reports.REPORTS.get(name, reports.latest_session_tests)(whole)
         assert rows(report) == rows(expected), name

@@ -65,27 +65,32 @@ def test_stream_equals_batch(spark, tmp_path, zone):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
-def test_state_is_cleared_at_the_end_and_after_a_lost_end(spark, tmp_path):
+def test_state_is_cleared_at_the_end_and_kept_in_silence(spark, tmp_path):
     batches = [
         [step(1, 0), step(1, 1), step(2, 0)],
         [step(1, 2), step(1, 3, end=True)],
-        # A day later test 1 runs again; test 2 never ended and is forgotten.
-        [step(1, 5, minutes=1500), step(9, 0, minutes=3000)],
-        [step(9, 1, minutes=3001)],
+        # A day later test 1 runs again; test 2 has been silent, and one clock is ahead.
+        [step(1, 5, minutes=1500), step(9, 0, minutes=3_000_000)],
         [step(2, 7, minutes=3002), step(2, 8, minutes=3003, end=True)],
         [step(1, 9, minutes=3004, end=True), step(3, 1, minutes=3004, end=True)],
     ]
     got = stream(spark, str(tmp_path), batches)
     assert sorted((r.test_id, r.last_actions) for r in got) == [
-        (1, []), (1, ["s0", "s1", "s2"]), (2, ["s7"]), (3, []),
+        (1, ["s0", "s1", "s2"]), (1, ["s5"]), (2, ["s0", "s7"]), (3, []),
     ]
+    assert not any(r.expired for r in got)
 
 
-def test_open_attempts_have_two_versions_at_most(spark, tmp_path):
-    batches = [[step(1, i), step(2 + i, i), step(2 + i, i, end=True)] for i in range(4)]
-    stream(spark, str(tmp_path), batches)
-    kept = sorted(p.parent.name for p in (tmp_path / "out").glob("batch=*/ended=false"))
-    assert kept == ["batch=2", "batch=3"]
+def test_an_expired_attempt_is_given_out_with_its_steps(spark, tmp_path):
+    batches = [
+        [step(1, 0), step(1, 1), step(3, 0)],
+        [step(2, 0, minutes=300), step(3, 1, minutes=299)],
+        [step(2, 1, minutes=301), step(2, 2, minutes=301, end=True)],
+    ]
+    got = stream(spark, str(tmp_path), batches, patience="1 hour")
+    assert sorted((r.test_id, r.last_actions, r.expired) for r in got) == [
+        (1, ["s0", "s1"], True), (2, ["s0", "s1"], False),
+    ]
 
 
 def test_a_replayed_batch_gives_the_same(spark, tmp_path):

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -89,6 +90,26 @@ def blocks(
             at = to
 
 
+def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows of batches as dicts, one at a time: no more than one is copied."""
+    for batch in batches:
+        names = batch.schema.names
+        for i in range(batch.num_rows):
+            yield {c: batch.column(k)[i].as_py() for k, c in enumerate(names)}
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """What is written inside passes wide rows to Python in batches of about this size."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def spans(
     data: np.ndarray, starts: np.ndarray, is_word: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -121,29 +121,28 @@ def phrases(items: DataFrame, size: int = WINDOW) -> DataFrame:
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The postings of the wanted terms, unpacked one by one."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            data, wanted = row["data"], np.unique(np.array(row["terms"], np.int64).view(np.uint64))
-            a, b = np.frombuffer(data[:8], np.uint32).astype(int) + 0
-            terms = B.unpack(data[8 : 8 + a], np.uint64)
-            at = np.searchsorted(terms, wanted)
-            there = at < len(terms)
-            there[there] = terms[at[there]] == wanted[there]
-            at = at[there]
-            if not len(at):
-                continue
-            counts = B.unpack(data[8 + a : 8 + a + b], np.uint32).astype(np.int64)
-            places = B.unpack(data[8 + a + b :], np.uint32)
-            ends = np.cumsum(counts)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([row["block"]] * len(at), pa.int64()),
-                    pa.array(terms[at].view(np.int64)),
-                    pa.array(counts[at]),
-                    pa.array([B.pack(places[ends[i] - counts[i] : ends[i]]) for i in at], pa.binary()),
-                ],
-                ["block", "term", "n", "places"],
-            )
+    for row in B.rows(batches):
+        data, wanted = row["data"], np.unique(np.array(row["terms"], np.int64).view(np.uint64))
+        a, b = np.frombuffer(data[:8], np.uint32).astype(int) + 0
+        terms = B.unpack(data[8 : 8 + a], np.uint64)
+        at = np.searchsorted(terms, wanted)
+        there = at < len(terms)
+        there[there] = terms[at[there]] == wanted[there]
+        at = at[there]
+        if not len(at):
+            continue
+        counts = B.unpack(data[8 + a : 8 + a + b], np.uint32).astype(np.int64)
+        places = B.unpack(data[8 + a + b :], np.uint32)
+        ends = np.cumsum(counts)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([row["block"]] * len(at), pa.int64()),
+                pa.array(terms[at].view(np.int64)),
+                pa.array(counts[at]),
+                pa.array([B.pack(places[ends[i] - counts[i] : ends[i]]) for i in at], pa.binary()),
+            ],
+            ["block", "term", "n", "places"],
+        )
 
 
 def _nearest(places: np.ndarray, wanted: np.ndarray) -> np.ndarray:

@@ -167,12 +167,11 @@ def _requests(block: int, keys, counts, parents, share, n_shares) -> pa.RecordBa
 
 def _ask_words(n_shares: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                b = _Block(row, 1, n_shares, 0.0)
-                keys, counts = b.word_request()
-                share = B.share_of(keys, n_shares)
-                yield _requests(row["block"], keys, counts, np.zeros(len(keys), np.uint8), share, n_shares)
+        for row in B.rows(batches):
+            b = _Block(row, 1, n_shares, 0.0)
+            keys, counts = b.word_request()
+            share = B.share_of(keys, n_shares)
+            yield _requests(row["block"], keys, counts, np.zeros(len(keys), np.uint8), share, n_shares)
 
     return run
 
@@ -274,38 +273,36 @@ def _replay(row: dict, known: dict, levels: int) -> _Block:
 
 def _ask_pairs(known: dict, level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                b = _replay(row, known, level - 1)
-                b.level(level, b.seen)
-                counts = np.bincount(b.of, b.train[b.asked], len(b.keys)).astype(np.uint32)
-                parents = np.minimum(np.round(-np.log2(b.key_parent) * 3), 127).astype(np.uint8) + 128 * b.hot.astype(np.uint8)
-                o = b.order
-                yield _requests(row["block"], b.keys[o], counts[o], parents[o], b.share[o], b.n_shares)
+        for row in B.rows(batches):
+            b = _replay(row, known, level - 1)
+            b.level(level, b.seen)
+            counts = np.bincount(b.of, b.train[b.asked], len(b.keys)).astype(np.uint32)
+            parents = np.minimum(np.round(-np.log2(b.key_parent) * 3), 127).astype(np.uint8) + 128 * b.hot.astype(np.uint8)
+            o = b.order
+            yield _requests(row["block"], b.keys[o], counts[o], parents[o], b.share[o], b.n_shares)
 
     return run
 
 
 def _score(known: dict, depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                b = _replay(row, known, depth)
-                start = b.ends + 1 - b.n_tokens
-                ids = pa.array(np.asarray(row["ids"], np.int64), mask=~np.asarray(row["has_id"], bool))
-                known_words = (b.counts > 0).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids,
-                        pa.array(b.held),
-                        pa.array(b.n_tokens),
-                        pa.array(np.add.reduceat(known_words, start)),
-                        pa.array(np.full(len(start), known["total"], np.int64)),
-                        pa.array(np.add.reduceat(np.log10(b.base), start)),
-                        pa.array(np.add.reduceat(np.log10(b.prob), start)),
-                    ],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+        for row in B.rows(batches):
+            b = _replay(row, known, depth)
+            start = b.ends + 1 - b.n_tokens
+            ids = pa.array(np.asarray(row["ids"], np.int64), mask=~np.asarray(row["has_id"], bool))
+            known_words = (b.counts > 0).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    ids,
+                    pa.array(b.held),
+                    pa.array(b.n_tokens),
+                    pa.array(np.add.reduceat(known_words, start)),
+                    pa.array(np.full(len(start), known["total"], np.int64)),
+                    pa.array(np.add.reduceat(np.log10(b.base), start)),
+                    pa.array(np.add.reduceat(np.log10(b.prob), start)),
+                ],
+                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
 
     return run
 

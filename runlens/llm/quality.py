@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.llm import blocks as B
+from runlens.session import staging
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -136,12 +137,18 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.nd
 
     At most 1,000 languages of at most 200 words each.
     """
+    with staging(docs.sparkSession, "statistics") as folder:  # all that is kept of it is collected here
+        return _references(docs, folder)
+
+
+def _references(docs: DataFrame, folder: str) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     n_bytes = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     stats = docs.select("lang", "text").mapInArrow(
         _statistics(-(-n_bytes // SHARE_BYTES) or 1),
         "lang string, share int, n_words long, counts binary, words binary",
     )
-    stats = B.kept(stats, "statistics")
+    stats.write.parquet(folder)
+    stats = docs.sparkSession.read.schema(stats.schema).parquet(folder)
     heads = stats.where("share = -1 and lang != ''")
     total = stats.agg(F.sum("n_words").alias("n")).first().n or 0
     large = heads.groupBy("lang").agg(F.sum("n_words").alias("n")).where(F.col("n") >= max(1, total * LANGUAGE_SHARE))

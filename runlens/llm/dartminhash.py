@@ -26,7 +26,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from runlens.llm import blocks as B
 
@@ -35,8 +34,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 32, 4
 #: Ids sent to every executor to pick candidate texts; beyond it they are joined.
 BROADCAST_IDS = 2_000_000
-#: How many members of an unsettled bucket lead it in the second round; times four in each later one.
-LEADERS = 16
+#: Members of one leader that a task compares among themselves, or with as many others.
+BLOCK_MEMBERS = 1_000
 
 _STEP = np.uint64(0xA24BAED4963EE407)
 _COORDINATE = np.uint64(0x9FB21C651E98DF25)
@@ -174,51 +173,108 @@ def _sets(words: int):
     return run
 
 
-def _similar(least: float):
+def _against_leader(least: float):
+    """Of each (leader, member): whether they are linked, and the shingles that only one of them has."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
+        for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
+            linked, sizes, apart = [], [], []
             for a, b in zip(batch.column("set_a"), batch.column("set_b")):
                 a = np.frombuffer(a.as_buffer(), np.uint64)
                 b = np.frombuffer(b.as_buffer(), np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                good.append(both >= least * (len(a) + len(b) - both) - 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+                one = np.setxor1d(a, b, assume_unique=True)
+                linked.append(_linked(len(a) + len(b), len(one), least))
+                sizes.append(len(b))
+                apart.append(one.tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(sizes, pa.int64()), pa.array(apart, pa.binary())],
+                ["a", "b", "linked", "n", "apart"],
+            )
+
+    return run
+
+
+def _linked(both, apart, least: float):
+    """Whether sets of together ``both`` elements, ``apart`` of them in one set only, are similar."""
+    return (both - apart) >= least * (both + apart) - 1e-9
+
+
+def _among_members(least: float):
+    """Links among the members of one leader, or between two blocks of them.
+
+    A member is its difference from the leader, and two members differ in what only one
+    of their differences has; so counting common shingles of the differences is exact.
+    """
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("side", "ascending"), ("b", "ascending")])
+        nodes, n = rows["b"].combine_chunks(), rows["n"].to_numpy()
+        linked, side = rows["linked"].to_numpy(), rows["side"].to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["apart"]]
+        size = np.array([len(x) for x in sets], np.int64)
+        token = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        _, token = np.unique(token, return_inverse=True)
+        owner = np.repeat(np.arange(len(sets)), size)
+        order = np.argsort(token, kind="stable")
+        holders, starts = owner[order], np.concatenate([[0], np.cumsum(np.bincount(token))]) if len(token) else np.zeros(1, np.int64)
+        at = np.concatenate([[0], np.cumsum(size)])
+        two_blocks = side[0] != side[-1]
+        found_a, found_b = [], []
+        for x in np.flatnonzero(~linked):
+            mine = token[at[x] : at[x + 1]]
+            first, many = starts[mine], starts[mine + 1] - starts[mine]
+            places = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            common = np.bincount(holders[places], minlength=len(sets))
+            good = _linked(n[x] + n, size[x] + size - 2 * common, least)
+            good[x] = False
+            if two_blocks:
+                good &= side != side[x]
+            for y in np.flatnonzero(good):
+                found_a.append(x)
+                found_b.append(y)
+        return pa.table({"a": nodes.take(pa.array(found_a, pa.int64())), "b": nodes.take(pa.array(found_b, pa.int64()))})
 
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, least: float) -> DataFrame:
-    """Those of the pairs of nodes whose whole shingle sets are similar."""
-    spark = pairs.sparkSession
+def _compared(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, least: float) -> DataFrame:
+    """The pairs (leader, member) with their whole shingle sets held against each other."""
     pairs = B.kept(pairs, "pairs")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = B.kept(nodes.join(reps, "node").select(F.col("rep").alias("doc_id"), "node"), "wanted")
     ids = wanted.select("doc_id").distinct()
-    if ids.count() <= BROADCAST_IDS:
+    if wanted.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    texts = docs.join(ids, "doc_id", "left_semi").select("text")
+    texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("text")
     sets = texts.mapInArrow(_sets(words), "node binary, shingles binary")
     sets = B.kept(sets.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
     a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
     b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
-    links = pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b")
-    links = links.mapInArrow(_similar(least), "a binary, b binary")
-    return B.kept(links, "links")
+    found = pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b")
+    return B.kept(found.mapInArrow(_against_leader(least), "a binary, b binary, linked boolean, n long, apart binary"), "compared")
 
 
-def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+def _more_links(compared: DataFrame, least: float) -> DataFrame:
+    """Links among members of a leader that not all of them are linked with."""
+    of = compared.groupBy("a").agg(F.count("*").alias("members"), F.min("linked").alias("all")).where("members > 1 and not all")
+    blocks = F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int")
+    of = of.select("a", blocks.alias("blocks"))
+    rows = compared.join(of, "a").withColumn("side", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumns({"low": F.least("side", "other"), "high": F.greatest("side", "other")})
+    groups = rows.select("a", "low", "high", "side", "b", "n", "linked", "apart").groupBy("a", "low", "high")
+    return groups.applyInArrow(_among_members(least), "a binary, b binary")
+
+
+def components(links: DataFrame) -> DataFrame:
     """The least node that each linked node is connected with: (node, label).
 
-    ``labels`` are those of earlier links, which stay connected. Each round takes
-    the least label among neighbours and then that label's own label.
+    Each round takes the least label among neighbours and then that label's own label.
     """
-    spark = links.sparkSession
     edges = links.select("a", "b")
-    if labels is not None:
-        edges = edges.union(labels.where("node != label").select("node", "label"))
     edges = B.kept(edges.union(edges.select("b", "a")).distinct(), "edges")
-    now = B.kept(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    now = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
+    now = B.kept(now, "labels")
     while True:
         near = edges.join(now.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node"))
         near = near.agg(F.min("label").alias("seen"))
@@ -228,9 +284,8 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
             "node", "old", F.least("label", F.coalesce("top", "label")).alias("label")
         )
         new = B.kept(new, "labels")
-        changed = new.where("old != label").limit(1).count()
         now = new.select("node", "label")
-        if not changed:
+        if not new.where("old != label").limit(1).count():
             return now
 
 
@@ -244,52 +299,31 @@ def near_duplicates(
     """One row a document: (doc_id, class_id, class_size, n_shingles).
 
     ``class_id`` is the least doc_id of its class. Copies are one node of the link
-    graph. In each bucket of a band, first the least node alone is compared with
-    the others; only buckets that then still hold several classes go on, with more
-    leaders in each round, until every pair of different classes has been compared.
-    So a large group of near copies costs one comparison a member and nothing is
-    left out.
+    graph. In each bucket of a band only the node that shares most buckets, its leader,
+    is compared with the others. Members that are not linked with their leader are then
+    compared among themselves, by their differences from it and in blocks. So a large
+    group of near copies costs one comparison a member, and no pair is left out.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = docs.mapInArrow(_sketch(words, bands, rows), "doc_id long, node binary, n_shingles long, bands array<long>")
     found = B.kept(found, "signatures")
     reps = found.groupBy("node").agg(F.min("doc_id").alias("rep"))
 
-    member = found.select(F.explode("bands").alias("band"), "node", F.col("n_shingles").alias("n"))
+    member = found.select(F.explode("bands").alias("band"), "node")
     short = F.conv(F.hex(F.substring("node", 1, 7)), 16, 10).cast("long")
     shared = member.select("band", short.alias("short")).groupBy("band")
     shared = shared.agg(F.min("short").alias("low"), F.max("short").alias("high")).where("low != high")
     member = B.kept(member.join(shared.select("band"), "band").distinct(), "members")
 
-    leader = member.groupBy("band").agg(F.min("node").alias("a"))
-    pairs = member.join(leader, "band").where("node != a").select("a", F.col("node").alias("b"), F.col("n").alias("n_b"))
-    sizes = member.select(F.col("node").alias("a"), F.col("n").alias("n_a")).distinct()
-    alike = F.least("n_a", "n_b") >= F.lit(least) * F.greatest("n_a", "n_b") - 1e-9
-    pairs = pairs.distinct().join(sizes, "a").where(alike).select("a", "b")
-    labels = components(_verified(pairs, docs, reps, words, least))
-
-    done, more = 1, LEADERS
-    order = Window.partitionBy("band").orderBy("node")
-    ranked = None
-    while True:
-        left = (member if ranked is None else ranked).join(labels, "node", "left")
-        left = left.withColumn("label", F.coalesce("label", "node"))
-        open_ = left.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        left = left.join(open_.where("low != high").select("band"), "band").drop("label")
-        if ranked is None:
-            left = left.withColumn("place", F.row_number().over(order) - 1)
-        ranked = B.kept(left, "unsettled")
-        last = ranked.agg(F.max("place").alias("n")).first().n
-        if last is None or done >= last:
-            break
-        now = ranked.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        a = now.where((F.col("place") >= done) & (F.col("place") < done + more))
-        a = a.select("band", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("of_a"), F.col("place").alias("at"))
-        b = now.select("band", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("of_b"), "place")
-        pairs = a.join(b, "band").where((F.col("place") > F.col("at")) & (F.col("of_a") != F.col("of_b")) & alike)
-        pairs = pairs.select("a", "b").distinct()
-        labels = components(_verified(pairs, docs, reps, words, least), labels)
-        done, more = done + more, more * 4
+    sizes = member.groupBy("band").agg(F.count("*").alias("size"))
+    shared_with = member.join(sizes, "band").groupBy("node").agg(F.sum("size").alias("weight"))
+    leader = member.join(shared_with, "node").groupBy("band")
+    leader = leader.agg(F.max(F.struct("weight", "node"))["node"].alias("a"))
+    pairs = member.join(leader, "band").where("node != a").select("a", F.col("node").alias("b")).distinct()
+    with B.small_batches(docs.sparkSession):
+        compared = _compared(pairs, docs, reps, words, least)
+        more = B.kept(_more_links(compared, least), "links")
+    labels = components(compared.where("linked").select("a", "b").union(more))
 
     of = reps.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = B.kept(of, "classes")

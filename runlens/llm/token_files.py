@@ -20,6 +20,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -80,12 +81,11 @@ def replace_pairs(ids: np.ndarray, last: np.ndarray, rounds: int, frequent: int)
         by_count = np.argsort(-counts, kind="stable")
         pairs = pairs[by_count]
         rank = _find(pairs, key)
-        rank[~inner] = -1
+        rank[~inner] = len(pairs)
         # an occurrence is replaced if neither neighbour that it overlaps is to be preferred
-        value = np.where(rank >= 0, len(pairs) - rank, 0)
-        chosen = value > 0
-        chosen[1:] &= value[1:] > value[:-1]
-        chosen[:-1] &= value[:-1] >= value[1:]
+        chosen = rank < len(pairs)
+        chosen[1:] &= rank[1:] < rank[:-1]
+        chosen[:-1] &= rank[:-1] <= rank[1:]
         at = np.flatnonzero(chosen)
         used = np.zeros(len(pairs), bool)
         used[rank[at]] = True
@@ -96,30 +96,32 @@ def replace_pairs(ids: np.ndarray, last: np.ndarray, rounds: int, frequent: int)
         seq[at] = name[rank[at]]
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
-        place = np.cumsum(stay) - 1
-        last = place[last]
+        last = last - np.searchsorted(at + 1, last, side="right")
         seq = seq[stay]
     none = np.zeros(0, np.int64)
     return seq, last, base, np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
 def _find(pairs: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Index of each key among distinct pairs, -1 where it is none of them."""
+    """Index of each key among distinct pairs, their number where it is none of them."""
     bits = max(TABLE_BITS, int(len(pairs) * 8).bit_length())
     shift = np.uint64(64 - bits)
 
     def slot(x):
         return (x * np.uint64(0x9E3779B97F4A7C15)) >> shift
 
-    out = np.full(len(key), -1, np.int64)
-    left = np.arange(len(pairs))
-    while len(left):  # pairs that share a slot wait for the next table
-        table = np.full(1 << bits, -1, np.int32)
+    out = np.full(len(key), len(pairs), np.int32)
+    left, at = np.arange(len(pairs), dtype=np.int32), slot(key)
+    table = np.empty(1 << bits, np.int32)
+    while len(left):  # pairs that share a slot wait for the next turn
+        table.fill(-1)
         mine = slot(pairs[left])
         table[mine[::-1]] = left[::-1]
-        got = table[slot(key)]
-        hit = (got >= 0) & (pairs[np.maximum(got, 0)] == key)
-        out[hit] = got[hit]
+        got = table[at]
+        filled = np.flatnonzero(got >= 0)
+        got = got[filled]
+        same = pairs[got] == key[filled]
+        out[filled[same]] = got[same]
         left = left[table[mine] != left]
     return out
 
@@ -190,11 +192,11 @@ class Shard:
             made = rule >= 0
             if not made.any():
                 return seq.astype(np.uint32)
-            place = np.arange(len(seq)) + np.cumsum(made) - made
-            out = np.empty(len(seq) + int(made.sum()), np.int64)
-            out[place] = np.where(made, self.left[np.maximum(rule, 0)] if len(self.left) else seq, seq)
-            out[place[made] + 1] = self.right[rule[made]]
-            seq = out
+            at = np.flatnonzero(made)
+            rule = rule[at]
+            seq = np.repeat(seq, made + 1)
+            at += np.arange(len(at))
+            seq[at], seq[at + 1] = self.left[rule], self.right[rule]
 
     def all(self) -> np.ndarray:
         return self._expand(self.symbols)
@@ -249,7 +251,7 @@ def _blocks(n_shares: int):
                     pa.array([n_words], pa.list_(pa.int64())),
                     pa.array([int(starts[-1])], pa.int64()),
                     pa.array([B.pack(place[codes].astype(np.uint32))], pa.binary()),
-                    pa.array([zstandard.compress(" ".join(distinct.to_pylist()).encode(), 3)], pa.binary()),
+                    pa.array([zstandard.compress(" ".join(distinct.to_pylist()).encode(), 1)], pa.binary()),
                 ],
                 ["block", "ids", "has_id", "n_words", "n_bytes", "codes", "words"],
             )
@@ -303,12 +305,18 @@ def _pieces(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarr
     return values[at]
 
 
+@lru_cache(maxsize=1)
+def _tokenizer(path: str):
+    """The tokenizer, opened once in each worker."""
+    from tokenizers import Tokenizer
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return Tokenizer.from_file(path)
+
+
 def _encode(path: str):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer = Tokenizer.from_file(path)
+        tokenizer = _tokenizer(path)
         asked = [_split(x) for x in rows["words"]]
         cuts = np.cumsum([0] + [len(x) for x in asked])
         coded = pa.array([w for x in asked for w in x], pa.string()).dictionary_encode()
@@ -334,29 +342,28 @@ def _encode(path: str):
 
 def _write(folder: str, end_id: int, rounds: int, frequent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                answers = sorted(row["answers"] or [], key=lambda a: a["share"])
-                none = np.zeros(0, np.uint32)
-                size = np.concatenate([none, *[B.unpack(a["sizes"], np.uint32) for a in answers]]).astype(np.int64)
-                known = np.concatenate([none, *[B.unpack(a["codes"], np.uint32) for a in answers]])
-                # one more word, the end of a document
-                first = np.append(np.cumsum(size) - size, len(known))
-                size, known = np.append(size, 1), np.append(known, np.uint32(end_id))
-                n_words = np.asarray(row["n_words"], np.int64)
-                ends = np.cumsum(n_words + 1) - 1
-                word = np.full(int((n_words + 1).sum()), len(size) - 1, np.int64)
-                inner = np.ones(len(word), bool)
-                inner[ends] = False
-                word[inner] = B.unpack(row["codes"], np.uint32)
-                ids = _pieces(known, first[word], size[word])
-                n_tokens = np.diff(np.cumsum(size[word])[ends], prepend=0)
-                data = shard(ids, n_tokens, np.asarray(row["ids"], np.int64), np.asarray(row["has_id"], bool), rounds, frequent)
-                path = write_file(folder, f"shard-{row['block']:016x}", data)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x]) for x in (row["block"], path, len(n_tokens), len(ids), len(data))],
-                    ["block", "path", "n_docs", "n_ids", "n_bytes"],
-                )
+        for row in B.rows(batches):
+            answers = sorted(row["answers"] or [], key=lambda a: a["share"])
+            none = np.zeros(0, np.uint32)
+            size = np.concatenate([none, *[B.unpack(a["sizes"], np.uint32) for a in answers]]).astype(np.int64)
+            known = np.concatenate([none, *[B.unpack(a["codes"], np.uint32) for a in answers]])
+            # one more word, the end of a document
+            first = np.append(np.cumsum(size) - size, len(known))
+            size, known = np.append(size, 1), np.append(known, np.uint32(end_id))
+            n_words = np.asarray(row["n_words"], np.int64)
+            ends = np.cumsum(n_words + 1) - 1
+            word = np.full(int((n_words + 1).sum()), len(size) - 1, np.int64)
+            inner = np.ones(len(word), bool)
+            inner[ends] = False
+            word[inner] = B.unpack(row["codes"], np.uint32)
+            ids = _pieces(known, first[word], size[word])
+            n_tokens = np.diff(np.cumsum(size[word])[ends], prepend=0)
+            data = shard(ids, n_tokens, np.asarray(row["ids"], np.int64), np.asarray(row["has_id"], bool), rounds, frequent)
+            path = write_file(folder, f"shard-{row['block']:016x}", data)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x]) for x in (row["block"], path, len(n_tokens), len(ids), len(data))],
+                ["block", "path", "n_docs", "n_ids", "n_bytes"],
+            )
 
     return run
 
@@ -396,23 +403,22 @@ def placed(files: DataFrame) -> DataFrame:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            s = Shard(read_file(row["path"]))
-            ids = np.ascontiguousarray(s.all(), "<u4")
-            if len(ids) != s.starts[-1]:
-                raise CorruptShard("expands to another number of ids")
-            data = ids.view(np.uint8)
-            crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(s.starts[:-1].tolist(), s.starts[1:].tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(s.doc_ids, mask=~s.has_id),
-                    pa.array(row["start"] + s.starts[:-1]),
-                    pa.array(s.n_tokens),
-                    pa.array(crc, pa.int64()),
-                ],
-                ["doc_id", "start", "n_tokens", "ids_crc32"],
-            )
+    for row in B.rows(batches):
+        s = Shard(read_file(row["path"]))
+        ids = np.ascontiguousarray(s.all(), "<u4")
+        if len(ids) != s.starts[-1]:
+            raise CorruptShard("expands to another number of ids")
+        data = ids.view(np.uint8)
+        crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(s.starts[:-1].tolist(), s.starts[1:].tolist())]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(s.doc_ids, mask=~s.has_id),
+                pa.array(row["start"] + s.starts[:-1]),
+                pa.array(s.n_tokens),
+                pa.array(crc, pa.int64()),
+            ],
+            ["doc_id", "start", "n_tokens", "ids_crc32"],
+        )
 
 
 def read_tokens(files: DataFrame) -> DataFrame:

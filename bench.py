@@ -45,6 +45,8 @@ HEADLINE = [
     "runs_table",
     "classify_batch",
     "report_bundle",
+    "stream_last_actions",
+    "stream_ingest",
 ]
 
 

@@ -41,7 +41,8 @@ from runlens.llm import blocks as B
 LENGTH = 50
 ANCHOR = 24
 HOT = 1_000_000
-SHARE_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
+SHARE_BYTES = 2 << 20
 
 BLOCKS = (
     "block long, ids array<long>, has_id array<boolean>, n_bytes array<long>, "
@@ -93,7 +94,7 @@ def _grams(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
 def _blocks(length: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 32
-        for batch in B.blocks(batches):
+        for batch in B.blocks(batches, size=BLOCK_BYTES):
             data, starts = B.text_bytes(batch.column("text"))
             first, windows, place = cut(data, starts, length, anchor)
             ids = batch.column("doc_id")
@@ -204,15 +205,14 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 
 def _ask(length: int, anchor: int, n_shares: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                keys, counts, several = _Block(row, length, anchor, n_shares).ask()
-                share = B.share_of(keys, n_shares)
-                rows = _rows(
-                    row["block"], n_shares, share,
-                    lambda a, b: (B.pack_sorted(keys[a:b]), B.pack(counts[a:b]), B.pack(several[a:b])),
-                )
-                yield _batch(list(rows), ["share", "block", "keys", "counts", "several"])
+        for row in B.rows(batches):
+            keys, counts, several = _Block(row, length, anchor, n_shares).ask()
+            share = B.share_of(keys, n_shares)
+            rows = _rows(
+                row["block"], n_shares, share,
+                lambda a, b: (B.pack_sorted(keys[a:b]), B.pack(counts[a:b]), B.pack(several[a:b])),
+            )
+            yield _batch(list(rows), ["share", "block", "keys", "counts", "several"])
 
     return run
 
@@ -247,20 +247,19 @@ def _gather(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray
 
 def _send(length: int, anchor: int, n_shares: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                b = _Block(row, length, anchor, n_shares)
-                b.strings(row["told"] or [])
-                rows = _rows(
-                    row["block"], n_shares, b.s_share,
-                    lambda i, j: (
-                        B.pack_sorted(b.s_key[i:j]),
-                        B.pack(b.s_size[i:j].astype(np.uint32)),
-                        B.pack(b.s_doc[i:j]),
-                        zstandard.compress(_gather(b.data, b.s_first[i:j], b.s_size[i:j]).tobytes(), 1),
-                    ),
-                )
-                yield _batch(list(rows), ["share", "block", "keys", "lengths", "docs", "strings"])
+        for row in B.rows(batches):
+            b = _Block(row, length, anchor, n_shares)
+            b.strings(row["told"] or [])
+            rows = _rows(
+                row["block"], n_shares, b.s_share,
+                lambda i, j: (
+                    B.pack_sorted(b.s_key[i:j]),
+                    B.pack(b.s_size[i:j].astype(np.uint32)),
+                    B.pack(b.s_doc[i:j]),
+                    zstandard.compress(_gather(b.data, b.s_first[i:j], b.s_size[i:j]).tobytes(), 1),
+                ),
+            )
+            yield _batch(list(rows), ["share", "block", "keys", "lengths", "docs", "strings"])
 
     return run
 
@@ -287,8 +286,8 @@ def suffix_order(data: np.ndarray, first: np.ndarray, size: np.ndarray, most: in
         active, row = active[more], row[more]
         n = len(bwt)
         order = np.argsort(bwt, kind="stable")
-        rank = np.empty(n, np.int64)
-        rank[order] = np.arange(n)
+        rank = np.empty(n, np.int32 if n < 1 << 31 else np.int64)
+        rank[order] = np.arange(n, dtype=rank.dtype)
         shift = m - int(np.searchsorted(bwt[order], 0, side="right"))
         at = rank[row]
         # the new suffix and its successor get a new common prefix with the one before them
@@ -388,30 +387,29 @@ def _smallest(length: int):
 
 def _cleaned(length: int, anchor: int, n_shares: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                b = _Block(row, length, anchor, n_shares)
-                b.strings(row["told"] or [])
-                gone = b.removed(row["smallest"] or [])
-                rise = gone.copy()
-                rise[1:] &= ~gone[:-1]
-                starts = b.starts[:-1][b.n_bytes > 0]
-                rise[starts] = gone[starts]
-                kept = b.data[~gone]
-                n_gone = np.concatenate([[0], np.cumsum(gone)])[b.starts]
-                n_rise = np.concatenate([[0], np.cumsum(rise)])[b.starts]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.asarray(row["ids"], np.int64), mask=~np.asarray(row["has_id"], bool)),
-                        pa.array(b.n_bytes),
-                        pa.array(np.diff(n_gone)),
-                        pa.array(np.diff(n_rise)),
-                        pa.LargeBinaryArray.from_buffers(
-                            pa.large_binary(), len(b.n_bytes), [None, pa.py_buffer((b.starts - n_gone).astype(np.int64)), pa.py_buffer(kept)]
-                        ).cast(pa.binary()),
-                    ],
-                    ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
-                )
+        for row in B.rows(batches):
+            b = _Block(row, length, anchor, n_shares)
+            b.strings(row["told"] or [])
+            gone = b.removed(row["smallest"] or [])
+            rise = gone.copy()
+            rise[1:] &= ~gone[:-1]
+            starts = b.starts[:-1][b.n_bytes > 0]
+            rise[starts] = gone[starts]
+            kept = b.data[~gone]
+            n_gone = np.concatenate([[0], np.cumsum(gone)])[b.starts]
+            n_rise = np.concatenate([[0], np.cumsum(rise)])[b.starts]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.asarray(row["ids"], np.int64), mask=~np.asarray(row["has_id"], bool)),
+                    pa.array(b.n_bytes),
+                    pa.array(np.diff(n_gone)),
+                    pa.array(np.diff(n_rise)),
+                    pa.LargeBinaryArray.from_buffers(
+                        pa.large_binary(), len(b.n_bytes), [None, pa.py_buffer((b.starts - n_gone).astype(np.int64)), pa.py_buffer(kept)]
+                    ).cast(pa.binary()),
+                ],
+                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
+            )
 
     return run
 

@@ -242,9 +242,9 @@ def _judge(refs: dict, carry: list[str], name: str):
             classes = _classes(data, starts)
             far = np.zeros((2, n))
             lang = _languages(batch)
-            for name in set(lang.tolist()) & refs.keys():
-                by_class, common, shares = refs[name]
-                mine = np.flatnonzero(lang == name)
+            for own in set(lang.tolist()) & refs.keys():
+                by_class, common, shares = refs[own]
+                mine = np.flatnonzero(lang == own)
                 far[0, mine] = distance(classes[mine], by_class)
                 k = len(common) + 1
                 at = np.searchsorted(common, words)

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -447,6 +448,21 @@ def test_divergence_rejects_odd_texts_and_keeps_clean_ones(spark):
     assert found[1001].kept and found[1002].kept  # too short to tell, and a language without reference
 
 
+def test_the_verdict_keeps_its_name_whatever_languages_a_task_has(spark):
+    schema = "doc_id long, text string, lang string"
+    nameless = [(i, sentence(80), None) for i in range(20)]
+    assert len(quality.judged(spark.createDataFrame(nameless, schema), "verdict").select("verdict.kept").collect()) == 20
+    rows = [(i, sentence(80), "en") for i in range(300)] + [(900, sentence(12), "xx")] + nameless
+    refs = quality.references(spark.createDataFrame(rows, schema).repartition(4, "lang"))
+    typed = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string())])
+    for part in (rows[:300], rows[300:301], rows[301:]):
+        batch = pa.RecordBatch.from_pylist([dict(zip(typed.names, r)) for r in part], typed)
+        (out,) = quality._judge(refs, ["doc_id"], "verdict")(iter([batch]))
+        assert out.schema.names == ["doc_id", "verdict"]
+    frame = spark.createDataFrame(rows, schema).repartition(4, "lang").sortWithinPartitions("lang")
+    assert quality.quality(frame).count() == len(rows)
+
+
 def test_jensen_shannon_distance():
     q = np.array([0.5, 0.5, 0.0])
     assert quality.distance(np.array([[1, 1, 0], [0, 0, 9], [0, 0, 0]]), q).tolist() == pytest.approx([0, 1, 0])

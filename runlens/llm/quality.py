@@ -1,13 +1,14 @@
 """Quality rules: repetition counts, and divergence from the document's language.
 
-Each language that holds at least a thousandth of the corpus' words gets two
-reference histograms, counted over all its documents: the classes of its
-characters, and its common words (each at least a two-hundredth of its words)
-with all other words as one bin. A document's own histograms are compared with
-these by the Jensen-Shannon distance (square root of the divergence in bits, 0 to
-1). Short texts say little: a distance counts only from a least number of
-characters or words on, and its limit is wider the shorter the text. Documents of
-a smaller language, or of none, have no reference and only the base rule applies.
+Each language, however small, gets two reference histograms, counted over all its
+documents: the classes of its characters, and its common words (each at least a
+two-hundredth of its words) with all other words as one bin. A document's own
+histograms are compared with these by the Jensen-Shannon distance (square root of
+the divergence in bits, 0 to 1). Short texts say little: a distance counts only from
+a least number of characters or words on, and its limit is wider the shorter the text.
+Documents without a language (null or empty) are a group with a reference like any
+other; as they may be of many languages, each is also compared with the language whose
+common words it uses most, among those sent to every task, and the nearer one counts.
 
 Words are runs of anything but ASCII white space. Null and empty texts have none
 and fail the base rule. Repeated rows are judged each for itself.
@@ -15,6 +16,7 @@ and fail the base rule. Repeated rows are judged each for itself.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +32,12 @@ from runlens.session import staging
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 REPEAT_WORDS = 5
-#: A common word's least share of its language, and a language's of the corpus: both bound the references.
+#: A common word's least share of its language: bounds a reference.
 COMMON_SHARE = 1 / 200
-LANGUAGE_SHARE = 1 / 1000
+#: References sent to every task, of the largest languages; those of the others are joined with their documents.
+BROADCAST_LANGUAGES = 1_000
+#: Languages whose sizes are sent to every task; beyond it they are joined by a shuffle.
+BROADCAST_SIZES = 100_000
 #: Least length for each comparison, its limit for long texts, and what a text of n adds to the limit: widen / sqrt(n).
 CLASS_GUARD, CLASS_LIMIT, CLASS_WIDEN = 200, 0.16, 3.0
 WORD_GUARD, WORD_LIMIT, WORD_WIDEN = 50, 0.20, 2.0
@@ -113,35 +118,41 @@ def _statistics(n_shares: int):
     return run
 
 
-def _common(least: dict[str, float]):
-    """Of one share of the hashes, the words common in a language."""
+def _common(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of one share of the hashes, the words common in each language."""
+    words = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["words"]])
+    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["counts"]]).astype(np.int64)
+    names, first, code = np.unique(rows["lang"].to_numpy(object), return_index=True, return_inverse=True)
+    limit = rows["size"].to_numpy()[first] * COMMON_SHARE
+    of = np.repeat(code, [len(x) // 8 for x in rows["words"]])
+    order = np.lexsort((words, of))
+    of, words = of[order], words[order]
+    new = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (words[1:] != words[:-1])))
+    sums = np.add.reduceat(counts[order], new)
+    of, words = of[new], words[new]
+    at = np.flatnonzero(sums >= limit[of])
+    return pd.DataFrame({"lang": names[of[at]], "word": words[at].view(np.int64), "n": sums[at]})
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        words = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["words"]])
-        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["counts"]]).astype(np.int64)
-        of = np.repeat(rows["lang"].to_numpy(), [len(x) // 8 for x in rows["words"]])
-        found = []
-        for name, limit in least.items():
-            mine = of == name
-            own, inverse = np.unique(words[mine], return_inverse=True)
-            sums = np.bincount(inverse, counts[mine], len(own)).astype(np.int64) if len(own) else counts[:0]
-            at = np.flatnonzero(sums >= limit)
-            found.append(pd.DataFrame({"lang": name, "word": own[at].view(np.int64), "n": sums[at]}))
-        return pd.concat(found)
 
-    return run
+Reference = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By language: shares of character classes, hashes of common words, shares of these and of the rest.
+def references(docs: DataFrame) -> tuple[dict[str, Reference], DataFrame | None]:
+    """By language ('' for none): shares of character classes, hashes of common words, shares of these and of the rest.
 
-    At most 1,000 languages of at most 200 words each.
+    The largest languages' references, and a table of all others' (lang, size, classes, words) if there are more.
+    A reference has at most 200 words.
     """
-    with staging(docs.sparkSession, "statistics") as folder:  # all that is kept of it is collected here
-        return _references(docs, folder)
+    with staging(docs.sparkSession, "statistics") as folder:  # all that is kept of it is written or collected here
+        found = B.kept(_references(docs, folder), "references")
+    large = found.orderBy(F.desc("size"), "lang").limit(BROADCAST_LANGUAGES).collect()
+    refs = {r.lang: _reference(r.size, r.classes, r.words) for r in large}
+    if found.count() == len(large):
+        return refs, None
+    return refs, found.where(~F.col("lang").isin(list(refs)))
 
 
-def _references(docs: DataFrame, folder: str) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _references(docs: DataFrame, folder: str) -> DataFrame:
     n_bytes = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     stats = docs.select("lang", "text").mapInArrow(
         _statistics(-(-n_bytes // SHARE_BYTES) or 1),
@@ -149,29 +160,28 @@ def _references(docs: DataFrame, folder: str) -> dict[str, tuple[np.ndarray, np.
     )
     stats.write.parquet(folder)
     stats = docs.sparkSession.read.schema(stats.schema).parquet(folder)
-    heads = stats.where("share = -1 and lang != ''")
-    total = stats.agg(F.sum("n_words").alias("n")).first().n or 0
-    large = heads.groupBy("lang").agg(F.sum("n_words").alias("n")).where(F.col("n") >= max(1, total * LANGUAGE_SHARE))
-    sizes = {r.lang: r.n for r in large.collect()}
-    names = F.col("lang").isin(list(sizes))
-
-    classes = {name: np.zeros(len(CLASSES)) for name in sizes}
-    sums = heads.where(names).select("lang", "counts").mapInArrow(_unpacked, "lang string, place int, n long")
-    for r in sums.groupBy("lang", "place").agg(F.sum("n").alias("n")).collect():
-        classes[r.lang][r.place] = r.n
-    least = {name: n * COMMON_SHARE for name, n in sizes.items()}
-    common = stats.where("share >= 0").where(names).groupBy("share")
-    words: dict[str, list] = {name: [] for name in sizes}
-    for r in common.applyInPandas(_common(least), "lang string, word long, n long").collect():
-        words[r.lang].append((r.word, r.n))
-    out = {}
-    for name, n in sizes.items():
-        hashes = np.array([w for w, _ in words[name]], np.int64).view(np.uint64)
-        counts = np.array([c for _, c in words[name]], float)
-        order = np.argsort(hashes)
-        counts = np.append(counts[order], n - counts.sum())
-        out[name] = classes[name] / max(1, classes[name].sum()), hashes[order], counts / n
-    return out
+    heads = stats.where("share = -1")
+    sizes = heads.groupBy("lang").agg(F.sum("n_words").alias("size"))
+    classes = heads.select("lang", "counts").mapInArrow(_unpacked, "lang string, place int, n long")
+    classes = classes.groupBy("lang", "place").agg(F.sum("n").alias("n")).groupBy("lang")
+    classes = classes.agg(F.collect_list(F.struct("place", "n")).alias("classes"))
+    # without the hint the statistics would be shuffled by language as well
+    near = F.broadcast(sizes) if sizes.count() <= BROADCAST_SIZES else sizes
+    words = stats.where("share >= 0").join(near, "lang").select("lang", "share", "size", "counts", "words").groupBy("share")
+    words = words.applyInPandas(_common, "lang string, word long, n long")
+    words = words.groupBy("lang").agg(F.collect_list(F.struct("word", "n")).alias("words"))
+    return sizes.join(classes, "lang").join(words, "lang", "left").select("lang", "size", "classes", "words")
+
+
+def _reference(size: int, classes: list, words: list | None) -> Reference:
+    by_class = np.zeros(len(CLASSES))
+    for c in classes:
+        by_class[c["place"]] = c["n"]
+    hashes = np.array([w["word"] for w in words or ()], np.int64).view(np.uint64)
+    counts = np.array([w["n"] for w in words or ()], float)
+    order = np.argsort(hashes)
+    counts = np.append(counts[order], size - counts.sum())
+    return by_class / max(1, by_class.sum()), hashes[order], counts / max(1, size)
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +239,36 @@ def _duplicate_lines(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.bincount(row, minlength=n) - np.bincount(row[at], minlength=n)
 
 
-def _judge(refs: dict, carry: list[str], name: str):
+def _distances(classes: np.ndarray, words: np.ndarray, row: np.ndarray, ref: Reference) -> np.ndarray:
+    """Distances of rows by classes and by words; ``row`` says which row each word is in."""
+    by_class, common, shares = ref
+    n, k = len(classes), len(common) + 1
+    at = np.searchsorted(common, words)
+    known = at < len(common)
+    known[known] = common[at[known]] == words[known]
+    bins = np.bincount(row * k + np.where(known, at, k - 1), minlength=n * k).reshape(n, k)
+    return np.stack([distance(classes, by_class), distance(bins, shares)])
+
+
+def _likeliest(words: np.ndarray, row: np.ndarray, n: int, hashes: np.ndarray, of: np.ndarray, n_refs: int) -> np.ndarray:
+    """For each row the reference whose common words it uses most; ``hashes`` ascend, ``of`` are their references."""
+    out = np.zeros(n, np.int64)
+    ends = np.searchsorted(row, np.arange(n + 1))
+    first, last = np.searchsorted(hashes, words), np.searchsorted(hashes, words, side="right")
+    for i in range(n):
+        a, many = first[ends[i] : ends[i + 1]], (last - first)[ends[i] : ends[i + 1]]
+        places = np.repeat(a - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        out[i] = np.argmax(np.bincount(of[places], minlength=n_refs))
+    return out
+
+
+def _judge(refs: dict, carry: list[str], name: str, joined: str | None = None):
+    """``joined`` names a column with the reference of documents whose language is not in ``refs``."""
+    named = [x for x in refs if x != ""]
+    hashes = np.concatenate([np.zeros(0, np.uint64), *(refs[x][1] for x in named)])
+    order = np.argsort(hashes, kind="stable")
+    hashes, of = hashes[order], np.repeat(np.arange(len(named)), [len(refs[x][1]) for x in named])[order]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in B.blocks(batches):
             data, starts = B.text_bytes(batch.column("text"))
@@ -242,16 +281,25 @@ def _judge(refs: dict, carry: list[str], name: str):
             classes = _classes(data, starts)
             far = np.zeros((2, n))
             lang = _languages(batch)
-            for own in set(lang.tolist()) & refs.keys():
-                by_class, common, shares = refs[own]
-                mine = np.flatnonzero(lang == own)
-                far[0, mine] = distance(classes[mine], by_class)
-                k = len(common) + 1
-                at = np.searchsorted(common, words)
-                known = at < len(common)
-                known[known] = common[at[known]] == words[known]
-                bins = np.bincount(row * k + np.where(known, at, k - 1), minlength=n * k).reshape(n, k)
-                far[1, mine] = distance(bins[mine], shares)
+            names, code = np.unique(lang, return_inverse=True)
+            by_lang = np.argsort(code[row], kind="stable")
+            cuts = np.searchsorted(code[row][by_lang], np.arange(len(names) + 1))
+            place = np.zeros(n, np.int64)
+            for i, own in enumerate(names.tolist()):
+                mine, at = np.flatnonzero(code == i), by_lang[cuts[i] : cuts[i + 1]]
+                place[mine] = np.arange(len(mine))
+                own_words, own_row = words[at], place[row[at]]
+                ref = refs.get(own) or _reference(**batch.column(joined)[int(mine[0])].as_py())
+                far[:, mine] = _distances(classes[mine], own_words, own_row, ref)
+                if own or not named:
+                    continue
+                like = _likeliest(own_words, own_row, len(mine), hashes, of, len(named))
+                for j in np.unique(like):
+                    some = like == j
+                    inside = some[own_row]
+                    to = _distances(classes[mine[some]], own_words[inside], (np.cumsum(some) - 1)[own_row[inside]], refs[named[j]])
+                    nearer = to[1] < far[1, mine[some]]
+                    far[:, mine[some][nearer]] = to[:, nearer]
             n_chars = classes.sum(axis=1)
             odd = (n_chars >= CLASS_GUARD) & (far[0] > CLASS_LIMIT + CLASS_WIDEN / np.sqrt(np.maximum(n_chars, 1)))
             odd |= (n_words >= WORD_GUARD) & (far[1] > WORD_LIMIT + WORD_WIDEN / np.sqrt(np.maximum(n_words, 1)))
@@ -286,10 +334,20 @@ def judged(docs: DataFrame, name: str = "verdict") -> DataFrame:
     carry = [c for c in docs.columns if c != name]
     types = dict(docs.dtypes)
     docs = docs.withColumns({c: F.col(c).cast("string") for c in ("text", "lang")})
-    refs = references(docs)
+    refs, others = references(docs)
     schema = ", ".join([f"`{c}` {'string' if c in ('text', 'lang') else types[c]}" for c in carry])
     fields = VERDICT.replace(" ", ":").replace(",:", ", ")
-    return docs.select(*carry).mapInArrow(_judge(refs, carry, name), f"{schema}, `{name}` struct<{fields}>")
+    schema = f"{schema}, `{name}` struct<{fields}>"
+    docs = docs.select(*carry)
+    if others is None:
+        return docs.mapInArrow(_judge(refs, carry, name), schema)
+    joined, other = (f"{x}_{uuid.uuid4().hex}" for x in ("reference", "lang"))
+    others = others.select(F.col("lang").alias(other), F.struct("size", "classes", "words").alias(joined))
+    own = F.coalesce("lang", F.lit(""))
+    large = docs.where(own.isin(list(refs))).mapInArrow(_judge(refs, carry, name), schema)
+    small = docs.where(~own.isin(list(refs)))
+    small = small.join(others, F.coalesce(small["lang"], F.lit("")) == others[other]).select(*carry, joined)
+    return large.union(small.mapInArrow(_judge(refs, carry, name, joined), schema))
 
 
 def quality(docs: DataFrame) -> DataFrame:

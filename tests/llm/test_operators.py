@@ -453,7 +453,7 @@ def test_the_verdict_keeps_its_name_whatever_languages_a_task_has(spark):
     nameless = [(i, sentence(80), None) for i in range(20)]
     assert len(quality.judged(spark.createDataFrame(nameless, schema), "verdict").select("verdict.kept").collect()) == 20
     rows = [(i, sentence(80), "en") for i in range(300)] + [(900, sentence(12), "xx")] + nameless
-    refs = quality.references(spark.createDataFrame(rows, schema).repartition(4, "lang"))
+    refs, _ = quality.references(spark.createDataFrame(rows, schema).repartition(4, "lang"))
     typed = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string())])
     for part in (rows[:300], rows[300:301], rows[301:]):
         batch = pa.RecordBatch.from_pylist([dict(zip(typed.names, r)) for r in part], typed)
@@ -463,6 +463,25 @@ def test_the_verdict_keeps_its_name_whatever_languages_a_task_has(spark):
     assert quality.quality(frame).count() == len(rows)
 
 
+@pytest.mark.parametrize("bound", [quality.BROADCAST_LANGUAGES, 2])
+def test_divergence_judges_small_languages_and_none(spark, monkeypatch, bound):
+    monkeypatch.setattr(quality, "BROADCAST_LANGUAGES", bound)
+    common = {"en": "the of and to in is it was for on", "xx": "ka lo mi ne po ru sa te vu zi", "yy": "bra cro dri fru gla kle pli sno tru wri"}
+
+    def clean(name, n):
+        return " ".join(SEED.choice(common[name].split()) if SEED.random() < 0.6 else "".join(SEED.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+
+    junk = " ".join("#%$*|" + str(k) for k in range(90))
+    rows = [(i, clean("en", 9_000), "en") for i in range(300)]
+    rows += [(1000 + i, clean(lang, 90), lang) for lang in ("xx", "yy") for i in range(12)]
+    rows += [(2000 + i, clean(lang, 90), none) for lang, none in (("en", None), ("en", "")) for i in range(10)]
+    rows += [(3000 + i, junk, lang) for i, lang in enumerate(("xx", "yy", None, ""))]
+    found = quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        assert not r.base_failed and r.kept == (r.doc_id < 3000), r
+
+
 def test_jensen_shannon_distance():
     q = np.array([0.5, 0.5, 0.0])
     assert quality.distance(np.array([[1, 1, 0], [0, 0, 9], [0, 0, 0]]), q).tolist() == pytest.approx([0, 1, 0])

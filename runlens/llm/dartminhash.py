@@ -20,6 +20,7 @@ one that names a class unless no member has an id. Repeated rows are copies.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -289,21 +290,8 @@ def components(links: DataFrame) -> DataFrame:
             return now
 
 
-def near_duplicates(
-    docs: DataFrame,
-    words: int = WORDS,
-    least: float = SIMILARITY,
-    bands: int = BANDS,
-    rows: int = ROWS,
-) -> DataFrame:
-    """One row a document: (doc_id, class_id, class_size, n_shingles).
-
-    ``class_id`` is the least doc_id of its class. Copies are one node of the link
-    graph. In each bucket of a band only the node that shares most buckets, its leader,
-    is compared with the others. Members that are not linked with their leader are then
-    compared among themselves, by their differences from it and in blocks. So a large
-    group of near copies costs one comparison a member, and no pair is left out.
-    """
+def _classes(docs: DataFrame, words: int, least: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Each document's node, and of each node its least doc_id ``rep`` and its class ``label``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = docs.mapInArrow(_sketch(words, bands, rows), "doc_id long, node binary, n_shingles long, bands array<long>")
     found = B.kept(found, "signatures")
@@ -326,7 +314,56 @@ def near_duplicates(
     labels = components(compared.where("linked").select("a", "b").union(more))
 
     of = reps.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = B.kept(of, "classes")
+    return found, B.kept(of, "classes")
+
+
+def _with_node(carry: list[str], node: str, words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in B.blocks(batches):
+            _, found, offsets = shingles(batch.column("text"), words)
+            yield pa.RecordBatch.from_arrays([*map(batch.column, carry), _nodes(found, offsets)], [*carry, node])
+
+    return run
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row of each class, with all its columns: of the least doc_id, of none only if no member has one.
+
+    Among rows of that doc_id the node decides, then a hash of the row: the choice
+    is the same each time, and a doc_id that several classes hold leaves a row in each.
+    """
+    _, named = _classes(docs, words, least, bands, rows)
+    first = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node"))
+    first = named.groupBy("label").agg(first.alias("first")).select("first.rep", "first.node")
+    node, key, other = (f"{x}_{uuid.uuid4().hex}" for x in ("node", "key", "key"))
+    schema = ", ".join([f"`{c}` {t}" for c, t in docs.dtypes] + [f"`{node}` binary"])
+    found = docs.mapInArrow(_with_node(docs.columns, node, words), schema)
+
+    def named_by(doc_id: str, of: str):  # one key without nulls: the rows are moved once
+        return F.concat(F.hex(of), F.coalesce(F.col(doc_id).cast("long").cast("string"), F.lit("")))
+
+    found = found.withColumn(key, named_by("doc_id", node)).drop(node)
+    found = found.join(first.select(named_by("rep", "node").alias(other)), F.col(key) == F.col(other), "left_semi")
+    row = F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64(*docs.columns), F.xxhash64("text")))
+    return found.groupBy(key).agg(row.alias(other)).select(f"{other}.*")
+
+
+def near_duplicates(
+    docs: DataFrame,
+    words: int = WORDS,
+    least: float = SIMILARITY,
+    bands: int = BANDS,
+    rows: int = ROWS,
+) -> DataFrame:
+    """One row a document: (doc_id, class_id, class_size, n_shingles).
+
+    ``class_id`` is the least doc_id of its class. Copies are one node of the link
+    graph. In each bucket of a band only the node that shares most buckets, its leader,
+    is compared with the others. Members that are not linked with their leader are then
+    compared among themselves, by their differences from it and in blocks. So a large
+    group of near copies costs one comparison a member, and no pair is left out.
+    """
+    found, named = _classes(docs, words, least, bands, rows)
     classes = named.groupBy("label").agg(F.min("rep").alias("class_id"))
     sizes = found.groupBy("node").count().join(named, "node").groupBy("label").agg(F.sum("count").alias("class_size"))
     out = named.join(classes, "label").join(sizes, "label").select("node", "class_id", "class_size")

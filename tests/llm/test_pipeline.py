@@ -75,6 +75,24 @@ def test_stages_carry_columns_of_any_name(spark, folder):
         assert out.where(" and ".join(f"{c} = 'own'" for c in names)).count() == out.count() > 0
 
 
+def test_repeated_and_missing_ids_keep_their_texts(spark, folder):
+    same = [(1, sentence(60), "en", "s0", 1)]
+    rows = same * 3 + [(1, sentence(60), "en", "s0", 1), (2, same[0][1], "en", "s1", 2)]
+    rows += [(None, sentence(60), "en", "s0", 1) for _ in range(4)] + [(None, same[0][1], "en", "s1", 1)]
+    rows += [(None, sentence(20) + " " + PASSAGE, "en", "s2", 1), (3, sentence(20) + " " + PASSAGE, "en", "s2", 1), (3, sentence(60), "en", "s0", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    (_, unique), (_, clean), (_, mixed) = corpus_pipeline.STAGES[1:4]
+    left = unique(spark, docs, folder).collect()
+    want = [r for k, r in enumerate(rows) if k not in (1, 2, 4, 9)]
+    assert Counter(map(tuple, left)) == Counter(want)
+    left = clean(spark, spark.createDataFrame(left, SCHEMA), folder).collect()
+    want = [r for r in want if PASSAGE not in r[1]]
+    assert Counter(map(tuple, left)) == Counter(want)
+    copies = Counter(tuple(r) for r in mixed(spark, spark.createDataFrame(left, SCHEMA), folder).collect())
+    assert sum(copies.values()) <= mixing.MOST * len(want) and set(copies) <= set(want)
+    assert sum(len(r[1].split()) * n for r, n in copies.items()) == pytest.approx(1.5 * sum(len(r[1].split()) for r in want), rel=0.1)
+
+
 def test_empty_documents(spark, folder):
     docs = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:

@@ -2,18 +2,19 @@
 
 Spark expressions only. Each kind has a pattern; its leftmost non-overlapping matches are
 found by splitting the text at them, so a match's place is the length of what stands
-before it. A validator then drops matches, without trying shorter ones:
+before it. A validator then drops matches, without trying shorter ones (but see iban):
 
     email  a name, @, and a domain with a dot
     ip     four numbers of at most 255
     card   16 to 19 digits that pass Luhn's test
     phone  + and 8 to 15 digits
-    iban   a country's account number whose remainder by 97 is 1
+    iban   a country's account number of 15 to 34 characters whose remainder by 97 is 1;
+           the longest such run of whole words from a country and two digits on
     ssn    three, two and four digits, none of the groups zero
 
 The first four are *base* kinds: what their validators confirm is always reported. Every
-span has a score, the kind's own plus a bonus for each word nearby that speaks for the
-kind; other kinds need ``LEAST`` to be reported. Places are code points, ends exclusive.
+span has a score, the kind's own plus a bonus for each word nearby, before or after it,
+that speaks for the kind; other kinds need ``LEAST`` to be reported. Places are code points, ends exclusive.
 Null counts as an empty text. Every row is judged for itself; nothing is shuffled.
 
 The patterns take runs of characters whole (possessive quantifiers) and start only where
@@ -28,9 +29,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEAST = 0.6
-#: Characters before a span that are searched for context words, and what each found word adds.
+#: Characters before and after a span that are searched for context words, and what each found word adds.
 NEAR = 40
 BONUS = 0.2
+IBAN_MOST = 34
 
 
 @dataclass(frozen=True)
@@ -50,7 +52,8 @@ KINDS = (
     # a maximal run of digits with single blanks or hyphens, of 16 to 19 digits
     Kind("card", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}+(?![ -]?[0-9])", r"[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]", 0.8, ("card", "visa", "credit", "payment")),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", r"\+[0-9]", 0.7, ("phone", "tel", "call", "mobile")),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}", 0.7, ("iban", "account", "bank"), False),
+    # the head of an account number only, so that one that fails hides none that starts inside it
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?: ?[A-Z0-9]){11})", r"[A-Z]{2}[0-9]{2}", 0.7, ("iban", "account", "bank"), False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]{3}-[0-9]{2}-", 0.45, ("ssn", "social security"), False),
 )
 BASE = tuple(k.name for k in KINDS if k.base)
@@ -74,6 +77,18 @@ def _mod97(iban: Column) -> Column:
     return F.aggregate(F.filter(F.split(plain, ""), lambda c: c != ""), F.lit(0), add)
 
 
+def _account(text: Column, start: Column) -> Column:
+    """The longest account number that starts there and ends where a word ends; empty if none passes its test."""
+    after = F.substr(text, start + 1, F.lit(2 * IBAN_MOST))  # with blanks between, and the next character
+    run = F.regexp_extract(after, "^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}", 0)
+    parts = F.transform(F.sequence(F.lit(15), F.greatest(F.length(run), F.lit(15))), lambda n: F.substr(after, F.lit(1), n + 1))
+    # each prefix comes with the character after it, if there is one
+    ends = F.transform(parts, lambda p: F.regexp_extract(p, "^([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})[^A-Za-z0-9]?$", 1))
+    whole = F.filter(ends, lambda p: (p != "") & ~F.substr(after, F.length(p) + 1, F.lit(1)).rlike("[A-Za-z0-9]"))
+    good = F.filter(F.array_distinct(whole), lambda p: _mod97(p) == 1)
+    return F.coalesce(F.try_element_at(good, F.lit(-1)), F.lit(""))
+
+
 def valid(kind: str, match: Column) -> Column:
     """Whether a match of the kind's pattern passes its test."""
     n = F.length(_digits(match))
@@ -82,7 +97,7 @@ def valid(kind: str, match: Column) -> Column:
         "ip": match.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"),
         "card": n.between(16, 19) & F.call_function("luhn_check", _digits(match)),
         "phone": n.between(8, 15),
-        "iban": _mod97(match) == 1,
+        "iban": match != "",
         "ssn": ~match.rlike("^000|-00-|0000$"),
     }[kind]
 
@@ -95,19 +110,23 @@ def _found(text: Column, kind: Kind) -> Column:
 
     def step(so_far: Column, pair: Column) -> Column:
         start = so_far["at"] + F.length(pair["rest"])
-        end = start + F.length(pair["match"])
-        near = F.lower(F.right(pair["rest"], F.lit(NEAR)))
+        at = start + F.length(pair["match"])
+        match = _account(text, start) if kind.name == "iban" else pair["match"]
+        end = start + F.length(match)
+        before = F.substr(text, F.greatest(start - NEAR, F.lit(0)) + 1, F.least(start, F.lit(NEAR)))
+        near = F.lower(F.concat_ws("\n", before, F.substr(text, end + 1, F.lit(NEAR))))
         score = F.lit(kind.score)
         for word in kind.words:
             score = score + F.when(F.contains(near, F.lit(word)), BONUS).otherwise(0.0)
         score = F.round(F.least(score, F.lit(1.0)), 2)
-        good = valid(kind.name, pair["match"])
+        good = (start >= so_far["until"]) & valid(kind.name, match)
         if not kind.base:
             good = good & (score >= LEAST)
         span = F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"), score.alias("score"))
-        return F.struct(end.alias("at"), F.when(good, F.concat(so_far["spans"], F.array(span))).otherwise(so_far["spans"]).alias("spans"))
+        until = F.when(good, end).otherwise(so_far["until"])
+        return F.struct(at.alias("at"), until.alias("until"), F.when(good, F.concat(so_far["spans"], F.array(span))).otherwise(so_far["spans"]).alias("spans"))
 
-    first = F.struct(F.lit(0).alias("at"), F.coalesce(none, F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")).alias("spans"))
+    first = F.struct(F.lit(0).alias("at"), F.lit(0).alias("until"), F.coalesce(none, F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")).alias("spans"))
     pairs = F.arrays_zip(rest.alias("rest"), matches.alias("match"))
     pairs = F.slice(pairs, F.lit(1), F.size(matches))  # after the last match stands no other
     spans = F.aggregate(pairs, first, step, lambda x: x["spans"])

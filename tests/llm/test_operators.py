@@ -370,6 +370,19 @@ def test_context_and_checksums_decide(spark):
     assert scored[0].spans[0].score > scored[1].spans[0].score
 
 
+def test_accounts_before_other_words_and_context_on_both_sides(spark):
+    iban, spaced = "GB82WEST12345698765432", "DE89 3704 0044 0532 0130 00"
+    rows = [f"{iban} Please pay", f"IBAN {iban} BIC X", f"to {spaced} BIC COBADEFFXXX 12", f"{iban} {spaced} 2024 OK", f"AB12 {iban}.", f"GB12 {spaced} A", f"{iban}a", f"{iban[:-1]}3 Please"]
+    rows += ["x" * 70 + f" {iban} " + "Y" * 70, f"é😀 {spaced} É"]
+    want = [[m.span() for m in re.finditer(f"(?<![A-Za-z0-9])({iban}|{spaced})(?![A-Za-z0-9])", t)] for t in rows]
+    assert sum(map(len, want)) == 9
+    found = pii.personal_data(spark.createDataFrame([(t,) for t in rows], "text string")).collect()
+    assert [[(s.start, s.end) for s in r.spans if s.kind == "iban"] for r in found] == want
+    rows = ["123-45-6789 is my SSN", "ssn 123-45-6789, 987-65-4321", "ssn" + " " * 38 + "123-45-6789", "123-45-6789" + " " * 38 + "ssn", "123-45-6789 ssn 000-45-6789"]
+    found = pii.personal_data(spark.createDataFrame([(t,) for t in rows], "text string")).collect()
+    assert [sum(s.kind == "ssn" for s in r.spans) for r in found] == [1, 2, 0, 0, 1]
+
+
 # -- 6 decontamination
 
 ITEMS = [("b", PASSAGE), (None, sentence(12)), ("a", "one two"), ("c", ""), ("d", None), ("e", "one  TWO."), ("f", " ".join(BASE[20:45])), ("a", "one two")]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import chat, dartminhash, decontaminate, lm_score, mixing, pii, quality, repeats, token_files, warc
+from runlens.llm import chat, dartminhash, decontaminate, lm_score, mixing, pii, quality, repair, repeats, secrets, source_audit, token_files, warc
 from runlens.llm.blocks import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -162,3 +162,144 @@ def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("learnt"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+def _more(state: str, cost: int | str, edits: str) -> str:
+    """A state of the SQL below, cost in ten digits and edits, one step on."""
+    return f"printf('%010d', substr({state}, 1, 10)::bigint + {cost}) || substr({state}, 11) || '{edits}'"
+
+
+def _repair_sql() -> str:
+    """Turn by turn over four states, each the least of cost and edits."""
+    u = f"least(vu, {_more('va', 2, 'I')}, {_more('vs', 2, 'I')}, {_more('v0', 2, 'I')})"
+    a = f"least(va, {_more('vu', 2, 'I')}, {_more('vs', 4, 'II')}, {_more('v0', 4, 'II')})"
+    to_u = "least(v0, vs, va)"
+
+    def keep(initial: str, state: str) -> str:
+        return f"case when c = '{initial}' and not gone then {_more(state, 'cut::bigint', 'K')} end"
+
+    def change(state: str) -> str:
+        return f"case when not gone then {_more(state, 'cut::bigint + 2', 'R')} end"
+
+    return rf"""
+with recursive rows as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    list_reduce(list_concat([4294967295::bigint], flatten(list_transform(
+      string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''),
+      lambda x: [ascii(x)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda x, e: case when e >= 0 then xor(x, e) else xor(x >> 1, (x & 1) * 3988292384) end) as crc
+  from conversations),
+kinds as (select *, xor(crc, 4294967295) % 20 as kind from rows),
+damaged as (
+  select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+    case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+    unnest(range(case kind when 0 then 0 when 3 then 2 else 1 end)) as copy
+  from kinds),
+placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, digest) as n,
+    rtrim(text, E' 	
+
+') as bare, substr(role, 1, 1) as initial
+  from (select *, sha256(length(role)::varchar || ':' || role || text) as digest from damaged)),
+faults as (
+  select *, case when bare = '' then 'blank' when row_number() over (partition by conv_id, role, text order by n) > 1 then 'duplicate' when right(bare, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault,
+    lag(initial) over (partition by conv_id order by n) as before
+  from placed),
+marked as (
+  select *, case when initial in ('s', 'u', 'a') then initial else 'x' end as c,
+    fault in ('blank', 'duplicate') as gone, fault = 'truncated' as cut from faults),
+counts as (
+  select conv_id, case when min(turn) is null then 0 else max(turn) - min(turn) + 1 - count(distinct turn) end as gaps,
+    count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+    count(*) filter (fault = 'truncated') as truncated,
+    count(*) filter (n > 1 and before || initial not in ('su', 'ua', 'au')) as illegal
+  from marked group by conv_id),
+ids as (select distinct conv_id from conversations),
+steps as (
+  select conv_id, 0::bigint as n, '0000000000' as s0, null::varchar as ss, null::varchar as su, null::varchar as sa from ids
+  union all
+  select conv_id, n, {_more('v0', 3, 'D')}, least({_more('vs', 3, 'D')}, {keep('s', 'v0')}),
+    least({_more('vu', 3, 'D')}, {keep('u', 'vt')}, {change('vt')}),
+    least({_more('va', 3, 'D')}, {keep('a', 'vu')}, {change('vu')})
+  from (
+    select *, {to_u} as vt from (
+      select conv_id, n, c, gone, cut, v0, vs, {u} as vu, {a} as va from (
+        select m.conv_id, m.n, m.c, m.gone, m.cut, s0 as v0, ss as vs, su as vu, sa as va
+        from steps s join marked m on m.conv_id is not distinct from s.conv_id and m.n = s.n + 1)))),
+best as (
+  select conv_id, least(s0, sa, {_more('su', 2, 'I')}, {_more('ss', 4, 'II')}) as best
+  from steps qualify row_number() over (partition by conv_id order by n desc) = 1),
+solved as (select conv_id, substr(best, 1, 10)::bigint as cost, substr(best, 11) as audit from best),
+edits as (
+  select conv_id, pos, substr(audit, pos, 1) as edit,
+    sum((substr(audit, pos, 1) <> 'I')::int) over (partition by conv_id order by pos) as n,
+    sum((substr(audit, pos, 1) <> 'D')::int) over (partition by conv_id order by pos) as place
+  from (select conv_id, audit, unnest(range(1, length(audit) + 1)) as pos from solved)),
+kept as (
+  select e.*, m.role, m.text, m.c,
+    max((place = 1 and edit = 'K' and m.c = 's')::int) over (partition by e.conv_id) as lead
+  from edits e left join marked m on m.conv_id is not distinct from e.conv_id and m.n = e.n and e.edit <> 'I'
+  where edit <> 'D'),
+texts as (
+  select conv_id, string_agg(case when edit = 'K' then role when (place - lead) % 2 = 1 then 'user' else 'assistant' end
+    || ':' || coalesce(text, ''), chr(10) order by pos) as whole
+  from kept group by conv_id)
+select i.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+  coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, cost, audit, sha256(coalesce(whole, '')) as repaired_sha256
+from ids i left join counts k on k.conv_id is not distinct from i.conv_id
+  join solved v on v.conv_id is not distinct from i.conv_id left join texts t on t.conv_id is not distinct from i.conv_id"""
+
+
+@query("op12_conversation_repair", _repair_sql())
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations, what is wrong with them and their cheapest repair."""
+    return repair.repair(repair.damage(table(spark, sf_dir, "conversations")))
+
+
+@query("op11_secret_scan")
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in the documents."""
+    found = secrets.secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.col("spans")
+
+    def count(kind: str):
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter(spans, lambda s: s["kind"].isin(*secrets.BASE))
+    return found.select("doc_id", *map(count, secrets.BASE), F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(spans).alias("spans"))
+
+
+@query("op13_source_divergence", r"""
+with docs as (
+  select row_number() over () as doc, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+found as (
+  select doc, lang, source, term, count(*) as n from (
+    select doc, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from docs)
+  group by all),
+terms as (select lang, term, sum(n) as n from found group by lang, term having count(*) >= 10),
+sizes as (select lang, count(*) as v, sum(n) as total from terms group by lang),
+every as (select distinct lang, source from docs),
+counts as (select lang, source, term, sum(n) as n from found semi join terms using (lang, term) group by all),
+totals as (select lang, source, coalesce(sum(n), 0) as total from every left join counts using (lang, source) group by all),
+shares as (
+  select e.lang, e.source, t.term, coalesce(c.n, 0) as n,
+    1 + (1000000000::hugeint * (coalesce(c.n, 0) + 2)) // (o.total + 2 * s.v)::hugeint as p,
+    1 + (1000000000::hugeint * (t.n + 2)) // (s.total + 2 * s.v)::hugeint as q
+  from every e join terms t using (lang) join sizes s using (lang) join totals o using (lang, source)
+    left join counts c on c.lang = e.lang and c.source = e.source and c.term = t.term),
+pairs as (
+  select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as value
+  from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+parts as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value
+  from every a join every b on a.lang = b.lang and a.source <> b.source
+    left join pairs p on p.lang = a.lang and p.source = a.source and p.item = b.source
+  union all
+  select lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) from shares where n > 0 and p > q)
+select lang, source, part, item, value::bigint as value,
+  row_number() over (partition by lang, source, part order by value desc, item collate "C")::int as rank
+from parts qualify part = 'pair' or rank <= 10""")
+def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language are apart, and the terms each one stands out by."""
+    return source_audit.audit(table(spark, sf_dir, "documents"))

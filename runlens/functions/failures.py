@@ -99,16 +99,40 @@ def parse_reply(reply: Column, reply_chars: int | None = REPLY_CHARS) -> Column:
     )
 
 
+def _alternatives() -> list[tuple[str, str, int]]:
+    """(pattern, text it matches, place of its rule) of every alternative of the rules.
+
+    What may follow at any distance is looked for from the first part, which alone is matched.
+    """
+    found = []
+    for place, (pattern, _, _) in enumerate(RULES):
+        for part in pattern.split("|"):
+            first, gap, rest = part.partition(".*")
+            found.append((f"{first}(?=.*{rest})" if gap else part, first.replace(r"\b", ""), place))
+    return found
+
+
 def rule_classify(error: Column) -> Column:
-    """Category and reason by patterns in the whole error text."""
+    """Category and reason by patterns in the whole error text, which is scanned once.
+
+    Matches take no room, so that none hides another that begins inside it; of the rules
+    found the first one counts.
+    """
     text = F.lower(F.coalesce(error, F.lit("")))
-    category, reason = F.lit(NO_RULE[0]), F.lit(NO_RULE[1])
-    for pattern, name, why in reversed(RULES):
-        hit = text.rlike("(?s)" + pattern)
-        category = F.when(hit, name).otherwise(category)
-        reason = F.when(hit, why).otherwise(reason)
-    return F.struct(
-        category.alias("classification"), reason.alias("classification_reason")
+    alternatives = _alternatives()
+    pattern = "(?s)(?=(" + "|".join(p for p, _, _ in alternatives) + "))"
+    places = F.create_map(*[F.lit(x) for _, match, place in alternatives for x in (match, place)])
+    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda m: places[m])
+    place = F.coalesce(F.array_min(found), F.lit(len(RULES)))
+    outcomes = [(name, why) for _, name, why in RULES] + [NO_RULE]
+    return F.element_at(
+        F.array(
+            *[
+                F.struct(F.lit(name).alias("classification"), F.lit(why).alias("classification_reason"))
+                for name, why in outcomes
+            ]
+        ),
+        place + 1,
     )
 
 

@@ -133,6 +133,12 @@ def duration_bucket(duration_ms: Column) -> Column:
     return band
 
 
+def duration_place(band: Column) -> Column:
+    """The place of a band's label, shortest first."""
+    labels = [label for _, label in DURATION_BANDS]
+    return F.array_position(F.array(*map(F.lit, [*labels, LAST_DURATION_BAND])), band)
+
+
 def class_label(classification: Column) -> Column:
     return F.coalesce(classification, F.lit("UNCLASSIFIED"))
 

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Keys of a load that are sent to the stored rows.
+BROADCAST_KEYS = 200_000
+
 
 def _has_key(keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
@@ -30,46 +33,42 @@ def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return picked.select(*keys, "_row.*", "copies").select(*df.columns, "copies")
 
 
-def not_stored(incoming: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
+def not_stored(
+    incoming: DataFrame, stored: DataFrame, keys: list[str], n_incoming: int | None = None
+) -> DataFrame:
     """Incoming rows whose key is not stored; a NULL in a key matches nothing.
 
-    Rows without a key go past the join, which would send them all to one task.
-    The stored side is not made distinct: an anti join needs no distinct keys, and
-    with nothing between shuffle and join adaptive execution can split a hot key.
+    With at most ``BROADCAST_KEYS`` incoming rows, if their number is known, their keys go to where the
+    stored rows are, and those found come back, no more than went: nothing stored is shuffled.
+
+    Otherwise both sides are shuffled by key in one pass. Rows without a key, which match
+    nothing, get a lane of their own there that spreads them over the tasks. The stored side is
+    not made distinct: an anti join needs no distinct keys, and with nothing between
+    shuffle and join adaptive execution can split a hot key.
     """
-    known = stored.where(_has_key(keys)).select(*keys)
-    fresh = incoming.where(_has_key(keys)).join(known, keys, "left_anti").select(*incoming.columns)
-    return fresh.unionAll(incoming.where(~_has_key(keys)))
+    known = stored.where(_has_key(keys)).select(*[F.col(k).cast(incoming.schema[k].dataType).alias(k) for k in keys])
+    if n_incoming is not None and n_incoming <= BROADCAST_KEYS:
+        asked = incoming.where(_has_key(keys)).select(*keys)
+        found = known.join(F.broadcast(asked), keys, "left_semi").distinct()
+        return incoming.join(F.broadcast(found), keys, "left_anti").select(*incoming.columns)
+    # a constant lane would not be a key to shuffle by
+    lane = F.when(_has_key(keys), F.xxhash64(*keys)).otherwise(F.xxhash64(*incoming.columns))
+    known = known.withColumn("_lane", F.xxhash64(*keys))
+    fresh = incoming.withColumn("_lane", lane).join(known, [*keys, "_lane"], "left_anti")
+    return fresh.select(*incoming.columns)
 
 
 def merge_new_runs(
-    incoming: DataFrame, stored: DataFrame, keys: list[str], order: list[str]
+    incoming: DataFrame, stored: DataFrame, keys: list[str], order: list[str], folder: str | None = None
 ) -> DataFrame:
-    """The rows a load adds: first of each key, not stored yet."""
-    return not_stored(first_wins(incoming, keys, order), stored, keys)
+    """The rows a load adds: first of each key, not stored yet.
 
+    With a ``folder`` the firsts are written there, so that the input is read once, and counted.
+    """
+    firsts = first_wins(incoming, keys, order)
+    if folder is None:
+        return not_stored(firsts, stored, keys)
+    firsts.write.parquet(folder)
+    firsts = incoming.sparkSession.read.schema(firsts.schema).parquet(folder)
+    return not_stored(firsts, stored, keys, firsts.count())
 
-def count_new(
-    incoming: DataFrame, stored: DataFrame, keys: list[str], order: list[str], classified: Column
-) -> DataFrame:
-    """One row: records such a load processes, classifies and skips."""
-    flagged = incoming.select(
-        *dict.fromkeys([*keys, *order]), F.when(classified, 1).otherwise(0).alias("classified")
-    )
-    batch = first_wins(flagged, keys, order)
-    one, none = F.lit(1), F.lit(0)
-    seen = incoming.select(
-        one.alias("processed"), none.alias("added"), none.alias("classified")
-    )
-    added = not_stored(batch, stored, keys).select(
-        none.alias("processed"), one.alias("added"), "classified"
-    )
-    totals = seen.unionAll(added).agg(
-        *[
-            F.coalesce(F.sum(c), F.lit(0).cast("bigint")).alias(c)
-            for c in ("processed", "added", "classified")
-        ]
-    )
-    return totals.select(
-        "processed", "classified", (F.col("processed") - F.col("added")).alias("skipped")
-    )

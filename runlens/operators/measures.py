@@ -22,6 +22,7 @@ DIMENSIONS = [
     "session_id",
     "classification",
     "result",
+    "load_id",
 ]
 MEASURES = {
     "n_runs": F.sum,
@@ -46,6 +47,8 @@ ROLLUPS = {
     "session": (["session_id", "platform", "device_id"], list(MEASURES)),
 }
 SESSION = ROLLUPS["session"][0]
+# Which loads the cells of a day come from.
+LOADS = (["load_id"], ["n_runs"])
 
 
 def as_measures(runs: DataFrame) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from runlens.functions.scalars import is_failed, pct1
 from runlens.operators.groups import rate_by
@@ -122,3 +123,33 @@ def heat_matrix(cells: DataFrame, days: list[date]) -> DataFrame:
         for d in days
     ]
     return cells.groupBy("screen").agg(*columns).orderBy("screen")
+
+
+def heat_arrays(cells: DataFrame) -> DataFrame:
+    """The heatmap over all its days: (screen, days, rates), alike in length for every screen, missing cells NULL.
+
+    The day axis is one value a calendar day, so it goes to all tasks.
+    """
+    axis = cells.select("day").distinct().agg(F.sort_array(F.collect_list("day")).alias("days"))
+    own = cells.groupBy("screen").agg(F.map_from_entries(F.collect_list(F.struct("day", "rate"))).alias("own"))
+    own = own.join(F.broadcast(axis.withColumn("_one", F.lit(1))), F.lit(1) == F.col("_one"))
+    rates = F.transform("days", lambda d: F.try_element_at("own", d))
+    return own.select("screen", "days", rates.alias("rates")).orderBy("screen")
+
+
+def with_places(df: DataFrame, folder: str, *order: Column) -> DataFrame:
+    """The rows with ``place``, from 1 in the given order, which must have no ties; staged in a folder.
+
+    Rows are sorted in ranges; a row's place is the number of rows in the ranges before its
+    own, which are a few numbers, and its place in it.
+    """
+    # an id has the range in its upper 31 bits and the row's place there in the lower 33
+    at = F.monotonically_increasing_id()
+    df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", at).write.parquet(folder)
+    rows = df.sparkSession.read.schema(StructType([*df.schema.fields, StructField("_at", LongType())])).parquet(folder)
+    rows = rows.withColumn("_range", F.shiftright("_at", 33))
+    sizes = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_range", before.alias("_before"))  # a row a range
+    place = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return rows.join(F.broadcast(starts), "_range").select(*df.columns, place.alias("place"))

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from datetime import date
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.operators.measures import MEASURES, ROLLUPS, as_measures
+from runlens.functions.scalars import duration_place
+from runlens.operators.measures import ROLLUPS
 from runlens.plans.reports import REPORTS, latest_session_tests
+from runlens.plans.rollups import days_of, held_days, pick, read_cells, refresh_rollups
+from runlens.plans.rollups import rolled as _rollups
 from runlens.session import new_folder, staging
-from runlens.sources.table import on_days, replace_days
+
+__all__ = ["refresh_rollups", "report_bundle", "report_json", "reports"]
 
 # The rollup a report is read off, where not the daily one.
 ROLLUP_OF = {
@@ -31,89 +34,111 @@ def report_json(report: DataFrame) -> DataFrame:
     return report.select(F.to_json(F.struct("*"), JSON_OPTIONS).alias("payload"))
 
 
-def _rollups(runs: DataFrame, by_day: bool) -> DataFrame:
-    """All rollups from one scan, told apart by ``rollup``; other dimensions are NULL."""
-    sets = {
-        name: [*(["run_date"] if by_day or name == "daily" else []), *dims]
-        for name, (dims, _) in ROLLUPS.items()
-    }
-    every = list(dict.fromkeys(d for dims in sets.values() for d in dims))
-    merged = [MEASURES[m](m).alias(m) for m in MEASURES]
-    cells = as_measures(runs).groupingSets([[F.col(d) for d in dims] for dims in sets.values()], *every)
-    cells = cells.agg(F.grouping_id().alias("_set"), *merged)
-    name = F.lit(None).cast("string")
-    for rollup_name, dims in sets.items():
-        bits = sum(0 if d in dims else 1 << k for k, d in enumerate(reversed(every)))
-        name = F.when(F.col("_set") == bits, rollup_name).otherwise(name)
-    return cells.withColumn("rollup", name).drop("_set")
-
-
-def _pick(cells: DataFrame, name: str, by_day: bool) -> DataFrame:
-    dims, measures = ROLLUPS[name]
-    keys = ["run_date", *dims] if by_day or name == "daily" else dims
-    return cells.where(F.col("rollup") == name).select(*keys, *measures)
-
-
-def refresh_rollups(
-    runs: DataFrame, folder: str, days: tuple[date | None, ...] | None = None
-) -> None:
-    """Write the rollups the reports read, or only those of some days.
-
-    A load adds runs to the days it names, so refreshing these after each load
-    keeps the rollups whole without reading the rest of the table. The runs are
-    read once; the cells are staged, since each rollup is written by itself.
-    """
-    if days is not None:
-        runs = on_days(runs, days)
-    with staging(runs.sparkSession, "cells") as staged:
-        cells = _rollups(runs, by_day=True)
-        cells.write.partitionBy("rollup").parquet(staged)
-        cells = runs.sparkSession.read.schema(cells.schema).parquet(staged)
-        for name, (dims, _) in ROLLUPS.items():
-            replace_days(_pick(cells, name, True), f"{folder}/{name}", dims[:1])
-
-
-def write_rollups(runs: DataFrame, folder: str) -> None:
-    """Write rollups for one use: by day only where a report is."""
-    _rollups(runs, by_day=False).write.partitionBy("rollup").parquet(folder)
-
-
 def reports(runs: DataFrame, folder: str) -> dict[str, DataFrame]:
     """Every report, read off the rollups in the folder.
 
     The runs themselves are read for the newest session only, and of these only
-    the days it spans.
+    the days it spans. Sessions are looked for from the newest day back.
     """
     spark = runs.sparkSession
-    return _made(runs, {name: spark.read.parquet(f"{folder}/{name}") for name in ROLLUPS})
-
-
-def _made(runs: DataFrame, rolled: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    held = held_days(spark, folder)
+    cells, days = read_cells(spark, folder, held), days_of(held)
+    rolled = {name: pick(cells, name, True) for name in ROLLUPS}
     made = {
-        name: report(rolled[ROLLUP_OF.get(name, "daily")]) for name, report in REPORTS.items()
+        name: report(rolled[ROLLUP_OF.get(name, "daily")], **({"days": days} if "session" in name else {}))
+        for name, report in REPORTS.items()
     }
-    made["latest_session_tests"] = latest_session_tests(runs, rolled["session"])
+    made["latest_session_tests"] = latest_session_tests(runs, rolled["session"], days)
     return made
 
 
-def report_bundle(runs: DataFrame, folder: str | None = None) -> DataFrame:
-    """All reports as rows of (report, position, payload).
+# Sort keys of reports in long form: all ascend, and the columns are alike for every report.
+
+LAST = 2**62
+
+
+def _ratio() -> Column:
+    return -(F.col("fail_count").cast("double") / F.col("total"))
+
+
+def _day(name: str) -> Column:
+    """Days as numbers, no day first."""
+    return F.coalesce(F.unix_date(name).cast("bigint"), F.lit(-LAST))
+
+
+def _since(name: str) -> Column:
+    """Moments as numbers, none first."""
+    return F.coalesce(F.unix_micros(F.col(name).cast("timestamp")), F.lit(-LAST))
+
+
+def _first(name: str) -> Column:
+    """Texts, NULL first."""
+    return F.coalesce(F.concat(F.lit("1"), F.col(name)), F.lit("0"))
+
+
+def _last(name: str) -> Column:
+    """Texts, NULL last."""
+    return F.coalesce(F.concat(F.lit("0"), F.col(name)), F.lit("1"))
+
+
+KEYS = {
+    "flake_rate": lambda: {"n1": _day("day")},
+    "breakdown": lambda: {"n1": -F.col("count"), "s1": _first("classification")},
+    "heatmap": lambda: {"n1": _day("day"), "s1": _first("screen")},
+    "top_flakes": lambda: {"ratio": _ratio(), "n1": -F.col("total"), "s1": _last("test_name"), "s2": _last("platform")},
+    "devices": lambda: {"ratio": _ratio(), "n1": -F.col("total"), "s1": _last("device_id")},
+    "by_action": lambda: {"ratio": -F.col("rate"), "s1": _first("action_type")},
+    "by_platform": lambda: {"ratio": -F.col("fail_rate"), "s1": _first("platform")},
+    "volume": lambda: {"n1": _day("day")},
+    "duration_dist": lambda: {"n1": duration_place(F.col("bucket"))},
+    "class_trend": lambda: {"n1": _day("day"), "s1": _first("classification")},
+    "sessions": lambda: {"n1": F.coalesce(-F.unix_micros(F.col("last_run").cast("timestamp")), F.lit(LAST)), "s1": _first("session_id")},
+    "latest_session_tests": lambda: {"n1": _since("run_at"), "n2": F.col("load_id"), "n3": F.col("id")},
+}
+KEY_TYPES = {"ratio": "double", "n1": "bigint", "n2": "bigint", "n3": "bigint", "s1": "string", "s2": "string"}
+
+
+def _long(name: str, report: DataFrame) -> DataFrame:
+    """A report's rows as (report, its sort key, payload)."""
+    keys = {k: c for k, c in KEYS.get(name, dict)().items() if k != "n2" or "load_id" in report.columns}
+    key = [keys.get(k, F.lit(None)).cast(kind).alias(k) for k, kind in KEY_TYPES.items()]
+    payload = F.to_json(F.struct(*report.columns), JSON_OPTIONS).alias("payload")
+    return report.select(F.lit(name).alias("report"), *key, payload)
+
+
+def report_bundle(runs: DataFrame, folder: str | None = None, out: str | None = None) -> DataFrame:
+    """All reports as rows of (report, position, payload), written to ``out``, by default a new folder.
 
     ``position`` ascends in a report's order. The reports are read off the rollups
-    in a folder; without one, rollups for this use are written to a new folder in
-    the shared one, which is the caller's to remove when the result has been read.
+    in a folder; without one, off rollups made for this use and removed at its end. Each rollup is read
+    once and kept in memory for its reports, whose rows are ordered together by one exchange.
     """
-    if folder is not None:
-        made = reports(runs, folder)
-    else:
-        folder = new_folder(runs.sparkSession, "rollups")
-        write_rollups(runs, folder)
-        cells = runs.sparkSession.read.schema(_rollups(runs, by_day=False).schema).parquet(folder)
-        made = _made(runs, {name: _pick(cells, name, False) for name in ROLLUPS})
-    rows = [
-        report_json(df).select(
-            F.lit(name).alias("report"), F.monotonically_increasing_id().alias("position"), "payload"
-        )
-        for name, df in made.items()
-    ]
-    return reduce(DataFrame.unionAll, rows)
+    spark = runs.sparkSession
+    out = out or new_folder(spark, "bundle")
+    with staging(spark, "rollups") as staged:
+        if folder is None:
+            cells = _rollups(runs, by_day=False)
+            cells.write.partitionBy("rollup").parquet(staged)
+            cells, days = spark.read.schema(cells.schema).parquet(staged), None
+        else:
+            held = held_days(spark, folder)
+            cells, days = read_cells(spark, folder, held), days_of(held)
+        kept = {name: pick(cells, name, folder is not None).persist() for name in ROLLUPS}
+        try:
+            made = {}
+            for name, report in REPORTS.items():
+                of = kept[ROLLUP_OF.get(name, "daily")]
+                if "session" in name:
+                    made[name] = report(of, days=days)
+                else:
+                    made[name] = report(of, **({} if name in ("stats", "flake_rate", "top_flakes") else {"sort": False}))
+            made["latest_session_tests"] = latest_session_tests(runs, kept["session"], days, sort=False)
+            rows = reduce(DataFrame.unionAll, [_long(name, df) for name, df in made.items()])
+            order = ["report", *KEY_TYPES]
+            ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+            placed = ordered.select("report", F.monotonically_increasing_id().alias("position"), "payload")
+            placed.write.parquet(out)
+        finally:
+            for df in kept.values():
+                df.unpersist()
+    return spark.read.schema(placed.schema).parquet(out)

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.functions.failures import (
@@ -18,6 +18,7 @@ from runlens.functions.failures import (
     rule_classify,
 )
 from runlens.schema import PASSED
+from runlens.session import make_folder, staging
 
 Classifier = Callable[[str], str | None]
 BatchClassifier = Callable[[pd.Series], pd.Series]
@@ -39,10 +40,11 @@ class Calls:
     ``parallelism`` bounds the questions open at the same time. A call that takes
     more than ``timeout`` seconds counts as unanswered. ``error_chars`` and
     ``reply_chars`` are how much of an error is asked and of an unreadable reply
-    quoted, None for all.
+    quoted, None for all. Replies are committed for about ``slice_size`` questions at a time.
     """
 
     parallelism: int = 64
+    slice_size: int = 10_000
     timeout: float | None = 30.0
     error_chars: int | None = ERROR_CHARS
     reply_chars: int | None = REPLY_CHARS
@@ -109,6 +111,32 @@ def ask(prompts: DataFrame, classifier: BatchClassifier, parallelism: int) -> Da
     return prompts.select("prompt_key", "prompt").repartition(parallelism).mapInPandas(replies, REPLIES)
 
 
+def ask_new(asked: DataFrame, classifier: BatchClassifier, folder: str, calls: Calls) -> None:
+    """Ask the questions without a reply in ``folder`` and keep the replies there.
+
+    The questions' keys are hashes, so equal ranges of them are slices of about equal size. Each is asked and
+    committed by a job of its own: what is lost with a job is asked again, at most ``slice_size`` or so.
+    """
+    spark = asked.sparkSession
+    known = spark.read.schema(REPLIES).parquet(folder).where(F.col("reply").isNotNull())
+    with staging(spark, "new-questions") as staged:
+        new = asked.select("prompt_key", "prompt").join(known.select("prompt_key"), "prompt_key", "left_anti")
+        new.repartitionByRange("prompt_key").sortWithinPartitions("prompt_key").write.parquet(staged)
+        new = spark.read.schema(new.schema).parquet(staged)
+        n_slices = -(-new.count() // calls.slice_size)
+        cuts = [f"{(k << 32) // n_slices:08x}" for k in range(n_slices)]
+        for low, high in zip(cuts, [*cuts[1:], "g"]):
+            part = new.where((F.col("prompt_key") >= low) & (F.col("prompt_key") < high))
+            ask(part, classifier, calls.parallelism).write.mode("append").parquet(folder)
+
+
+def _replies(spark: SparkSession, folder: str, calls: Calls) -> DataFrame:
+    """(prompt_key, answer) of the questions that have a reply."""
+    replies = spark.read.schema(REPLIES).parquet(folder).where(F.col("reply").isNotNull())
+    one = replies.groupBy("prompt_key").agg(F.max("reply").alias("reply"))
+    return one.select("prompt_key", parse_reply(F.col("reply"), calls.reply_chars).alias("answer"))
+
+
 def with_classifier(
     runs: DataFrame,
     classifier: Classifier | BatchClassifier,
@@ -119,34 +147,35 @@ def with_classifier(
     """Runs with ``found``, the classifier's category; NULL where it has none.
 
     Replies are kept in ``folder`` by the hash of their question. What has a reply
-    there is not asked again, by later loads either; the questions of a job that
+    there is not asked again, by later loads either; the questions of a slice whose job
     fails before it commits are. ``batch`` says that the classifier takes a series.
     """
     spark = runs.sparkSession
     if not batch:
         classifier = one_by_one(classifier, calls.timeout)
     keyed = with_prompts(runs, calls.error_chars).withColumn("prompt_key", F.sha2("prompt", 256))
-    asked = (
-        keyed.where(F.col("prompt").isNotNull())
-        .groupBy("prompt_key")
-        .agg(F.min("prompt").alias("prompt"), F.count(F.lit(1)).alias("asked"))
-    )
-    spark.createDataFrame([], REPLIES).write.mode("append").parquet(folder)
-    known = spark.read.schema(REPLIES).parquet(folder).where(F.col("reply").isNotNull())
-    new = asked.join(known.select("prompt_key"), "prompt_key", "left_anti")
-    ask(new, classifier, calls.parallelism).write.mode("append").parquet(folder)
-
-    replies = spark.read.schema(REPLIES).parquet(folder).groupBy("prompt_key").agg(F.max("reply").alias("reply"))
-    answered = asked.select("prompt_key", "asked").join(replies, "prompt_key", "left")
-    answered = answered.withColumn(
-        "answer", F.when(F.col("reply").isNotNull(), parse_reply(F.col("reply"), calls.reply_chars))
-    ).drop("reply")
-    # Every hot question, whether it has a short reply, a long one or none.
-    short = F.coalesce(F.length("answer.classification_reason") <= HOT_CHARS, F.lit(True))
-    hot = answered.orderBy(F.col("asked").desc(), "prompt_key").limit(HOT_PROMPTS)
-    hot = F.broadcast(hot.select("prompt_key", short.alias("settled"), F.when(short, F.col("answer")).alias("hot")))
+    make_folder(spark, folder)
+    with staging(spark, "questions") as staged:
+        asked = (
+            keyed.where(F.col("prompt").isNotNull())
+            .groupBy("prompt_key")
+            .agg(F.min("prompt").alias("prompt"), F.count(F.lit(1)).alias("asked"))
+        )
+        asked.repartitionByRange("prompt_key").sortWithinPartitions("prompt_key").write.parquet(staged)
+        asked = spark.read.schema(asked.schema).parquet(staged)
+        ask_new(asked, classifier, folder, calls)
+        answered = asked.select("prompt_key", "asked").join(_replies(spark, folder, calls), "prompt_key", "left")
+        # Every hot question, whether it has a short reply, a long one or none.
+        short = F.coalesce(F.length("answer.classification_reason") <= HOT_CHARS, F.lit(True))
+        hot = answered.orderBy(F.col("asked").desc(), "prompt_key").limit(HOT_PROMPTS)
+        hot = hot.select("prompt_key", short.alias("settled"), F.when(short, F.col("answer")).alias("hot"))
+        rows = hot.collect()  # HOT_PROMPTS replies of HOT_CHARS characters at most
+        all_settled = len(rows) < HOT_PROMPTS and all(r.settled for r in rows)
+    hot = F.broadcast(spark.createDataFrame(rows, hot.schema))
+    if all_settled:
+        return keyed.join(hot, "prompt_key", "left").select(*runs.columns, F.col("hot").alias("found"))
     spread = F.when(F.col("settled").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALT - 1)))
-    cold = answered.where(F.col("answer").isNotNull()).join(hot, "prompt_key", "left")
+    cold = _replies(spark, folder, calls).join(hot, "prompt_key", "left")
     cold = cold.where(~F.coalesce("settled", F.lit(False))).select(
         "prompt_key", F.explode(spread).alias("salt"), F.col("answer").alias("cold")
     )

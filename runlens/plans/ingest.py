@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from datetime import date
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +17,11 @@ from runlens.plans.classify_batch import BatchClassifier, Calls, Classifier, cla
 from runlens.schema import PASSED
 from runlens.session import staging
 from runlens.sources.jsonl import POSITION, read_runs, read_runs_lenient, to_table_rows
-from runlens.sources.table import append_table, create_table, on_days, read_table
+from runlens.sources.table import append_table, create_table, new_load_id, on_days, read_table
 
 KEYS = ["test_name", "run_at_text"]
+# Drops plans without rows while they run, and what is counted in them.
+EMPTIED = "org.apache.spark.sql.execution.adaptive.AQEPropagateEmptyRelation"
 
 
 @dataclass(frozen=True)
@@ -35,6 +37,7 @@ class LoadCounts:
     skipped: int
     days: tuple[date | None, ...] = field(default=(), compare=False)
     unanswered: int = field(default=0, compare=False)
+    load_id: int = field(default=0, compare=False)
 
 
 @dataclass(frozen=True)
@@ -68,26 +71,30 @@ def load_records(
 ) -> LoadCounts:
     """Add the records the table does not have; loading them again adds none.
 
-    A narrow pass finds the records' days, one value per calendar day: only these
+    The records are read once: the first of each key is staged with the number of its copies.
+    A narrow pass over these finds the records' days, one value per calendar day: only these
     days of the table can hold a known run and are compared. ``load_id`` must
     ascend from load to load; it is the time in microseconds if not given.
     """
     spark = records.sparkSession
     create_table(spark, table)
-    load_id = time.time_ns() // 1000 if load_id is None else load_id
+    load_id = new_load_id() if load_id is None else load_id
     rows = to_table_rows(records).withColumn("load_id", F.lit(load_id).cast("bigint"))
-    seen = rows.groupBy("run_date").agg(F.count(F.lit(1)).alias("n")).collect()
-    processed, days = sum(r.n for r in seen), tuple(r.run_date for r in seen)
-    fresh = not_stored(first_wins(rows, KEYS, POSITION), on_days(read_table(spark, table), days), KEYS)
-
     asking = classifier if isinstance(classifier, Asking) or classifier is None else Asking(classifier)
-    if asking is None:
-        added = _append(classify_runs(fresh), table)
-    else:
-        with staging(spark, "load") as folder:  # the rows are needed twice: to ask, and to answer
+    with staging(spark, "load") as folder:
+        firsts = first_wins(rows, KEYS, POSITION)
+        firsts.write.parquet(f"{folder}/firsts")
+        firsts = spark.read.schema(firsts.schema).parquet(f"{folder}/firsts")
+        seen = firsts.groupBy("run_date").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("keys")).collect()
+        processed, days = sum(r.n for r in seen), tuple(r.run_date for r in seen)
+        stored = on_days(read_table(spark, table), days)
+        fresh = not_stored(firsts, stored, KEYS, sum(r["keys"] for r in seen))
+        if asking is None:
+            added = _append(classify_runs(fresh), table)
+        else:  # the rows are needed twice: to ask, and to answer
             fresh.write.parquet(f"{folder}/fresh")
             found = classify_runs(
-                spark.read.parquet(f"{folder}/fresh"),
+                spark.read.schema(fresh.schema).parquet(f"{folder}/fresh"),
                 asking.classifier,
                 asking.replies or f"{folder}/replies",
                 asking.calls,
@@ -100,9 +107,22 @@ def load_records(
         skipped=processed - added["rows"],
         days=days,
         unanswered=added["unanswered"] if asking else 0,
+        load_id=load_id,
     )
 
 
+@contextmanager
+def _counting(spark: SparkSession) -> Iterator[None]:
+    """Jobs inside count what they were asked to count, even if it is nothing."""
+    key = "spark.sql.adaptive.optimizer.excludedRules"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, ",".join(filter(None, [before, EMPTIED])))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
 def _append(found: DataFrame, table: str) -> dict[str, int]:
     """Add the rows, counted while they are written."""
     counts = Observation()
@@ -113,11 +133,9 @@ def _append(found: DataFrame, table: str) -> dict[str, int]:
         F.count_if("newly").alias("classified"),
         F.count_if(no_reply).alias("unanswered"),
     )
-    append_table(rows, table)
-    try:
-        return counts.get
-    except Py4JJavaError:  # without rows, adaptive execution drops the counting with the plan
-        return {"rows": 0, "classified": 0, "unanswered": 0}
+    with _counting(found.sparkSession):
+        append_table(rows, table)
+    return counts.get
 
 
 def load_runs(

@@ -1,17 +1,21 @@
 """The reports over test runs.
 
 Each takes the runs table or a rollup of it (``measures.rollup``) and gives a
-DataFrame. Sorted results end in a tie-break, so they are the same every time.
+DataFrame. Sorted results end in a tie-break, so they are the same every time; with
+``sort=False`` the rows come in any order, for a reader that orders them anyway.
 """
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.functions.scalars import (
     class_label,
     date_range,
+    duration_place,
     is_failed,
     is_present,
     pct1,
@@ -63,26 +67,30 @@ def flake_rate(runs: DataFrame, days: int = FIRST_DAYS) -> DataFrame:
     return daily.orderBy("day").limit(days)
 
 
-def breakdown(runs: DataFrame) -> DataFrame:
+def _in(order: list, rows: DataFrame, sort: bool) -> DataFrame:
+    return rows.orderBy(*order) if sort else rows
+
+
+def breakdown(runs: DataFrame, sort: bool = True) -> DataFrame:
     """Failures per category; those without one are UNCLASSIFIED.
 
     Groups by the stored value, so a category of that very name is a row apart.
     """
     failed = as_measures(runs).where(is_failed(F.col("result")))
     counts = rollup(failed, ["classification"], ["n_runs"])
-    return counts.select(
+    labelled = counts.select(
         class_label(F.col("classification")).alias("classification"),
         F.col("n_runs").alias("count"),
-    ).orderBy(F.col("count").desc(), "classification")
+    )
+    return _in([F.col("count").desc(), "classification"], labelled, sort)
 
 
-def heatmap(runs: DataFrame) -> DataFrame:
+def heatmap(runs: DataFrame, sort: bool = True) -> DataFrame:
     """Failure percentage per day and screen with at least two runs."""
     named = as_measures(runs).where(is_present(F.col("screen_name")))
     cells = rate_by(named, ["run_date", "screen_name"], MIN_RUNS)
-    return cells.select(
-        F.col("run_date").alias("day"), F.col("screen_name").alias("screen"), "rate"
-    ).orderBy("day", "screen")
+    cells = cells.select(F.col("run_date").alias("day"), F.col("screen_name").alias("screen"), "rate")
+    return _in(["day", "screen"], cells, sort)
 
 
 def by_fail_ratio(groups: DataFrame, *ties) -> DataFrame:
@@ -128,7 +136,7 @@ def top_flakes(runs: DataFrame) -> DataFrame:
     return top_by_ratio(groups, ["test_name", "platform"])
 
 
-def devices(runs: DataFrame) -> DataFrame:
+def devices(runs: DataFrame, sort: bool = True) -> DataFrame:
     """Devices by how often runs fail on them, with their usual category."""
     cells = rollup(
         runs,
@@ -150,53 +158,48 @@ def devices(runs: DataFrame) -> DataFrame:
         )
         .where(F.col("total") >= MIN_RUNS)
     )
-    return by_fail_ratio(
-        groups.select(
-            "device_id",
-            "platform",
-            "total",
-            "fail_count",
-            F.when(F.col("device_id").isNotNull(), F.col("common")).alias(
-                "common_classification"
-            ),
-        ),
-        F.col("device_id").asc_nulls_last(),
+    groups = groups.select(
+        "device_id",
+        "platform",
+        "total",
+        "fail_count",
+        F.when(F.col("device_id").isNotNull(), F.col("common")).alias("common_classification"),
     )
+    return by_fail_ratio(groups, F.col("device_id").asc_nulls_last()) if sort else groups
 
 
-def by_action(runs: DataFrame) -> DataFrame:
+def by_action(runs: DataFrame, sort: bool = True) -> DataFrame:
     named = as_measures(runs).where(is_present(F.col("action_type")))
     rates = rate_by(named, ["action_type"]).drop("pass_count")
-    return rates.orderBy(F.col("rate").desc(), "action_type")
+    return _in([F.col("rate").desc(), "action_type"], rates, sort)
 
 
-def by_platform(runs: DataFrame) -> DataFrame:
+def by_platform(runs: DataFrame, sort: bool = True) -> DataFrame:
     named = as_measures(runs).where(is_present(F.col("platform")))
     rates = rate_by(named, ["platform"]).withColumnRenamed("rate", "fail_rate")
-    return rates.orderBy(F.col("fail_rate").desc(), "platform")
+    return _in([F.col("fail_rate").desc(), "platform"], rates, sort)
 
 
-def volume(runs: DataFrame) -> DataFrame:
+def volume(runs: DataFrame, sort: bool = True) -> DataFrame:
     daily = _day(rate_by(runs, ["run_date"]))
-    return daily.select("day", "pass_count", "fail_count").orderBy("day")
+    return _in(["day"], daily.select("day", "pass_count", "fail_count"), sort)
 
 
-def duration_dist(runs: DataFrame) -> DataFrame:
+def duration_dist(runs: DataFrame, sort: bool = True) -> DataFrame:
     """Failures per duration band, shortest first."""
     failed = as_measures(runs).where(is_failed(F.col("result")))
-    bands = rollup(failed, ["duration_band"], ["n_runs", "duration_min"])
-    return bands.orderBy("duration_min").select(
-        F.col("duration_band").alias("bucket"), F.col("n_runs").alias("count")
-    )
+    bands = rollup(failed, ["duration_band"], ["n_runs"])
+    bands = bands.select(F.col("duration_band").alias("bucket"), F.col("n_runs").alias("count"))
+    return _in([duration_place(F.col("bucket"))], bands, sort)
 
 
-def class_trend(runs: DataFrame) -> DataFrame:
+def class_trend(runs: DataFrame, sort: bool = True) -> DataFrame:
     """Failures with a category per day and category."""
     failed = as_measures(runs).where(
         is_failed(F.col("result")) & F.col("classification").isNotNull()
     )
     counts = _day(rollup(failed, ["run_date", "classification"], ["n_runs"]))
-    return counts.withColumnRenamed("n_runs", "count").orderBy("day", "classification")
+    return _in(["day", "classification"], counts.withColumnRenamed("n_runs", "count"), sort)
 
 
 def _all_sessions(runs: DataFrame) -> DataFrame:
@@ -225,18 +228,57 @@ def _all_sessions(runs: DataFrame) -> DataFrame:
     )
 
 
-def _newest_sessions(runs: DataFrame, n: int) -> DataFrame:
-    return _all_sessions(runs).orderBy(F.col("last_run").desc(), "session_id").limit(n)
+def first_day_of_newest(runs: DataFrame, k: int, days: list[date]) -> date | None:
+    """A day from which on at least ``k`` sessions have runs; None if no known day is.
+
+    ``days`` are those that the rows are stored by, newest first. A session that has no run
+    since then is older than all that do, so the ``k`` newest are among these. The days
+    are tried from the newest back, four times as many each time.
+    """
+    n = 1
+    while n <= len(days):
+        first = days[n - 1]
+        since = runs.where((F.col("run_date") >= F.lit(first)) & is_present(F.col("session_id")))
+        if since.select("session_id").distinct().limit(k).count() >= k:
+            return first
+        n *= 4
+    return None
+
+
+def newest_ids(runs: DataFrame, k: int, days: list[date] | None = None) -> DataFrame:
+    """(session_id) of the ``k`` newest sessions, by their newest runs alone.
+
+    The days that rows are stored by, where given, are read only as far back as needed.
+    """
+    named = as_measures(runs).where(is_present(F.col("session_id")))
+    first = first_day_of_newest(runs, k, days) if days else None
+    if first is not None:
+        named = named.where(F.col("run_date") >= F.lit(first))
+    last = named.groupBy("session_id").agg(F.max("last_run").alias("last_run"))
+    return last.orderBy(F.col("last_run").desc(), "session_id").limit(k).select("session_id")
+
+
+def _newest_sessions(runs: DataFrame, k: int, days: list[date] | None = None) -> DataFrame:
+    """The ``k`` newest sessions.
+
+    Where rows are stored by day, ``k`` ids are found in the newest days, and only these
+    sessions' rows are brought together. Otherwise one pass over all rows makes all sessions.
+    """
+    chosen = runs
+    if days:
+        ids = F.broadcast(newest_ids(runs, k, days))
+        chosen = as_measures(runs).join(ids, "session_id", "left_semi")
+    return _all_sessions(chosen).orderBy(F.col("last_run").desc(), "session_id").limit(k)
 
 
-def sessions(runs: DataFrame, k: int = TOP_SESSIONS) -> DataFrame:
+def sessions(runs: DataFrame, k: int = TOP_SESSIONS, days: list[date] | None = None) -> DataFrame:
     """The ``k`` newest sessions."""
-    return _newest_sessions(runs, k)
+    return _newest_sessions(runs, k, days)
 
 
-def latest_session(runs: DataFrame) -> DataFrame:
+def latest_session(runs: DataFrame, days: list[date] | None = None) -> DataFrame:
     """One row for the newest session; zero counts when there is none."""
-    top = _newest_sessions(runs, 1)
+    top = _newest_sessions(runs, 1, days)
     zero = F.lit(0).cast("bigint")
     return top.agg(
         F.max("session_id").alias("session_id"),
@@ -261,18 +303,24 @@ def _identity(runs: DataFrame) -> list[str]:
     return [c for c in ("load_id", "id") if c in runs.columns]
 
 
-def latest_session_tests(runs: DataFrame, rolled: DataFrame | None = None) -> DataFrame:
+def latest_session_tests(
+    runs: DataFrame, rolled: DataFrame | None = None, days: list[date] | None = None, sort: bool = True
+) -> DataFrame:
     """The runs of the newest session in order, one row each.
 
     ``rolled`` may be a session rollup of the runs. The session's days, one row
     per calendar day, are broadcast, and prune the partitions of ``runs``; runs
     without a day are looked up by session alone.
     """
-    top = _newest_sessions(runs if rolled is None else rolled, 1)
+    cells = as_measures(runs if rolled is None else rolled).where(is_present(F.col("session_id")))
+    if days:
+        cells = cells.join(F.broadcast(newest_ids(cells, 1, days)), "session_id", "left_semi")
+    ends = [F.min("first_run").alias("first_run"), F.max("last_run").alias("last_run")]
+    top = cells.groupBy("session_id").agg(*ends).orderBy(F.col("last_run").desc(), "session_id").limit(1)
     span = F.sequence(F.col("first_run").cast("date"), F.col("last_run").cast("date"))
     # an explode of an array with a NULL gives the days, and one row for runs without one
     every = F.array_append(F.coalesce(span, F.array().cast("array<date>")), F.lit(None).cast("date"))
-    days = top.select(F.col("session_id").alias("_session"), F.explode(every).alias("_day"))
+    spanned = top.select(F.col("session_id").alias("_session"), F.explode(every).alias("_day"))
     rows = runs.select(
         *_identity(runs),
         "session_id",
@@ -286,7 +334,8 @@ def latest_session_tests(runs: DataFrame, rolled: DataFrame | None = None) -> Da
         "classification",
     )
     same = (F.col("session_id") == F.col("_session")) & F.col("run_date").eqNullSafe(F.col("_day"))
-    return _in_order(rows.join(F.broadcast(days), same, "left_semi").drop("run_date"))
+    found = rows.join(F.broadcast(spanned), same, "left_semi").drop("run_date")
+    return _in_order(found) if sort else found
 
 
 def session_runs(runs: DataFrame, session_id: str) -> DataFrame:

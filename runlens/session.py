@@ -49,10 +49,54 @@ def new_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark)}/runlens/{purpose}-{uuid.uuid4().hex}"
 
 
+def _store(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it takes it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 def delete(spark: SparkSession, folder: str) -> None:
     """Remove a folder this package has written, if it is there."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    store, path = _store(spark, folder)
+    store.delete(path, True)
+
+
+def make_folder(spark: SparkSession, folder: str) -> None:
+    """Create a folder unless it is there."""
+    store, path = _store(spark, folder)
+    store.mkdirs(path)
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """What a folder holds; nothing if it is not there."""
+    store, path = _store(spark, folder)
+    return sorted(f.getPath().getName() for f in store.listStatus(path)) if store.exists(path) else []
+
+
+def read_note(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file the driver has written, None if it is not there."""
+    store, at = _store(spark, path)
+    if not store.exists(at):
+        return None
+    data = store.open(at)
+    try:
+        return bytes(data.readAllBytes()).decode()
+    finally:
+        data.close()
+
+
+def write_note(spark: SparkSession, path: str, text: str, new: bool = False) -> None:
+    """Write a small file whole or not at all; with ``new`` it must not be there yet."""
+    store, at = _store(spark, path)
+    _, aside = _store(spark, f"{path}.{uuid.uuid4().hex}.tmp")
+    out = store.create(aside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not new and store.exists(at):
+        store.delete(at, False)
+    if not store.rename(aside, at):
+        store.delete(aside, False)
+        raise FileExistsError(path)
 
 
 @contextmanager

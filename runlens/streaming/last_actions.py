@@ -1,13 +1,17 @@
 """The last application steps of each test attempt, as attempts end.
 
-The engine keeps the state: at most ``keep`` steps for each open attempt, of which
-a micro-batch touches only those it has steps for.
+The engine keeps the state in RocksDB: at most ``keep`` steps for each open attempt.
+Attempts share buckets, so that a bucket's attempts are worked on together, in a few array
+operations and one reading and one writing of state, rather than one by one. A micro-batch touches
+only the buckets it has steps for.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,42 +23,79 @@ from runlens.operators.steps import KEEP
 
 KEY = ["test_id", "retry"]
 ATTEMPT = "test_id bigint, retry int, last_actions array<string>, ended_at timestamp, expired boolean"
-STATE = "moments array<bigint>, seqs array<bigint>, titles array<string>"
+COLUMNS = {"test_id": "bigint", "retry": "int", "moment": "bigint", "seq": "bigint", "title": "string"}
+STATE = ", ".join(f"{c} array<{kind}>" for c, kind in COLUMNS.items())
+#: Buckets of attempts. A checkpoint keeps to the number it began with.
+BUCKETS = 32
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _advance(keep: int, expires: bool):
-    def advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = list(zip(*state.get)) if state.exists else []
+def _last(steps: pd.DataFrame, keep: int) -> pd.DataFrame:
+    """The last ``keep`` steps of each attempt, in order."""
+    steps = steps.sort_values(["test_id", "retry", "moment", "seq"], kind="stable", ignore_index=True)
+    if not len(steps):
+        return steps
+    test, retry = steps["test_id"].to_numpy(), steps["retry"].to_numpy()
+    starts = np.flatnonzero(np.r_[True, (test[1:] != test[:-1]) | (retry[1:] != retry[:-1])])
+    sizes = np.diff(np.r_[starts, len(steps)])
+    behind = np.repeat(starts + sizes, sizes) - np.arange(len(steps))
+    return steps[behind <= keep]
 
-        def attempt(ended_at, expired: bool) -> pd.DataFrame:
-            state.remove()
-            titles = [title for _, _, title in kept]
-            row = {"test_id": [key[0]], "retry": [key[1]], "last_actions": [titles]}
-            return pd.DataFrame(row | {"ended_at": [ended_at], "expired": [expired]})
 
-        if state.hasTimedOut:
-            yield attempt(pd.NaT, True)
-            return
-        ended = None
+def _attempts(steps: pd.DataFrame, ended: pd.DataFrame, expired: bool) -> pd.DataFrame:
+    """The attempts ``ended`` (test_id, retry, ended_at) with their steps."""
+    titles = steps.groupby(KEY)["title"].agg(list).rename("last_actions").reset_index()
+    found = ended.merge(titles, on=KEY, how="left")
+    found["last_actions"] = [x if isinstance(x, list) else [] for x in found["last_actions"]]
+    found["expired"] = expired
+    return found[["test_id", "retry", "last_actions", "ended_at", "expired"]]
+
+
+def _without(steps: pd.DataFrame, ended: pd.DataFrame) -> pd.DataFrame:
+    left = steps.merge(ended[KEY], on=KEY, how="left", indicator=True)
+    return left.loc[left["_merge"] == "left_only", list(COLUMNS)]
+
+
+def _advance(keep: int, expires: bool):
+    columns = list(COLUMNS)
+
+    def advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = state.get if state.exists else [[] for _ in columns]
+        steps = pd.DataFrame(dict(zip(columns, held)))
+        ends = []
         for batch in batches:
-            ends = batch.loc[batch["is_end"], "moment"]
-            if len(ends):
-                ended = max(ends.max(), ended or ends.max())
-            steps = batch.loc[~batch["is_end"], ["moment", "seq", "title"]]
-            kept = sorted([*kept, *steps.itertuples(index=False, name=None)], key=lambda s: s[:2])[-keep:]
-        if ended is not None:
-            yield attempt(pd.Timestamp(ended, unit="us"), False)
+            is_end = batch["is_end"].to_numpy(bool)
+            ends.append(batch.loc[is_end, [*KEY, "moment"]])
+            new = batch.loc[~is_end, columns]
+            if len(new):
+                steps = _last(pd.concat([steps, new], ignore_index=True) if len(steps) else new, keep)
+        if any(map(len, ends)):
+            ended = pd.concat(ends, ignore_index=True).groupby(KEY, as_index=False)["moment"].max()
+            ended["ended_at"] = pd.to_datetime(ended.pop("moment"), unit="us")
+            yield _attempts(steps, ended, False)
+            steps = _without(steps, ended)
+        if expires and len(steps):
+            newest = steps.groupby(KEY, as_index=False)["moment"].max()
+            silent = newest[newest["moment"] // 1000 < state.getCurrentWatermarkMs()].drop(columns="moment")
+            if len(silent):
+                silent["ended_at"] = pd.NaT
+                yield _attempts(steps, silent, True)
+                steps = _without(steps, silent)
+        if not len(steps):
+            if state.exists:
+                state.remove()
             return
-        state.update(tuple([int(s[i]) if i < 2 else s[i] for s in kept] for i in range(3)))
+        state.update(tuple(steps[c].tolist() for c in columns))
         if expires:
-            newest = max((s[0] for s in kept), default=0) // 1000
-            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + 1)
+            oldest = int(steps.groupby(KEY)["moment"].max().min()) // 1000
+            state.setTimeoutTimestamp(max(oldest, state.getCurrentWatermarkMs()) + 1)
 
     return advance
 
 
 def last_actions_stream(
-    steps: DataFrame, keep: int = KEEP, patience: str | None = None
+    steps: DataFrame, keep: int = KEEP, patience: str | None = None, buckets: int = BUCKETS
 ) -> DataFrame:
     """Attempts of a stream of STEP_EVENT as they end, with their last ``keep`` steps.
 
@@ -67,31 +108,45 @@ def last_actions_stream(
         steps = steps.withWatermark("ts", patience)
     ends = F.coalesce("is_end", F.lit(False))
     useful = steps.where(ends | is_api_step(F.col("category"))).select(
-        *KEY, "ts", F.unix_micros("ts").alias("moment"), "seq", "title", ends.alias("is_end")
+        F.pmod(F.xxhash64(*KEY), F.lit(buckets)).cast("int").alias("bucket"),
+        *KEY, "ts", F.unix_micros("ts").alias("moment"), "seq", "title", ends.alias("is_end"),
     )
     timeout = GroupStateTimeout.NoTimeout if patience is None else GroupStateTimeout.EventTimeTimeout
-    return useful.groupBy(*KEY).applyInPandasWithState(
+    return useful.groupBy("bucket").applyInPandasWithState(
         _advance(keep, patience is not None), ATTEMPT, STATE, "append", timeout
     )
 
 
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB."""
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, before)
+
+
 def stream_last_actions(
     steps: DataFrame,
     folder: str,
     checkpoint: str,
     keep: int = KEEP,
     patience: str | None = None,
+    buckets: int = BUCKETS,
     **trigger,
 ) -> StreamingQuery:
     """Append the attempts that end to the files in ``folder``; ``ended_attempts`` reads them."""
-    return (
-        last_actions_stream(steps, keep, patience)
-        .writeStream.format("parquet")
-        .outputMode("append")
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
-        .start(folder)
-    )
+    with rocksdb_state(steps.sparkSession):
+        return (
+            last_actions_stream(steps, keep, patience, buckets)
+            .writeStream.format("parquet")
+            .outputMode("append")
+            .option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True}))
+            .start(folder)
+        )
 
 
 def ended_attempts(spark: SparkSession, folder: str) -> DataFrame:

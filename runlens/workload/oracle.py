@@ -12,7 +12,7 @@ from runlens.operators.grid import DEVICES
 from runlens.operators.lookup import DEFAULT_RATE, EXPECTED_RATES
 from runlens.schema import CLASSES, RAW_RUN
 from runlens.workload.inputs import RUNS_SQL
-from runlens.workload.queries import HEAT_DAYS, SESSION_ASKED
+from runlens.workload.queries import SESSION_ASKED
 
 DUCK_WORDS = {
     "S": "varchar",
@@ -502,9 +502,12 @@ ORACLE = {
           where result <> 'passed' and classification is not null group by run_date, klass) k group by day"""
     ),
     "heat_matrix": _over_runs(
-        "select screen, "
-        + ", ".join(f"max(rate) filter (where place = {k + 1}) as d{k}" for k in range(HEAT_DAYS))
-        + f" from (select *, dense_rank() over (order by day) as place from ({REPORTS['heatmap']}) h) p group by screen"
+        f"""select screen, cast(count(*) as integer) as n_days,
+          string_agg(coalesce(cast(rate as varchar), '-'), '|' order by day) as rates
+        from (select distinct screen from ({REPORTS["heatmap"]}) s) s
+          cross join (select distinct day from ({REPORTS["heatmap"]}) d) d
+          left join ({REPORTS["heatmap"]}) h using (screen, day)
+        group by screen"""
     ),
     "heat_rows": _over_runs(
         f"""select screen, string_agg(cast(day as varchar) || '=' || cast(rate as varchar), '|' order by day) as days,

@@ -25,7 +25,6 @@ QUERIES: dict[str, Query] = {}
 
 SESSION_ASKED = "dev5_2024-01-05"
 HOUR_KEYS = ["test_name", "run_at"]
-HEAT_DAYS = 7
 
 
 def query(make: Query) -> Query:
@@ -485,11 +484,9 @@ def topk_sessions(runs):
 def order_by_agg(runs):
     """Tests in the order of their shortest run, with their places."""
     cells = measures.rollup(runs, ["test_name"], ["n_runs", "duration_min"])
-    ordered = cells.orderBy("duration_min", "test_name").select(
-        "test_name", "n_runs", F.monotonically_increasing_id().alias("position")
-    )
-    place = F.row_number().over(Window.orderBy("position"))
-    return ordered.select("test_name", "n_runs", place.alias("place"))
+    folder = new_folder(runs.sparkSession, "places")
+    placed = reshape.with_places(cells, folder, F.asc("duration_min"), F.asc("test_name"))
+    return placed.select("test_name", "n_runs", F.col("place").cast("int").alias("place"))
 
 
 # Set operations and reshaping
@@ -530,11 +527,12 @@ def class_counts(runs):
 
 @over_runs
 def heat_matrix(runs):
-    """The heatmap of the first days, one column per day."""
-    cells = reports.heatmap(runs)
-    days = [r.day for r in cells.select("day").distinct().orderBy("day").limit(HEAT_DAYS).collect()]
-    matrix = reshape.heat_matrix(cells, days)
-    return matrix.select("screen", *[F.col(d.isoformat()).alias(f"d{k}") for k, d in enumerate(days)])
+    """The heatmap over all days: a rate a day for every screen, '-' where it has none."""
+    matrix = reshape.heat_arrays(reports.heatmap(runs, sort=False))
+    rate = lambda r: F.coalesce(r.cast("string"), F.lit("-"))
+    return matrix.select(
+        "screen", F.size("days").alias("n_days"), F.array_join(F.transform("rates", rate), "|").alias("rates")
+    )
 
 
 @over_runs

@@ -8,10 +8,12 @@ saturating at the most copies. Newton's steps, kept inside a bracket, find the v
 the source's words meet its target; each step is one aggregation over the counts of equal
 sizes, with exact decimal sums, so reruns agree.
 
-Rates become copies within hashed buckets of a source's documents, from the longest
-document to the shortest: each gets the whole number of copies nearest to what its rate
-and the debt of words before it ask for, and the new debt is handed on. So a bucket ends
-about as near to its target as its shorter documents allow.
+Rates become copies within hashed buckets of a source's documents, as many as its own number of
+documents asks for, from the longest document to the shortest: each gets the whole number of copies
+nearest to what its rate and the debt of words before it ask for, and the new debt is handed on. The
+shortest document of every bucket stays open; a second pass over these, a row a bucket, settles
+the buckets' debts together. So a source ends about as near to its target as its shorter documents allow,
+whether it has one document or many buckets.
 
 Null texts have no words. Sources are ordered by code point, a null source last. Weights
 repeat along that order. Empty sources get nothing. Rows that share an id are taken each
@@ -25,7 +27,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -45,15 +46,15 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in B.blocks(batches):
         data, starts = B.text_bytes(batch.column("text"))
         _, _, offsets = B.spans(data, starts, B.NOT_SPACE)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("source"), pa.array(np.diff(offsets))], ["doc_id", "source", "size"]
-        )
+        columns = [batch.column(c) for c in ("doc_id", "source", "mark")]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(offsets))], ["doc_id", "source", "mark", "size"])
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size in words)."""
+    """(doc_id, source, mark, size in words); the mark is a hash of id and text."""
     docs = docs.select(*[F.col(c).cast(t).alias(c) for c, t in (("doc_id", "long"), ("source", "string"), ("text", "string"))])
-    return B.kept(docs.mapInArrow(_sizes, "doc_id long, source string, size long"), "sizes")
+    docs = docs.withColumn("mark", F.xxhash64("doc_id", "text"))
+    return B.kept(docs.mapInArrow(_sizes, "doc_id long, source string, mark long, size long"), "sizes")
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, most: int = MOST) -> DataFrame:
@@ -120,34 +121,51 @@ def tilts(sized: DataFrame, of: DataFrame, most: int = MOST) -> DataFrame:
         middle = middle.otherwise((F.col("low") + F.col("high")) / 2)
         new = new.withColumn("v", F.when(F.col("met"), F.col("v")).when(inside, newton).otherwise(middle))
         state = B.kept(new.drop("words", "slope"), "tilts")
-    return state.select("source", "source_size", "target", "mean", "v")
+    else:
+        if state.where("not met").limit(1).count():
+            raise ArithmeticError(f"a source has not met its target after {STEPS} steps")
+    return state.select("source", "source_size", "n_docs", "target", "mean", "v")
+
 
+def _rounded(rows: pa.Table, most: int, settle: bool) -> pa.Table:
+    """Copies of documents that share a debt: rates rounded so that the words add up.
 
-def _rounded(rows: pa.Table, most: int) -> pa.Table:
-    """One bucket's copies: rates rounded so that the words add up."""
-    rows = rows.sort_by([("size", "descending"), ("doc_id", "ascending")])
-    debt, copies = 0.0, []
-    for size, rate in zip(rows["size"].to_pylist(), rows["rate"].to_pylist()):
-        due = rate * size + debt
-        copies.append(min(most, max(0, math.ceil(due / size - 0.5))) if size else 0)
-        debt = due - copies[-1] * size
-    copies = pa.array(copies, pa.int64())
-    taken = pc.multiply(copies, rows["size"])
-    return rows.drop_columns(["bucket"]).append_column("copies", copies).append_column("taken", taken)
+    Unless it is to ``settle``, the shortest document with words gets none yet, but all that is due by then.
+    """
+    rows = rows.sort_by([("size", "descending"), ("doc_id", "ascending"), ("mark", "ascending")])
+    sizes, due_of = rows["size"].to_pylist(), rows["due"].to_pylist()
+    n_open = len(sizes) - sizes.count(0) - 1
+    debt, copies, dues = 0.0, [], []
+    for k, (size, due) in enumerate(zip(sizes, due_of)):
+        due += debt
+        if k == n_open and not settle:
+            copies.append(None)
+            debt = 0.0
+        else:
+            copies.append(min(most, max(0, math.ceil(due / size - 0.5))) if size else 0)
+            debt = due - copies[-1] * size
+        dues.append(due)
+    rows = rows.set_column(rows.schema.get_field_index("due"), "due", pa.array(dues, pa.float64()))
+    return rows.append_column("copies", pa.array(copies, pa.int64()))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, most: int = MOST) -> DataFrame:
     """Each document's copies: (doc_id, source, size, source_size, target, rate, copies, taken)."""
     sized = sizes(docs)
     of = tilts(sized, B.kept(targets(sized, weights, total, most), "targets"), most)
-    n_buckets = -(-sized.count() // BUCKET_ROWS) or 1
-    bucket = F.pmod(F.xxhash64("doc_id", "size"), F.lit(n_buckets))
+    n_buckets = F.greatest(F.ceil(F.col("n_docs") / BUCKET_ROWS), F.lit(1))
+    bucket = F.pmod("mark", n_buckets)
     of = of.withColumnRenamed("source", "s")
     found = sized.join(of, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     fixed = F.when(F.col("target") > 0, F.lit(float(most))).otherwise(0.0)
     rate = F.when(F.col("v").isNull(), fixed).otherwise(_rate(F.col("v"), F.col("size"), F.col("mean"), most))
     found = found.withColumn("rate", F.when(F.col("size") > 0, rate).otherwise(0.0))
     columns = ["doc_id", "source", "size", "source_size", "target", "rate"]
-    found = B.kept(found.withColumn("bucket", bucket).select(*columns, "bucket"), "rates")
-    schema = "doc_id long, source string, size long, source_size long, target double, rate double, copies long, taken long"
-    return found.groupBy("source", "bucket").applyInArrow(lambda rows: _rounded(rows, most), schema)
+    due = (F.col("rate") * F.col("size")).alias("due")
+    found = found.withColumn("bucket", bucket).select(*columns, "mark", "bucket", due)
+    schema = f"{', '.join(f'{c} {t}' for c, t in found.dtypes)}, copies long"
+    found = B.kept(found.groupBy("source", "bucket").applyInArrow(lambda rows: _rounded(rows, most, False), schema), "rounded")
+    open_ = found.where("copies is null").drop("copies")
+    settled = open_.groupBy("source").applyInArrow(lambda rows: _rounded(rows, most, True), schema)
+    found = found.where("copies is not null").unionByName(settled)
+    return found.select(*columns, "copies", (F.col("copies") * F.col("size")).alias("taken"))

@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runlens.llm.expressions import bound, gathered
+
 ESCAPED = r"([<\[])(\\*)(/?s>|/?<SYS>>|/SYS>>|</SYS>>|/?INST\]|/?ROLE\]|TURN\]|END\])"
 UNESCAPED = r"([<\[])\\(\\*)(/?s>|/?<SYS>>|/SYS>>|</SYS>>|/?INST\]|/?ROLE\]|TURN\]|END\])"
 MARKS = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>")}
@@ -49,18 +51,22 @@ def _mark(role: Column, side: int) -> Column:
 
 def merged(turns: Column) -> Column:
     """Blocks of neighbouring turns of one role: array of (role, texts), from sorted turns."""
-    empty = F.array().cast("array<struct<role:string,texts:array<string>>>")
 
-    def add(blocks: Column, turn: Column) -> Column:
-        last = F.element_at(blocks, -1)
-        own = F.array(turn["text"])
-        longer = F.struct(last["role"].alias("role"), F.concat(last["texts"], own).alias("texts"))
-        return F.when(
-            (F.size(blocks) > 0) & (F.try_element_at(blocks, F.lit(-1))["role"] == turn["role"]),
-            F.concat(F.slice(blocks, F.lit(1), F.size(blocks) - 1), F.array(longer)),
-        ).otherwise(F.concat(blocks, F.array(F.struct(turn["role"].alias("role"), own.alias("texts")))))
+    def cut(turns: Column) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.size(turns) - 1, F.lit(0)))
+        first = F.filter(places, lambda i: (i == 0) | (F.get(turns, i)["role"] != F.get(turns, i - 1)["role"]))
+
+        def blocks(first: Column) -> Column:
+            def block(start: Column, k: Column) -> Column:
+                size = F.coalesce(F.get(first, k + 1), F.size(turns)) - start
+                texts = F.transform(F.slice(turns, start + 1, size), lambda t: t["text"])
+                return F.struct(F.get(turns, start)["role"].alias("role"), texts.alias("texts"))
+
+            return F.transform(first, block)
 
-    return F.aggregate(turns, empty, add)
+        return bound(first, blocks)
+
+    return bound(turns, cut)
 
 
 def format_conversations(rows: DataFrame) -> DataFrame:
@@ -87,16 +93,17 @@ def format_conversations(rows: DataFrame) -> DataFrame:
 
     parts = blocks.select("conv_id", F.flatten(F.transform("blocks", pieces)).alias("parts"))
 
-    def place(so_far: Column, part: Column) -> Column:
-        end = so_far["at"] + F.length(part["text"])
-        span = F.array(F.struct(so_far["at"].alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(part["learnt"], F.concat(so_far["loss"], span)).otherwise(so_far["loss"]).alias("loss"))
+    span = "struct<start:int,end:int>"
+
+    def place(state: dict[str, Column], part: Column):
+        end = state["at"] + F.length(part["text"])
+        own = F.array(F.struct(state["at"].alias("start"), end.alias("end")))
+        return {"at": end}, F.when(part["learnt"], own).otherwise(F.array().cast(f"array<{span}>"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("loss"))
     return parts.select(
         "conv_id",
         F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("formatted"),
-        F.aggregate("parts", start, place, lambda x: x["loss"]).alias("loss"),
+        gathered(F.col("parts"), {"at": F.lit(0)}, place, span).alias("loss"),
     )
 
 

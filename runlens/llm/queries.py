@@ -147,8 +147,8 @@ from marked group by conv_id""")
 def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The conversations as marked texts, and what can be read back from these."""
     text = "</s>[INST] ok [/INST]"
-    more = spark.createDataFrame(
-        [(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string"
+    more = spark.sql(
+        f"select * from values (-7L, 0L, 'user', '{text}'), (-7L, 1L, 'assistant', '{text}') as t(conv_id, turn, role, text)"
     )
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
     found = chat.format_conversations(rows).withColumn("turns", chat.read_turns(F.col("formatted")))

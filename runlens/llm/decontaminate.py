@@ -4,7 +4,8 @@ The index stores, for every block of documents and every bucket of terms, the
 terms with the positions of all their occurrences. A phrase is found by taking
 the positions of its rarest term, then intersecting them with those of the next
 rarer terms, each shifted by its offset in the phrase, until nothing is left or
-all terms agree. With ``slop`` a term may be that many words away from its place.
+all terms agree. With ``slop`` the terms of an occurrence, each moved back by its offset, lie
+within that many words of each other, in one document; one place may serve equal words.
 
 Words are runs of ASCII letters and digits and of non-ASCII characters, with A-Z
 lower-cased; null has none. Terms are 64-bit hashes of words. Positions leave a
@@ -145,34 +146,37 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _nearest(places: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Of ascending places, the one nearest to each wanted place."""
-    right = np.minimum(np.searchsorted(places, wanted), len(places) - 1)
-    left = np.maximum(right - 1, 0)
-    closer = np.abs(places[left] - wanted) <= np.abs(places[right] - wanted)
-    return np.where(closer, places[left], places[right])
-
-
-def _match(plan: list, places: dict, document: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
+def _match(plan: list, places: dict, document: np.ndarray, starts: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
     """First and last place of every occurrence of one phrase in a block.
 
     ``plan`` has (offset, term) from the rarest term on; ``document`` the number of
-    the document that holds a place.
+    the document that holds a place and ``starts`` its first place. A term at place p is p - offset
+    along; an occurrence begins at some term's w, and every term's first in the document from
+    w on is at most ``slop`` further along. Which term is the rarest does not matter.
     """
     offset, term = plan[0]
-    start = places[term] - offset
-    low = high = start + offset
-    for offset, term in plan[1:]:
-        if term not in places:
-            return low[:0], high[:0]
-        found = _nearest(places[term], start + offset)
-        same = np.abs(found - start - offset) <= slop
-        same[same] = document[found[same]] == document[low[same]]
-        start, found = start[same], found[same]
-        low, high = np.minimum(low[same], found), np.maximum(high[same], found)
-        if not len(start):
-            break
-    return low, high
+    anchors = places[term]
+    lows, highs = [anchors[:0]], [anchors[:0]]
+    for back in range(slop + 1):  # the rarest term is that much further along than where the occurrence begins
+        w, owner = anchors - offset - back, document[anchors]
+        begun = np.zeros(len(w), bool)
+        low, high = np.full(len(w), np.iinfo(np.int64).max), np.full(len(w), -1)
+        for offset_of, term in plan:
+            if term not in places:
+                return anchors[:0], anchors[:0]
+            of = places[term]
+            at = np.searchsorted(of, np.maximum(w + offset_of, starts[owner]))
+            found = of[np.minimum(at, len(of) - 1)]
+            good = (at < len(of)) & (found - offset_of - w <= slop)
+            good[good] = document[found[good]] == owner[good]
+            w, owner, found = w[good], owner[good], found[good]
+            low, high = np.minimum(low[good], found), np.maximum(high[good], found)
+            begun = begun[good] | (found - offset_of == w)
+            if not len(w):
+                break
+        lows.append(low[begun])
+        highs.append(high[begun])
+    return np.concatenate(lows), np.concatenate(highs)
 
 
 def _search(slop: int):
@@ -188,7 +192,7 @@ def _search(slop: int):
         items: dict[int, set] = {}
         asked = rows[rows["kind"] == 2]
         for terms, at, names in zip(asked["plan_terms"], asked["plan_offsets"], asked["items"]):
-            low, high = _match(list(zip(at.tolist(), terms.tolist())), places, document, slop)
+            low, high = _match(list(zip(at.tolist(), terms.tolist())), places, document, starts, slop)
             np.add.at(cover, low, 1)
             np.add.at(cover, high + 1, -1)
             for d in np.unique(document[low]).tolist():

@@ -201,10 +201,11 @@ def _linked(both, apart, least: float):
 
 
 def _among_members(least: float):
-    """Links among the members of one leader, or between two blocks of them.
+    """Links among the members of one leader, or between two blocks of them, that connect what no other link given here does.
 
     A member is its difference from the leader, and two members differ in what only one
-    of their differences has; so counting common shingles of the differences is exact.
+    of their differences has; so counting common shingles of the differences is exact. All members linked
+    with the leader are connected already. So there are fewer links than members.
     """
 
     def run(rows: pa.Table) -> pa.Table:
@@ -221,6 +222,7 @@ def _among_members(least: float):
         at = np.concatenate([[0], np.cumsum(size)])
         two_blocks = side[0] != side[-1]
         found_a, found_b = [], []
+        label = np.where(linked, -1, np.arange(len(sets)))  # of what is connected so far
         for x in np.flatnonzero(~linked):
             mine = token[at[x] : at[x + 1]]
             first, many = starts[mine], starts[mine + 1] - starts[mine]
@@ -230,9 +232,12 @@ def _among_members(least: float):
             good[x] = False
             if two_blocks:
                 good &= side != side[x]
-            for y in np.flatnonzero(good):
-                found_a.append(x)
-                found_b.append(y)
+            good &= label != label[x]
+            others, at_first = np.unique(label[good], return_index=True)
+            if len(others):
+                found_a += [x] * len(others)
+                found_b += np.flatnonzero(good)[at_first].tolist()
+                label[np.isin(label, others)] = label[x]
         return pa.table({"a": nodes.take(pa.array(found_a, pa.int64())), "b": nodes.take(pa.array(found_b, pa.int64()))})
 
     return run

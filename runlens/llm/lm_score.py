@@ -10,7 +10,7 @@ rest(s) being the mass that this leaves over. The context is retained if it was
 at least twice and its distribution diverges from its parent's by at least
 ``DIVERGENCE`` bits. A text's score uses at every word the longest retained suffix of
 what precedes it; before the first word stand start marks, after the last comes an end
-mark. Nothing is capped: the tree grows with the corpus.
+mark. Contexts are of ``depth`` words at most; within that limit the tree grows with the corpus, uncapped.
 
 Words are runs of anything but ASCII white space, with A-Z lower-cased, counted by
 64-bit hashes; a context and its next word by 36 + 28 bits. A null text is an empty

@@ -314,3 +314,151 @@ def test_query_agrees_with_sql(spark, name):
     assert sorted(result.columns) == order
     rows = Counter(tuple(r) for r in want.select(", ".join(f'"{c}"' for c in order)).fetchall())
     assert Counter(tuple(r) for r in result.select(*order).collect()) == rows
+
+
+# -- 4 mixing, sources of very different sizes
+
+def test_small_sources_meet_their_targets_beside_large_ones(spark, monkeypatch):
+    from runlens.llm import mixing
+
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 50)
+    sizes = {"big": [SEED.randint(1, 60) for _ in range(3000)], "other": [SEED.randint(1, 9) for _ in range(700)]}
+    sizes |= {f"s{n}": [SEED.randint(1, 30) for _ in range(n)] for n in (1, 2, 3, 7, 20, 30)}
+    rows, doc_id = [], 0
+    for source, found in sizes.items():
+        for n in found:
+            rows.append((doc_id if doc_id % 5 else None, " ".join(["w"] * n), source))
+            doc_id += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = mixing.mix(docs).collect()
+    taken, target = defaultdict(int), {}
+    for r in got:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert r.copies in (0, 1, 2) and r.taken == r.copies * r.size
+    assert len(got) == len(rows) and set(target) == set(sizes)
+    for source, found in sizes.items():
+        # a source of few documents may end as far off as half of one that no shorter one makes up for
+        near = min(found) / 2 if len(found) > 7 else max(found) / 2
+        assert abs(taken[source] - target[source]) <= near + 1e-6 * target[source], source
+    assert Counter(map(tuple, mixing.mix(docs.repartition(3)).collect())) == Counter(map(tuple, got))
+
+
+def test_a_target_that_is_not_met_is_an_error(spark, monkeypatch):
+    from runlens.llm import mixing
+
+    monkeypatch.setattr(mixing, "STEPS", 1)
+    rows = [(k, "w " * SEED.randint(1, 50), "a" if k % 3 else "b") for k in range(60)]
+    with pytest.raises(ArithmeticError):
+        mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+
+
+# -- long inputs, and tokenizers that keep white space
+
+def test_a_text_of_a_hundred_thousand_matches(spark):
+    import time
+
+    from runlens.llm import pii
+
+    n = 100_000
+    text = " ".join(f"a{k}@b.de" for k in range(n))
+    cards = "card 4111 1111 1111 1111 now " * 20_000
+    docs = spark.createDataFrame([(1, text), (2, cards)], "doc_id long, text string")
+    began = time.time()
+    found = {r.doc_id: r.spans for r in pii.personal_data(docs).collect()}
+    assert time.time() - began < 60
+    assert [(s.start, s.end) for s in found[1] if s.kind == "email"] == [m.span() for m in re.finditer(r"\S+", text)]
+    assert len([s for s in found[2] if s.kind == "card"]) == 20_000 and found[2][-1].score == 1.0
+
+
+def test_a_conversation_of_a_hundred_thousand_turns(spark):
+    import time
+
+    from runlens.llm import chat
+
+    n = 100_000
+    roles = ["user", "user", "assistant", "system", "assistant"]
+    rows = [(1, k, roles[k % 5], f"t{k}") for k in range(n)]
+    began = time.time()
+    found = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    r = found.select("loss", chat.read_turns(F.col("formatted")).alias("turns"), "formatted").first()
+    assert time.time() - began < 60
+    assert [(t.role, t.text) for t in r.turns] == [(role, text) for _, _, role, text in rows]
+    assert [r.formatted[s.start : s.end] for s in r.loss] == [t for _, _, role, t in rows if role == "assistant"]
+
+
+def test_a_tokenizer_that_keeps_white_space(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    from runlens.llm import token_files
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    assert not token_files.words_alone(tokenizer)
+    assert token_files.words_alone(Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")))
+    texts = [None, "", " a  b\n", "don't  stop\tnow", "  " * 50, *[" ".join(SEED.choices(["über", "the", "x1", "\n"], k=60)) for _ in range(30)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in token_files.read_tokens(token_files.write_tokens(docs, path)).collect()}
+    start = 0
+    for k, text in enumerate(texts):
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, token_files.END_ID], "<u4")
+        assert (got[k].start, got[k].n_tokens, got[k].ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
+# -- 6 proximity
+
+def near_passages(rows, phrase, slop):
+    """Of each document the places inside an occurrence, tried at every beginning."""
+    out = {}
+    for doc, text in rows:
+        words, hit = text.split(), set()
+        along = [[p - k for p, w in enumerate(words) if w == term] for k, term in enumerate(phrase)]
+        for w in {d for ds in along for d in ds}:
+            first = [min((d for d in ds if d >= w), default=None) for ds in along]
+            if None not in first and max(first) - w <= slop:
+                places = [d + k for k, d in enumerate(first)]
+                hit.update(range(min(places), max(places) + 1))
+        out[doc] = len(hit)
+    return out
+
+
+@pytest.mark.parametrize("common", ["a", "b", "c"])
+def test_proximity_is_exact_whichever_term_is_rare(spark, common):
+    from runlens.llm import decontaminate
+
+    rows = [(k, " ".join(SEED.choices(["a", "b", "c", "x", "y"], k=SEED.randint(0, 12)))) for k in range(300)]
+    rows += [(1000 + k, common) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    for phrase in (["a", "b", "c"], ["a", "b", "a"], ["c", "x"]):
+        items = spark.createDataFrame([("q", " ".join(phrase))], "item_id string, text string")
+        for slop in (0, 1, 3):
+            found = {r.doc_id: r.n_hit for r in decontaminate.contamination(docs, items, slop=slop).collect()}
+            assert found == near_passages(rows, phrase, slop), (phrase, slop)
+
+
+# -- 8 near duplicates, two families in the same buckets
+
+def test_links_of_two_families_are_no_more_than_their_members(spark, monkeypatch):
+    from runlens.llm import dartminhash
+
+    counted = []
+    plain = dartminhash.components
+    monkeypatch.setattr(dartminhash, "components", lambda links: counted.append(links.count()) or plain(links))
+    shared = [f"w{k}" for k in range(60)]
+    families = [[f"f{f}x{k}" for k in range(40)] for f in range(2)]
+
+    def member(f):
+        words = [*shared, *families[f]]
+        words[60 + SEED.randrange(40)] = f"own{SEED.random()}"
+        return " ".join(words)
+
+    rows = [(k, member(k % 2)) for k in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for block in (1000, 40):
+        monkeypatch.setattr(dartminhash, "BLOCK_MEMBERS", block)
+        got = {r.doc_id: (r.class_id, r.class_size) for r in dartminhash.near_duplicates(docs).collect()}
+        assert got == {k: (k % 2, 120) for k in range(240)}
+    # a link a member from its leaders, and fewer than the members of each pair of blocks
+    assert counted[0] <= 8 * 240 and counted[1] <= 8 * 240 + 6 * 7 * 80

@@ -7,10 +7,10 @@ symbol expands to, where each document's symbols start, and the symbols; so any
 or range of ids is decoded from a part of the symbols alone.
 
 Texts are encoded by the given tokenizer file of the ``tokenizers`` library, without
-special tokens; each document is closed by ``end_id``. The tokenizers meant here drop
-white space between words and treat words apart by it on their own, so each distinct word
+special tokens; each document is closed by ``end_id``. Of a tokenizer that drops
+white space and treats words apart by it on their own, which is tried on texts with all kinds of it, each distinct word
 of the corpus is encoded once: blocks of documents ask the shares of the words' hashes and
-put the answers together. A null text is an empty one. Documents without an id come first;
+put the answers together. Any other encodes whole texts. A null text is an empty one. Documents without an id come first;
 rows with equal ids follow each other by their texts.
 """
 
@@ -45,7 +45,7 @@ SHARE_BYTES = 8 << 20
 
 MAGIC = b"RPAIR001"
 BLOCKS = "block long, ids array<long>, has_id array<boolean>, n_words array<long>, n_bytes long, codes binary, words binary"
-TABLE_BITS = 21
+TABLE_BITS = 18
 
 
 class CorruptShard(ValueError):
@@ -69,13 +69,17 @@ def replace_pairs(ids: np.ndarray, last: np.ndarray, rounds: int, frequent: int)
         key = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:].astype(np.uint64)
         inner = np.ones(len(key), bool)
         inner[last[last < len(key)]] = False
-        ordered = np.sort(key[inner])
+        # the ids of a first round often fit half a key, which sorts twice as fast
+        small = next_symbol <= 1 << 16
+        ordered = np.sort((key >> np.uint64(16) | seq[1:].astype(np.uint64)).astype(np.uint32)[inner] if small else key[inner])
         if not len(ordered):
             break
         edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]]))
         counts = np.diff(edge)
         often = counts >= frequent
-        pairs, counts = ordered[edge[:-1][often]], counts[often]
+        pairs, counts = ordered[edge[:-1][often]].astype(np.uint64), counts[often]
+        if small:
+            pairs = pairs >> np.uint64(16) << np.uint64(32) | pairs & np.uint64(0xFFFF)
         if not len(pairs):
             break
         by_count = np.argsort(-counts, kind="stable")
@@ -104,24 +108,26 @@ def replace_pairs(ids: np.ndarray, last: np.ndarray, rounds: int, frequent: int)
 
 def _find(pairs: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Index of each key among distinct pairs, their number where it is none of them."""
-    bits = max(TABLE_BITS, int(len(pairs) * 8).bit_length())
+    bits = max(TABLE_BITS, int(len(pairs) * 2).bit_length())
     shift = np.uint64(64 - bits)
 
     def slot(x):
         return (x * np.uint64(0x9E3779B97F4A7C15)) >> shift
 
     out = np.full(len(key), len(pairs), np.int32)
-    left, at = np.arange(len(pairs), dtype=np.int32), slot(key)
+    left, at, todo = np.arange(len(pairs), dtype=np.int32), slot(key), None
     table = np.empty(1 << bits, np.int32)
-    while len(left):  # pairs that share a slot wait for the next turn
+    while len(left):  # pairs that share a slot wait for the next turn, and so do keys that met another pair there
         table.fill(-1)
         mine = slot(pairs[left])
         table[mine[::-1]] = left[::-1]
-        got = table[at]
+        got = table[at if todo is None else at[todo]]
         filled = np.flatnonzero(got >= 0)
         got = got[filled]
+        filled = filled if todo is None else todo[filled]
         same = pairs[got] == key[filled]
         out[filled[same]] = got[same]
+        todo = filled[~same]
         left = left[table[mine] != left]
     return out
 
@@ -217,52 +223,57 @@ class Shard:
         return self._expand(self.symbols[a:b])[start - before : stop - before]
 
 
+def _strings(letters: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Words of the given sizes that stand one after the other."""
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    small = ends[-1] < 1 << 31
+    buffers = [None, pa.py_buffer(ends.astype(np.int32 if small else np.int64)), pa.py_buffer(letters)]
+    return pa.Array.from_buffers(pa.string() if small else pa.large_string(), len(sizes), buffers)
+
+
 def _words(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words, the code of every word, and the words of each row."""
-    column = pc.fill_null(column, "")
-    lists = pc.ascii_split_whitespace(column)
-    words = pc.list_flatten(lists)
-    row = pc.list_parent_indices(lists)
-    filled = pc.not_equal(words, "")
-    words, row = words.filter(filled), row.filter(filled)
-    coded = words.dictionary_encode()
-    n_words = np.bincount(row.to_numpy(zero_copy_only=False), minlength=len(column)).astype(np.int64)
+    data, starts = B.text_bytes(column)
+    first, last, offsets = B.spans(data, starts, B.NOT_SPACE)
+    coded = _strings(data[B.NOT_SPACE[data]], last - first).dictionary_encode()
+    n_words = np.diff(offsets).astype(np.int64)
     return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), n_words
 
 
-def _blocks(n_shares: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = TaskContext.get().partitionId() << 32
-        for batch in B.blocks(batches, size=BLOCK_BYTES):
-            column = batch.column("text")
-            distinct, codes, n_words = _words(column)
-            data, starts = B.text_bytes(distinct)
-            # words in the order of their shares, so that an answer needs no keys
-            order = np.argsort(B.hash_spans(data, starts[:-1], starts[1:]), kind="stable")
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
-            distinct = distinct.take(pa.array(order))
-            ids = batch.column("doc_id")
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([at], pa.int64()),
-                    pa.array([pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)], pa.list_(pa.int64())),
-                    pa.array([ids.is_valid().to_numpy(zero_copy_only=False)], pa.list_(pa.bool_())),
-                    pa.array([n_words], pa.list_(pa.int64())),
-                    pa.array([int(starts[-1])], pa.int64()),
-                    pa.array([B.pack(place[codes].astype(np.uint32))], pa.binary()),
-                    pa.array([zstandard.compress(" ".join(distinct.to_pylist()).encode(), 1)], pa.binary()),
-                ],
-                ["block", "ids", "has_id", "n_words", "n_bytes", "codes", "words"],
-            )
-            at += 1
-
-    return run
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    at = TaskContext.get().partitionId() << 32
+    for batch in B.blocks(batches, size=BLOCK_BYTES):
+        column = batch.column("text")
+        distinct, codes, n_words = _words(column)
+        data, starts = B.text_bytes(distinct)
+        # words in the order of their shares, so that an answer needs no keys
+        order = np.argsort(B.hash_spans(data, starts[:-1], starts[1:]), kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        data, starts = B.text_bytes(distinct.take(pa.array(order)))
+        ids = batch.column("doc_id")
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([at], pa.int64()),
+                pa.array([pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)], pa.list_(pa.int64())),
+                pa.array([ids.is_valid().to_numpy(zero_copy_only=False)], pa.list_(pa.bool_())),
+                pa.array([n_words], pa.list_(pa.int64())),
+                pa.array([int(starts[-1])], pa.int64()),
+                pa.array([B.pack(place[codes].astype(np.uint32))], pa.binary()),
+                pa.array([zstandard.compress(np.insert(data, starts[1:-1], 32).tobytes(), 1)], pa.binary()),
+            ],
+            ["block", "ids", "has_id", "n_words", "n_bytes", "codes", "words"],
+        )
+        at += 1
 
 
-def _split(words: bytes) -> list[str]:
-    text = zstandard.decompress(words).decode()
-    return text.split(" ") if text else []
+def _unpacked(words: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """Words with a space between each two: their bytes, and where each starts and ends."""
+    text = zstandard.decompress(words)
+    if not text:
+        return text, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    spaces = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
+    return text, np.concatenate([[0], spaces + 1]), np.append(spaces, len(text))
 
 
 def _ask(n_shares: int):
@@ -270,13 +281,12 @@ def _ask(n_shares: int):
         for batch in batches:
             rows = []
             for row in batch.to_pylist():
-                words = _split(row["words"])
-                data, starts = B.text_bytes(pa.array(words, pa.string()))
-                share = B.share_of(B.hash_spans(data, starts[:-1], starts[1:]), n_shares)
+                text, first, last = _unpacked(row["words"])
+                share = B.share_of(B.hash_spans(np.frombuffer(text, np.uint8), first, last), n_shares)
                 cuts = np.searchsorted(share, np.arange(n_shares + 1))
                 for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
                     if a < b:
-                        rows.append((s, row["block"], zstandard.compress(" ".join(words[a:b]).encode(), 1)))
+                        rows.append((s, row["block"], zstandard.compress(text[first[a] : last[b - 1]], 1)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in rows], k) for i, k in enumerate([pa.int32(), pa.int64(), pa.binary()])],
                 ["share", "block", "words"],
@@ -301,7 +311,10 @@ def encode_words(tokenizer, words: list[str], group: int = 50) -> tuple[np.ndarr
 
 
 def _pieces(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    n = int(size.sum())
+    kind = np.int32 if max(n, len(values)) < 1 << 31 else np.int64
+    at = np.repeat((first - (np.cumsum(size) - size)).astype(kind), size)
+    at += np.arange(n, dtype=kind)
     return values[at]
 
 
@@ -317,10 +330,11 @@ def _tokenizer(path: str):
 def _encode(path: str):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         tokenizer = _tokenizer(path)
-        asked = [_split(x) for x in rows["words"]]
-        cuts = np.cumsum([0] + [len(x) for x in asked])
-        coded = pa.array([w for x in asked for w in x], pa.string()).dictionary_encode()
-        del asked
+        asked = [_unpacked(x) for x in rows["words"]]
+        cuts = np.cumsum([0] + [len(first) for _, first, _ in asked])
+        letters = np.frombuffer(b"".join(text for text, _, _ in asked), np.uint8)
+        coded = _strings(letters[letters != 32], np.concatenate([last - first for _, first, last in asked])).dictionary_encode()
+        del asked, letters
         ids, starts = encode_words(tokenizer, coded.dictionary.to_pylist())
         of = coded.indices.to_numpy()
         size = np.diff(starts)
@@ -340,6 +354,42 @@ def _encode(path: str):
     return run
 
 
+#: Texts that a tokenizer must encode as their words, one after the other, to be given words alone.
+PROBES = ("a b", " a", "a ", "a  b", "it's so", "x\ty\nz\r\n", "1 2", "\u00e9 \u00fc", "a. b, (c) d", "\x0ba\x0c")
+
+
+def words_alone(tokenizer) -> bool:
+    """Whether the ids of a text are those of its words."""
+
+    def ids(text: str) -> list[int]:
+        return tokenizer.encode(text, add_special_tokens=False).ids
+
+    return all(ids(p) == [x for word in p.split() for x in ids(word)] for p in PROBES)
+
+
+def _write_whole(path: str, folder: str, end_id: int, rounds: int, frequent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = _tokenizer(path)
+        block = TaskContext.get().partitionId() << 32
+        for batch in B.blocks(batches, size=BLOCK_BYTES):
+            texts = pc.fill_null(batch.column("text"), "").to_pylist()
+            found = [np.array([*x.ids, end_id], np.uint32) for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+            n_tokens, ids = np.array([len(x) for x in found], np.int64), batch.column("doc_id")
+            doc_ids, has_id = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False)
+            data = shard(np.concatenate(found), n_tokens, doc_ids, has_id, rounds, frequent)
+            name = write_file(folder, f"shard-{block:016x}", data)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x]) for x in (block, name, len(n_tokens), int(n_tokens.sum()), len(data))],
+                ["block", "path", "n_docs", "n_ids", "n_bytes"],
+            )
+            block += 1
+
+    return run
+
+
+FILES = "block long, path string, n_docs long, n_ids long, n_bytes long"
+
+
 def _write(folder: str, end_id: int, rounds: int, frequent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in B.rows(batches):
@@ -380,15 +430,15 @@ def write_tokens(
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n_shares = B.shares(docs, F.octet_length("text"), SHARE_BYTES)
     ordered = docs.repartitionByRange(max(n_shares // 2, 1), "doc_id").sortWithinPartitions("doc_id", "text")
-    blocks = B.bucketed(ordered.mapInArrow(_blocks(n_shares), BLOCKS), "token_blocks", min(n_shares, 4096))
+    folder = new_folder(spark, "tokens")
+    if not words_alone(_tokenizer(tokenizer)):
+        return B.kept(ordered.mapInArrow(_write_whole(tokenizer, folder, end_id, rounds, frequent), FILES), "token-files")
+    blocks = B.bucketed(ordered.mapInArrow(_blocks, BLOCKS), "token_blocks", min(n_shares, 4096))
     asked = blocks.select("block", "words").mapInArrow(_ask(n_shares), "share int, block long, words binary")
     answers = asked.groupBy("share").applyInPandas(_encode(tokenizer), "block long, share int, sizes binary, ids binary")
     answers = answers.groupBy("block").agg(F.collect_list(F.struct("share", "sizes", F.col("ids").alias("codes"))).alias("answers"))
     rows = blocks.drop("words").join(answers, "block", "left")
-    folder = new_folder(spark, "tokens")
-    files = rows.mapInArrow(
-        _write(folder, end_id, rounds, frequent), "block long, path string, n_docs long, n_ids long, n_bytes long"
-    )
+    files = rows.mapInArrow(_write(folder, end_id, rounds, frequent), FILES)
     return B.kept(files, "token-files")
 
 

@@ -36,7 +36,7 @@ from runlens.llm import blocks as B
 WEIGHTS = (5, 2, 1)
 TOTAL = 1.5
 MOST = 2
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 5_000
 STEPS = 60
 #: A source has met its target within this part of it.
 CLOSE = 1e-7
